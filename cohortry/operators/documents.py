@@ -138,8 +138,9 @@ def vector_search(docs: DataFrame, queries: DataFrame, k: int = 5, metadata: Map
             part = _nearest_candidates(docs, rows, k, doc_id, embedding, wanted.schema["query_id"].dataType)
             found = part if found is None else found.unionByName(part)
     if found is None:
-        found = docs.limit(0).crossJoin(wanted.limit(0)).select(
-            "query_id", F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("distance"))
+        kinds = wanted.schema["query_id"].dataType, docs.schema[doc_id].dataType
+        found = docs.sparkSession.createDataFrame(
+            [], "query_id {}, doc_id {}, distance double".format(*[t.simpleString() for t in kinds]))
     return top_k_per_group(found, ["query_id"], "distance", k, ["doc_id"], descending=False)
 
 
