@@ -38,7 +38,7 @@ class Member:
         common = {"featuresCol": FEATURES, "labelCol": label}
         params = dict(self.params)
         if self.kind == "boosted":
-            trees = GBTClassifier(**common, seed=seed, **{"maxIter": 100, "maxDepth": 6, "stepSize": 0.1} | params)
+            trees = GBTClassifier(**common, seed=seed, rawPredictionCol="__raw", **{"maxIter": 100, "maxDepth": 6, "stepSize": 0.1} | params)
             parallelism = min(n_classes, 4)
             return Pipeline(stages=[OneVsRest(classifier=trees, rawPredictionCol="__raw",
                                               predictionCol="__pred", parallelism=parallelism, **common)])

@@ -214,8 +214,7 @@ def validate_nested(
     scalar_allowed: Sequence[str] = tuple(schemas.SEIZURE_TYPES),
 ) -> DataFrame:
     """Add ``is_valid``: every array member and the scalar lie in their sets."""
-    members = F.forall(F.coalesce(F.col(array), F.expr(f"filter({array}, x -> true)")),
-                       lambda x: F.coalesce(x[member].isin(list(allowed)), F.lit(False)))
+    members = F.forall(array, lambda x: F.coalesce(x[member].isin(list(allowed)), F.lit(False)))
     ok = F.coalesce(members, F.lit(True))
     if scalar is not None:
         ok = ok & F.coalesce(F.col(scalar).isin(list(scalar_allowed)), F.lit(False))

@@ -27,9 +27,13 @@ def soft_vote(probabilities: Sequence[str], weights: Sequence[float] | None = No
     if weights is not None and len(weights) != len(probabilities):
         raise ValueError("the number of weights must match the number of members")
     given = [1.0] * len(probabilities) if weights is None else [float(w) for w in weights]
+
+    def scaled(name: str, weight: float) -> Column:
+        return F.transform(F.col(name), lambda x: x * F.lit(weight))
+
     total = None
-    for name, w in zip(probabilities, given):
-        part = F.transform(F.col(name), lambda x, w=w: x * F.lit(w))
+    for name, weight in zip(probabilities, given):
+        part = scaled(name, weight)
         total = part if total is None else F.zip_with(total, part, lambda a, b: a + b)
     return F.transform(total, lambda x: x / F.lit(sum(given)))
 
