@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables, query
 from cohortry.operators import graph as G
-from cohortry.plans.session import cut_lineage
 
 
 def _id(prefix: str, column: str):
@@ -222,5 +221,5 @@ def g10(t: Tables) -> DataFrame:
     start = _nodes(t).select("id", F.array(
         (F.col("type") == "Patient").cast("double"), (F.col("type") == "Variant").cast("double"),
         F.length("id").cast("double")).alias("features"))
-    out = G.propagate_features(start, cut_lineage(_traits(t)), 1)
+    out = G.propagate_features(start, _traits(t), 1)
     return out.select("id", *[F.round(F.element_at("features", i + 1), 9).alias(f"f{i}") for i in range(3)])

@@ -124,13 +124,21 @@ def report_text(answer: str | Column, confidence: str | Column, sources: str | C
 
 
 def window_chunks(text: str | Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """Fixed windows: every ``size - overlap`` characters until the text is covered."""
+    """Fixed windows: every ``size - overlap`` characters until the text is covered.
+
+    The text is cut into steps in one pass; a window is a step and the head of
+    the next one. (A substring per window would walk the text from its start
+    each time.)
+    """
     t, step = col(text), size - overlap
+    if not 0 <= overlap <= step:
+        raise ValueError("overlap must be between 0 and half of size")
     length = F.length(t)
     windows = F.when(length > size, F.ceil((length - size) / F.lit(float(step))) + 1).otherwise(1).cast("int")
-    starts = F.sequence(F.lit(0), windows - 1)
-    pieces = F.transform(starts, lambda i: F.substr(t, i * step + 1, F.lit(size)))
-    return F.when(length > 0, pieces).otherwise(F.array().cast("array<string>"))
+    steps = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    following = F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1)))
+    joined = F.zip_with(steps, following, lambda a, b: F.concat(a, F.coalesce(F.substring(b, 1, overlap), F.lit(""))))
+    return F.slice(joined, 1, windows)
 
 
 def split_text(

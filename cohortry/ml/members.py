@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 FEATURES = "__features"
 HIDDEN_LAYERS = [256, 128, 64]
+TREE_MARGIN = "rawPrediction"  # one-vs-rest reads the margin column of its trees by name
 
 
 def assemble(df: DataFrame, columns: Sequence[str], name: str = FEATURES) -> DataFrame:
@@ -38,9 +39,9 @@ class Member:
         common = {"featuresCol": FEATURES, "labelCol": label}
         params = dict(self.params)
         if self.kind == "boosted":
-            trees = GBTClassifier(**common, seed=seed, rawPredictionCol="__raw", **{"maxIter": 100, "maxDepth": 6, "stepSize": 0.1} | params)
+            trees = GBTClassifier(**common, seed=seed, **{"maxIter": 100, "maxDepth": 6, "stepSize": 0.1} | params)
             parallelism = min(n_classes, 4)
-            return Pipeline(stages=[OneVsRest(classifier=trees, rawPredictionCol="__raw",
+            return Pipeline(stages=[OneVsRest(classifier=trees, rawPredictionCol=TREE_MARGIN,
                                               predictionCol="__pred", parallelism=parallelism, **common)])
         if self.kind == "forest":
             model = RandomForestClassifier(**common, seed=seed, probabilityCol="__prob", rawPredictionCol="__raw",
@@ -75,10 +76,10 @@ def with_probabilities(model: PipelineModel, kind: str, df: DataFrame, name: str
     """
     scored = model.transform(df)
     if kind == "boosted":
-        raw = F.transform(vector_to_array("__raw"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+        raw = F.transform(vector_to_array(TREE_MARGIN), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
         scored = scored.withColumn("__sig", raw)
         total = F.aggregate("__sig", F.lit(0.0), lambda a, x: a + x)
         scored = scored.withColumn(name, F.transform("__sig", lambda x: x / total))
     else:
         scored = scored.withColumn(name, vector_to_array("__prob"))
-    return scored.drop("__raw", "__sig", "__prob", "__pred", "__scaled")
+    return scored.drop("__raw", TREE_MARGIN, "__sig", "__prob", "__pred", "__scaled")

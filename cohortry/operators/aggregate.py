@@ -41,32 +41,52 @@ def aggregate_variants(genetic: DataFrame, on: str = "patient_id", gene: str = "
                        list_bound: int = LIST_BOUND) -> DataFrame:
     """One row per patient: distinct genes, variants and types with their sizes and the reference members.
 
-    Sorted lists are built for patients with up to ``list_bound`` distinct
-    members; for larger ones the lists are null, ``lists_complete`` is false
-    and the members are read from :func:`variant_members`. Counts, flag and
-    reference members are exact for all.
+    A patient with up to ``list_bound`` rows is one bounded group: its sets are
+    built directly, with a partial aggregate. Larger patients (found by a count
+    over the key column) go through :func:`variant_members`, which spreads one
+    patient over many tasks; their counts, flag and reference members are exact,
+    their lists are null with ``lists_complete`` false, and the members
+    themselves are read from :func:`variant_members`.
     """
-    members = variant_members(genetic, on, (gene, variant, variant_type))
+    attributes = (gene, variant, variant_type)
+    large = (
+        genetic.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > list_bound).select(on)
+    )
+    if large.isEmpty():
+        return _small_subjects(genetic, on, attributes, reference)
+    keys = large.filter(F.col(on).isNotNull())
+    small = _small_subjects(genetic.join(keys, on, "left_anti"), on, attributes, reference)
+    spread = _large_subjects(genetic.join(keys, on, "left_semi"), on, attributes, reference)
+    return small.unionByName(spread.select(*small.columns))
+
+
+def _small_subjects(genetic: DataFrame, on: str, attributes: Sequence[str], reference: Sequence[str]) -> DataFrame:
+    gene, variant, _ = attributes
+    sets = genetic.groupBy(on).agg(
+        *[F.sort_array(F.collect_set(F.col(a).cast("string"))).alias(a) for a in attributes]
+    )
+    wanted = F.filter(F.col(gene), lambda g: g.isin(list(reference)))
+    return sets.select(
+        on,
+        F.size(gene).cast("bigint").alias("n_genes_affected"),
+        F.size(variant).cast("bigint").alias("n_variants"),
+        (F.size(wanted) > 0).alias("has_epilepsy_gene"),
+        wanted.alias("epilepsy_genes"),
+        F.lit(True).alias("lists_complete"),
+        *attributes,
+    )
+
+
+def _large_subjects(genetic: DataFrame, on: str, attributes: Sequence[str], reference: Sequence[str]) -> DataFrame:
+    gene, variant, _ = attributes
     is_ref = (F.col("attribute") == gene) & F.col("value").isin(list(reference))
-    counts = members.groupBy(on).agg(
+    return variant_members(genetic, on, attributes).groupBy(on).agg(
         F.count_if(F.col("attribute") == gene).alias("n_genes_affected"),
         F.count_if(F.col("attribute") == variant).alias("n_variants"),
-        F.count(F.lit(1)).alias("__members"),
         _any(is_ref).cast("boolean").alias("has_epilepsy_gene"),
-        # bounded by the reference set
         F.sort_array(F.collect_set(F.when(is_ref, F.col("value")))).alias("epilepsy_genes"),
-    )
-    counts = counts.withColumn("lists_complete", F.col("__members") <= list_bound)
-    large = counts.filter(~F.col("lists_complete")).select(on)
-    lists = (
-        members.join(large, on, "left_anti")
-        .groupBy(on)
-        .agg(*[
-            F.sort_array(F.collect_list(F.when(F.col("attribute") == a, F.col("value")))).alias(a)
-            for a in (gene, variant, variant_type)
-        ])
-    )
-    return counts.drop("__members").join(lists, on, "left")
+    ).withColumn("lists_complete", F.lit(False)).withColumns(
+        {a: F.lit(None).cast("array<string>") for a in attributes})
 
 
 def reference_members(df: DataFrame, array: str, reference: Sequence[str], prefix: str) -> DataFrame:

@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.plans.ordered import dense_index
-from cohortry.plans.skew import within
 
 SMALL_DOMAIN = 10_000
 NULL_TEXT = "nan"  # a missing value is encoded as this text
@@ -21,9 +20,9 @@ NULL_TEXT = "nan"  # a missing value is encoded as this text
 class LabelEncoder:
     """Codes 0..k-1 in sorted value order.
 
-    A domain of up to SMALL_DOMAIN values (checked when fitting) is numbered
-    with one small window and broadcast; a larger one is numbered in parallel
-    and joined by shuffle.
+    A domain of up to SMALL_DOMAIN values (checked when fitting) is kept as a
+    small local table and broadcast; a larger one is numbered in parallel and
+    joined by shuffle.
     """
 
     column: str
@@ -34,10 +33,11 @@ class LabelEncoder:
     def fit(cls, df: DataFrame, column: str) -> LabelEncoder:
         values = df.select(F.col(column).cast("string").alias("value"))
         values = values.select(F.coalesce("value", F.lit(NULL_TEXT)).alias("value")).distinct()
-        small = within(values, SMALL_DOMAIN)
+        found = [row["value"] for row in values.limit(SMALL_DOMAIN + 1).collect()]
+        small = len(found) <= SMALL_DOMAIN
         if small:
-            code = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("value")) - 1
-            mapping = values.withColumn("code", code.cast("bigint"))
+            codes = [(value, code) for code, value in enumerate(sorted(found))]
+            mapping = df.sparkSession.createDataFrame(codes, "value string, code bigint")
         else:
             mapping = dense_index(values, "value", "code")
         return cls(column, mapping, small)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,16 +226,26 @@ def node_features(nodes: DataFrame, dim: int = FEATURE_WIDTH,
     return nodes.select("id", slots.alias("features"))
 
 
-def propagate_features(features: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+def propagate_features(features: DataFrame, edges: DataFrame, hops: int = 2, dim: int | None = None) -> DataFrame:
     """``hops`` rounds of: the mean of a node's own and its neighbours' vectors.
 
-    Neighbours are distinct and counted once in either direction. Vectors are
-    averaged by a partial aggregate, so a hub is summed in many tasks.
+    Neighbours are distinct and counted once in either direction. Every vector
+    position is a column while it is averaged, so the sums are plain numbers in
+    a partial hash aggregate and a hub is summed in many tasks.
     """
-    links = _both_ways(edges).filter(F.col("a") != F.col("b")).distinct()
-    for _ in range(hops):
-        sent = links.join(features.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "features")
-        pooled = features.unionByName(sent.join(features.select("id"), "id", "left_semi"))
-        mean = Summarizer.mean(array_to_vector("features"))
-        features = cut_lineage(pooled.groupBy("id").agg(vector_to_array(mean).alias("features")))
-    return features
+    if dim is None:
+        first = features.select(F.size("features").alias("n")).first()
+        dim = first["n"] if first else 0
+    links = cut_lineage(_both_ways(edges).filter(F.col("a") != F.col("b")).distinct())
+    slots = [f"f{i}" for i in range(dim)]
+    state = features.select("id", *[F.element_at("features", i + 1).cast("double").alias(s) for i, s in enumerate(slots)])
+    for hop in range(hops):
+        known = state.select("id")
+        sent = (
+            links.join(state.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), *slots)
+            .join(known, "id", "left_semi")
+        )
+        state = state.unionByName(sent).groupBy("id").agg(*[F.avg(s).alias(s) for s in slots])
+        if hop < hops - 1:
+            state = cut_lineage(state)
+    return state.select("id", F.array(*slots).alias("features"))

@@ -117,8 +117,8 @@ def compare_distributions(a: DataFrame, b: DataFrame, columns: Sequence[str]) ->
         long(a, 1).unionByName(long(b, 0)).groupBy("column", "value")
         .agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
     )
-    totals = collapsed.groupBy("column").agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
-    ranked = running_total(collapsed, "value", ["n1", "n2"], ["column"]).join(F.broadcast(totals), "column")
+    ranked = running_total(collapsed, "value", ["n1", "n2"], ["column"]).withColumnsRenamed(
+        {"total_n1": "t1", "total_n2": "t2"})
     gap = F.abs(F.col("run_n1") / F.col("t1") - F.col("run_n2") / F.col("t2"))
     statistic = ranked.groupBy("column", "t1", "t2").agg(F.max(gap).alias("ks_statistic"))
     tested = statistic.withColumn("p_value", kolmogorov_p(F.col("ks_statistic"), F.col("t1"), F.col("t2")))

@@ -5,10 +5,8 @@ moves every row to one task. Here the value range is first cut into buckets
 that keep the order; a bucket's offset comes from the (small) table of bucket
 totals, and only the rows inside one bucket are sorted together.
 
-Bucket bounds come from a hash-ordered sample of the distinct values, so they
-do not depend on task timing: a task that is run again sees the same bounds.
-The sample window keeps at most ``SAMPLE`` rows per group, few enough for Spark
-to cut it down on the map side before the shuffle.
+Bucket bounds come from a sample chosen by the hash of the value, so they do
+not depend on task timing: a task that is run again sees the same bounds.
 """
 
 from __future__ import annotations
@@ -18,34 +16,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 992
+SAMPLE = 1_000  # expected sample size per group
 FAN = 16  # buckets = FAN * FAN, found in two steps of FAN - 1 comparisons
+HASH_RANGE = 1 << 40
 
 BUCKET = "__bucket"
 _GROUP = "__group"
 
 
-def _sample(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
-    by_hash = Window.partitionBy(*group).orderBy(F.xxhash64(value), value)
-    return (
-        df.select(*group, value)
-        .withColumn("__n", F.row_number().over(by_hash))
-        .filter(F.col("__n") <= SAMPLE)
-        .groupBy(*group)
-        .agg(F.sort_array(F.collect_list(value)).alias("__sample"))
-    )
-
+def _bounds(df: DataFrame, value: str, measures: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """Per group: totals, FAN-1 coarse bounds and FAN lists of FAN-1 fine bounds.
 
-def _cuts(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
-    """Per group: FAN-1 coarse bounds and FAN lists of FAN-1 fine bounds."""
+    The sample carries a measure along although only its values are used: all
+    readers of ``df`` then need the same columns, and Spark runs the shuffle
+    behind ``df`` once for all of them.
+    """
+    sizes = df.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("__size"), *[F.sum(m).alias(f"total_{m}") for m in measures]
+    )
+    point = F.pmod(F.xxhash64(value), F.lit(HASH_RANGE)) / F.lit(float(HASH_RANGE))
+    sample = (
+        df.join(F.broadcast(sizes), list(group))
+        .filter(point * F.col("__size") < SAMPLE)
+        .groupBy(*group, "__size", *[f"total_{m}" for m in measures])
+        .agg(F.sort_array(F.collect_list(F.struct(value, *measures))).alias("__pairs"))
+        .withColumn("__sample", F.transform("__pairs", lambda pair: pair[value]))
+    )
 
     def bound(position: Column) -> Column:
         index = F.floor(position * F.size("__sample") / F.lit(FAN * FAN)) + 1
         return F.element_at("__sample", index.cast("int"))
 
     steps = F.sequence(F.lit(1), F.lit(FAN - 1))
-    return _sample(df, value, group).select(
+    return sample.select(
         *group,
+        *[f"total_{m}" for m in measures],
         F.transform(steps, lambda i: bound(i * FAN)).alias("__coarse"),
         F.transform(
             F.sequence(F.lit(0), F.lit(FAN - 1)),
@@ -54,10 +59,9 @@ def _cuts(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     )
 
 
-def order_buckets(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    """Add ``__bucket``: v1 < v2 in one group implies bucket(v1) <= bucket(v2)."""
-    cuts = _cuts(df, value, group)
-    joined = df.join(F.broadcast(cuts), list(group))
+def order_buckets(df: DataFrame, value: str, measures: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """Add ``__bucket`` and the group's totals: v1 < v2 implies bucket(v1) <= bucket(v2)."""
+    joined = df.join(F.broadcast(_bounds(df, value, measures, group)), list(group))
     hi = F.size(F.filter("__coarse", lambda b: b < F.col(value)))
     lo = F.size(F.filter(F.element_at("__fine", F.col("__hi") + 1), lambda b: b < F.col(value)))
     return (
@@ -70,7 +74,7 @@ def order_buckets(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataF
 def running_total(
     df: DataFrame, value: str, measures: Sequence[str], group: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``run_<m>``: the sum of m over this and all smaller values of the group.
+    """Add ``run_<m>``, the sum of m over this and all smaller values of the group, and ``total_<m>``.
 
     ``df`` must hold each (group, value) once: collapse equal values first, so
     that a value shared by a third of all rows is one row here. The number of
@@ -82,28 +86,34 @@ def running_total(
         source = df.withColumn(_GROUP, F.lit(0))
         group = [_GROUP]
     group = list(group)
-    bucketed = order_buckets(source, value, group)
+    bucketed = order_buckets(source, value, measures, group).repartition(*group, BUCKET)
     before = Window.partitionBy(*group).orderBy(BUCKET)
-    offsets = (
-        bucketed.groupBy(*group, BUCKET)
-        .agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
-        .select(
-            *group,
-            BUCKET,
-            *[(F.sum(f"__t_{m}").over(before) - F.col(f"__t_{m}")).alias(f"__b_{m}") for m in measures],
-        )
+    # the largest value keeps the columns equal to those of the rows below, so
+    # that one shuffle by bucket serves both
+    totals = bucketed.groupBy(*group, BUCKET).agg(
+        F.max(value).alias("__top"),
+        *[F.sum(m).alias(f"__t_{m}") for m in measures],
+        *[F.max(f"total_{m}").alias(f"__g_{m}") for m in measures],
     )
-    inside = Window.partitionBy(*group, BUCKET).orderBy(value)
-    out = bucketed.join(F.broadcast(offsets), [*group, BUCKET]).withColumns(
-        {f"run_{m}": F.col(f"__b_{m}") + F.sum(m).over(inside) for m in measures}
+    offsets = totals.select(
+        *group,
+        BUCKET,
+        "__top",
+        *[f"__g_{m}" for m in measures],
+        *[(F.sum(f"__t_{m}").over(before) - F.col(f"__t_{m}")).alias(f"__b_{m}") for m in measures],
     )
-    return out.drop(BUCKET, _GROUP, *[f"__b_{m}" for m in measures])
+    inside = Window.partitionBy(*group, BUCKET).orderBy(value)
+    summed = bucketed.withColumns({f"__r_{m}": F.sum(m).over(inside) for m in measures})
+    out = summed.join(F.broadcast(offsets), [*group, BUCKET]).filter(F.col(value) <= F.col("__top"))
+    out = out.withColumns({f"run_{m}": F.col(f"__b_{m}") + F.col(f"__r_{m}") for m in measures})
+    extra = [f"{p}{m}" for m in measures for p in ("__b_", "__r_", "__g_")]
+    return out.drop(BUCKET, _GROUP, "__top", *extra)
 
 
 def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     """0..n-1 by sorted ``key``; ``key`` must be unique in ``df``."""
     ranked = running_total(df.withColumn("__one", F.lit(1).cast("long")), key, ["__one"])
-    return ranked.withColumn(name, F.col("run___one") - 1).drop("__one", "run___one")
+    return ranked.withColumn(name, F.col("run___one") - 1).drop("__one", "run___one", "total___one")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> DataFrame:
@@ -114,9 +124,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[f
     each rank are picked from the running counts.
     """
     counts = value_counts_long(df, columns)
-    ranked = running_total(counts, "value", ["n"], ["column"])
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    placed = ranked.join(F.broadcast(totals), "column")
+    placed = running_total(counts, "value", ["n"], ["column"]).withColumnRenamed("total_n", "total")
 
     first = F.col("run_n") - F.col("n")
     aggs = []
