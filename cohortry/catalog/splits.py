@@ -52,7 +52,9 @@ def w3_hash(t: Tables) -> DataFrame:
 
 
 @query("w4_stratified_folds", f"""
-WITH {RANKED_SQL} SELECT o_orderkey, o_orderpriority, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM ranked""")
+WITH {RANKED_SQL}
+SELECT o_orderkey, o_orderpriority, CAST((rn > round(n * 0.2::DOUBLE))::INT + (rn > round(n * 0.4::DOUBLE))::INT
+    + (rn > round(n * 0.6::DOUBLE))::INT + (rn > round(n * 0.8::DOUBLE))::INT AS INTEGER) AS fold FROM ranked""")
 def w4(t: Tables) -> DataFrame:
     return W.assign_folds(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority")
 

@@ -85,25 +85,27 @@ def fixed2(value: Column) -> Column:
     """Text with two decimals, rounded from the exact binary value, ties to even.
 
     ``format_string`` rounds the shortest decimal text instead, so 1.005 (which
-    is stored just below) would become 1.01. Scaling by a power of two is exact,
-    and the rest is integer arithmetic. Beyond 2**22 ``format_string`` is used.
+    is stored just below) would become 1.01. Scaling by a power of two is exact
+    as long as it reaches the last bit of the number, and the rest is integer
+    arithmetic. From 2**30 on ``format_string`` is used.
     """
     size = F.abs(value)
 
     def exact(bits: int) -> Column:
-        scaled = size * F.lit(float(2**bits))
-        whole = scaled.cast("bigint").cast("decimal(20,0)")
-        rest = scaled > F.floor(scaled).cast("double")
+        whole = (size * F.lit(float(2**bits))).cast("bigint").cast("decimal(20,0)")
         unit = F.lit(2**bits).cast("decimal(20,0)")
         hundred = (whole * F.lit(100).cast("decimal(3,0)")).cast("decimal(30,0)")
         cents = F.floor(hundred / unit).cast("decimal(30,0)")
         # the quotient above is itself rounded: step back if it went too far
         cents = F.when(cents * unit > hundred, cents - 1).otherwise(cents).cast("decimal(30,0)")
         left = (hundred - cents * unit) * 2
-        up = (left > unit) | ((left == unit) & (rest | (cents % 2 == 1)))
+        up = (left > unit) | ((left == unit) & (cents % 2 == 1))
         return (cents + F.when(up, 1).otherwise(0)).cast("bigint")
 
-    cents = F.when(size < 2**10, exact(52)).when(size < 2**21, exact(41))
+    cents = (
+        F.when(size < 2, exact(60)).when(size < 2**10, exact(52)).when(size < 2**20, exact(42))
+        .when(size < 2**30, exact(32))
+    )
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
     text = F.concat(
         sign,

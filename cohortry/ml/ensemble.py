@@ -16,6 +16,7 @@ from cohortry.functions.scalar import entropy_confidence, label_of, rank_alterna
 from cohortry.ml.members import FEATURES, Member, assemble, with_probabilities
 from cohortry.operators.aggregate import evaluate
 from cohortry.operators.vote import hard_vote, soft_class, soft_vote
+from cohortry.plans.session import cut_lineage
 
 METHODS = ("voting", "weighted_voting")
 
@@ -49,7 +50,9 @@ class EnsembleModel:
         return scored.withColumn("prediction", hard_vote([soft_class(n) for n in names])).drop(*names)
 
     def evaluate(self, df: DataFrame, label: str) -> DataFrame:
-        return evaluate(self.transform(df), label, "prediction", "probabilities", list(range(self.n_classes)))
+        """The five metrics. The scored rows are written once, as two reports read them."""
+        scored = cut_lineage(self.transform(df).select(label, "prediction", "probabilities"))
+        return evaluate(scored, label, "prediction", "probabilities", list(range(self.n_classes)))
 
     def predict(self, df: DataFrame, labels: Mapping[int, str] = schemas.TREATMENT_LABELS,
                 patient_id: str = "patient_id") -> DataFrame:

@@ -13,8 +13,12 @@ PROBE_PAGE = 1_000
 
 
 def merge_modalities(base: DataFrame, others: dict[str, DataFrame], on: str = "patient_id",
-                     null_safe: bool = False) -> DataFrame:
-    """LEFT join each modality; a column name already taken gets the modality as suffix."""
+                     repeated: Sequence[str] = (), null_safe: bool = False) -> DataFrame:
+    """LEFT join each modality; a column name already taken gets the modality as suffix.
+
+    Modalities named in ``repeated`` may hold a subject many times; the others
+    hold it once, so a plain left join of two unique keys is enough.
+    """
     out = base
     for name, other in others.items():
         for c in other.columns:
@@ -23,8 +27,10 @@ def merge_modalities(base: DataFrame, others: dict[str, DataFrame], on: str = "p
         if null_safe:
             right = other.withColumnRenamed(on, "__on")
             out = out.join(right, F.col(on).eqNullSafe(F.col("__on")), "left").drop("__on")
-        else:
+        elif name in repeated:
             out = fan_out_left_join(out, other, [on])
+        else:
+            out = out.join(other, on, "left")
     return out
 
 

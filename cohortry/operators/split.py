@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.operators.aggregate import moments
-from cohortry.plans.ordered import hash_order_index, running_total
+from cohortry.plans.ordered import hash_cuts, running_total
+from cohortry.plans.skew import small_side
 
 KS_TERMS = 100
 NAMES = ("train", "val", "test")
@@ -24,21 +25,33 @@ def _check(fractions: Sequence[float]) -> None:
         raise ValueError("fractions must sum to 1")
 
 
+def _cut_points(df: DataFrame, key: str, label: str | None, fractions: Sequence[float], seed: int) -> DataFrame:
+    """Rows with their digest ``__h`` and the cut digests ``__cuts`` of their class.
+
+    The cuts (one row per class) are found first and broadcast; the rows
+    themselves are not moved.
+    """
+    source = df.withColumn("__h", F.md5(_seeded(key, seed)))
+    source = source.withColumn("__class", F.col(label) if label else F.lit(0))
+    cuts = small_side(hash_cuts(source, "__h", "__class", fractions)).select(
+        F.col("__class").alias("__g"), F.col("cuts").alias("__cuts"))
+    none = F.array(*[F.lit("") for _ in fractions])
+    joined = source.join(cuts, F.col("__class").eqNullSafe(F.col("__g")), "left")
+    return joined.withColumn("__cuts", F.coalesce("__cuts", none)).drop("__g", "__class")
+
+
 def stratified_split(df: DataFrame, key: str, label: str | None = None,
                      fractions: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """Add ``split``: exact shares (rounded) of every class, in the order of md5(key|seed).
 
-    ``key`` must identify a row. Classes are cut into hash buckets, so a class
-    with most of the rows is still split by many tasks.
+    ``key`` must identify a row. A row's part follows from its own digest and
+    two cut points of its class, so assigning it needs no shuffle.
     """
     _check(fractions)
-    source = df if label else df.withColumn("__all", F.lit(0))
-    ranked = hash_order_index(source, _seeded(key, seed), label or "__all", "__rn")
-    position, total = F.col("__rn"), F.col("__total")
-    first = F.round(total * fractions[0])
-    second = F.round(total * (fractions[0] + fractions[1]))
-    name = F.when(position <= first, NAMES[0]).when(position <= second, NAMES[1]).otherwise(NAMES[2])
-    return ranked.withColumn("split", name).drop("__rn", "__total", "__all")
+    placed = _cut_points(df, key, label, [fractions[0], fractions[0] + fractions[1]], seed)
+    digest, cuts = F.col("__h"), F.col("__cuts")
+    name = F.when(digest <= cuts[0], NAMES[0]).when(digest <= cuts[1], NAMES[1]).otherwise(NAMES[2])
+    return placed.withColumn("split", name).drop("__h", "__cuts")
 
 
 def hash_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
@@ -56,9 +69,13 @@ def parts(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def assign_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``fold`` 0..k-1, dealt out in turn inside each class."""
-    ranked = hash_order_index(df, _seeded(key, seed), label, "__rn")
-    return ranked.withColumn("fold", F.pmod(F.col("__rn") - 1, F.lit(k)).cast("int")).drop("__rn", "__total")
+    """Add ``fold`` 0..k-1: equal runs of every class in the order of md5(key|seed).
+
+    The folds of a class differ by one row at most, and assigning them needs no shuffle.
+    """
+    placed = _cut_points(df, key, label, [i / k for i in range(1, k)], seed)
+    passed = F.filter("__cuts", lambda cut: F.col("__h") > cut)
+    return placed.withColumn("fold", F.size(passed)).drop("__h", "__cuts")
 
 
 def retrieval_confidence(hits: DataFrame, queries: DataFrame | None = None, query: str = "query_id",

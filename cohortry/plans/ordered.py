@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.plans.skew import small_side
+
 SAMPLE = 1_000  # expected sample size per group
 FAN = 16  # buckets = FAN * FAN, found in two steps of FAN - 1 comparisons
 HASH_RANGE = 1 << 40
@@ -159,27 +161,32 @@ def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def hash_order_index(df: DataFrame, key: str | Column, group: str, name: str) -> DataFrame:
-    """1..n inside each group, in the order of ``md5(key)``.
+def hash_cuts(df: DataFrame, hashed: str, group: str, fractions: Sequence[float]) -> DataFrame:
+    """(group, cuts): per fraction, the hash of the row at rank round(n * fraction).
 
-    The first three hex digits split every group into 4096 even buckets, so a
-    class holding most rows is still sorted by many tasks. ``key`` must be
-    unique in its group.
+    ``hashed`` is a hex digest, unique inside its group. Its first three digits
+    give 4096 even buckets; their counts tell which bucket holds a rank, and
+    only the rows of those buckets (about one in 4096) are sorted. A rank of 0
+    gives the empty text, which no digest is below; a group with no other rank
+    has no row here.
     """
-    hashed = df.withColumn("__h", F.md5(key if isinstance(key, Column) else F.col(key).cast("string")))
-    hashed = hashed.withColumn(BUCKET, F.substring("__h", 1, 3))
-    before = Window.partitionBy(group).orderBy(BUCKET)
-    offsets = (
-        hashed.groupBy(group, BUCKET)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.sum("__n").over(before) - F.col("__n"))
-        .withColumn("__total", F.sum("__n").over(Window.partitionBy(group)))
-        .drop("__n")
-        .withColumnRenamed(group, "__g")
-        .withColumnRenamed(BUCKET, "__p")
-    )
-    inside = Window.partitionBy(group, BUCKET).orderBy("__h")
-    joined = hashed.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col(BUCKET) == F.col("__p")))
-    return joined.withColumn(name, F.col("__before") + F.row_number().over(inside)).drop(
-        "__h", "__g", "__p", "__before", BUCKET
-    )
+    rows = df.select(F.col(group).alias("g"), F.col(hashed).alias("h")).withColumn("b", F.substring("h", 1, 3))
+    counts = rows.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("g").orderBy("b")
+    placed = counts.withColumns({
+        "end": F.sum("n").over(before),
+        "total": F.sum("n").over(Window.partitionBy("g")),
+    })
+    ranks = [
+        F.struct(F.lit(i).alias("i"), F.round(F.col("total") * F.lit(float(f))).cast("bigint").alias("rank"))
+        for i, f in enumerate(fractions)
+    ]
+    wanted = placed.select("g", "b", "n", "end", F.inline(F.array(*ranks))).filter(
+        (F.col("rank") <= F.col("end")) & (F.col("rank") > F.col("end") - F.col("n"))
+    ).select(F.col("g").alias("wg"), F.col("b").alias("wb"), "i", (F.col("rank") - F.col("end") + F.col("n")).alias("nth"))
+    narrow = rows.join(small_side(wanted), F.col("g").eqNullSafe(F.col("wg")) & (F.col("b") == F.col("wb")))
+    at = F.row_number().over(Window.partitionBy("g", "i").orderBy("h"))
+    found = narrow.select("g", "i", "nth", "h").withColumn("at", at).filter(F.col("at") == F.col("nth"))
+    listed = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("i", "h"))).alias("by_rank"))
+    cuts = F.array(*[F.coalesce(F.try_element_at("by_rank", F.lit(i)), F.lit("")) for i in range(len(fractions))])
+    return listed.select(F.col("g").alias(group), cuts.alias("cuts"))

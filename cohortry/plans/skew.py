@@ -52,3 +52,15 @@ def flag_repeated(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
 def within(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than that + 1."""
     return df.limit(rows + 1).count() <= rows
+
+
+def small_side(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` as a broadcast local table if it has at most ``rows`` rows, else ``df`` itself.
+
+    Reads ``rows`` + 1 rows at most to find out; a larger table is left to a
+    shuffle join.
+    """
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
