@@ -172,9 +172,12 @@ def prediction_stats(predictions: DataFrame, as_of: Column, days: int = 30,
                      treatment: str = "predicted_treatment", probability: str = "response_probability",
                      confidence: str = "confidence", created: str = "created_at") -> DataFrame:
     """Per treatment: count and averages of the last ``days`` before the date ``as_of``, most frequent first."""
-    since = F.date_sub(as_of.cast("date"), days).cast("timestamp_ntz")
+    first_day = F.date_sub(as_of.cast("date"), days)
+    recent = predictions.filter(F.col(created) >= first_day.cast("timestamp_ntz"))
+    if "created_date" in predictions.columns:  # the sink's partition column
+        recent = recent.filter(F.col("created_date") >= first_day)
     return (
-        predictions.filter(F.col(created) >= since)
+        recent
         .groupBy(treatment)
         .agg(
             F.count(F.lit(1)).alias("total_predictions"),

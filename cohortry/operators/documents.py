@@ -21,9 +21,11 @@ from cohortry.operators.aggregate import top_k_per_group
 from cohortry.operators.join import unseen
 from cohortry.operators.split import retrieval_confidence
 from cohortry.operators.validate import dedup_first
-from cohortry.plans.skew import within
+from cohortry.plans.session import cut_lineage
+from cohortry.plans.skew import small_side, within
 
 QUERY_PAGE = 1_000
+HITS_BOUND = 100_000
 PAGE_BLOCK = 1_024
 DIGITS = 10  # distances are rounded so that equal vectors tie exactly
 
@@ -52,7 +54,8 @@ def number_chunks(df: DataFrame, source: str, page: str | None = None, kind: str
 
     ``df`` has one row per source (and page) with ``chunks``. Page offsets are
     summed over blocks of pages first, so a source with very many pages is not
-    sorted by one task.
+    sorted by one task. With pages ``df`` is read twice: store it first if its
+    chunks are costly.
     """
     stem = F.regexp_replace(F.regexp_extract(F.col(source), r"([^/]+)$", 1), r"\.[^.]+$", "")
     if page is None:
@@ -117,8 +120,8 @@ def vector_search(docs: DataFrame, queries: DataFrame, k: int = 5, metadata: Map
     """(query, rank, doc, distance): the k smallest cosine distances of every query.
 
     Exact. One pass over the documents per page of queries: each Arrow batch is
-    multiplied with the query matrix and keeps its k best per query, so only
-    those candidates are shuffled. Queries are read a page at a time, and the
+    multiplied with the query matrix, and a task sends on its k best per query,
+    so only those candidates are shuffled. Queries are read a page at a time, and the
     pages together are the whole query table.
     """
     if metadata:
@@ -145,24 +148,35 @@ def vector_search(docs: DataFrame, queries: DataFrame, k: int = 5, metadata: Map
 
 
 def _nearest_candidates(docs: DataFrame, rows: Sequence, k: int, doc_id: str, embedding: str, query_type) -> DataFrame:
-    """Per Arrow batch of documents, the k nearest for each query of the page."""
+    """Per task, the k nearest documents for each query of the page."""
     names = [r["query_id"] for r in rows]
     matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
     matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[tuple] = [(np.empty(0), None)] * len(names)
         for batch in batches:
             if batch.empty:
                 continue
             vectors = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
             lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
             cosine = (vectors / np.where(lengths == 0.0, 1.0, lengths)) @ matrix.T
-            distance = np.round(1.0 - cosine, DIGITS)
+            distances = np.round(1.0 - cosine, DIGITS)
             ids = batch["doc_id"].to_numpy()
-            for q, name in enumerate(names):
-                best = np.lexsort((ids, distance[:, q]))[:k]
-                yield pd.DataFrame({"query_id": [name] * len(best), "doc_id": ids[best], "distance": distance[best, q]})
+            for q in range(len(names)):
+                near, known = distances[:, q], ids
+                if len(near) > k:  # all rows up to the k-th distance, ties included
+                    close = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1])
+                    near, known = near[close], ids[close]
+                if best[q][1] is not None:
+                    near = np.concatenate([best[q][0], near])
+                    known = np.concatenate([best[q][1], known])
+                first = np.lexsort((known, near))[:k]
+                best[q] = (near[first], known[first])
+        for name, (near, known) in zip(names, best):
+            if known is not None:
+                yield pd.DataFrame({"query_id": [name] * len(near), "doc_id": known, "distance": near})
 
     return (
         docs.select(F.col(doc_id).alias("doc_id"), F.col(embedding).alias("embedding"))
@@ -172,9 +186,13 @@ def _nearest_candidates(docs: DataFrame, rows: Sequence, k: int, doc_id: str, em
 
 
 def retrieved_contexts(hits: DataFrame, docs: DataFrame, doc_id: str = "id", content: str = "content") -> DataFrame:
-    """(query, context): numbered contents in rank order; at most k per query."""
+    """(query, context): numbered contents in rank order; at most k per query.
+
+    The hits are few: as a small local table they are sent to the documents,
+    whose texts then stay where they are.
+    """
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("content"))
-    found = hits.select("query_id", "rank", "doc_id").join(texts, "doc_id")
+    found = texts.join(small_side(hits.select("query_id", "rank", "doc_id"), HITS_BOUND), "doc_id")
     ordered = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "content"))).alias("hits"))
     return ordered.select("query_id", context_text(F.transform("hits", lambda h: h["content"])).alias("context"))
 
@@ -220,7 +238,7 @@ def recommendation_context(patients: DataFrame, docs: DataFrame, model: Pipeline
     queries = embed(
         asked.select(F.col(patient_id).alias("query_id"), F.col("search_text").alias("content")), model
     ).select("query_id", "embedding")
-    hits = vector_search(docs, queries, k)
+    hits = cut_lineage(vector_search(docs, queries, k))  # read twice below
     confidence = retrieval_confidence(hits)
     contexts = retrieved_contexts(hits, docs)
     out = (

@@ -20,35 +20,25 @@ FEATURE_WIDTH = 128
 # ---------------------------------------------------------------------------
 
 
-def property_rows(df: DataFrame, keys: Sequence[str], order: str | None) -> DataFrame:
-    """(keys, key, value, order): one row per property."""
-    return df.select(*keys, F.explode("props").alias("key", "value"), *([order] if order else []))
-
-
-def latest_properties(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last value of each property; a null value removes the property."""
-    last = rows.groupBy(*keys, "key").agg(
-        F.max_by(F.struct("value"), F.struct(F.col(order), F.col("value").isNull(), F.col("value"))).alias("last")
-    )
-    return last.select(*keys, "key", F.col("last.value").alias("value")).filter(F.col("value").isNotNull())
-
-
 def _fold(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per key with its merged property map.
+    """One row per key with its merged property map; a null value removes the property.
 
-    Updates are folded per (key, property) with a partial aggregate before the
-    map is built, so its size is the number of distinct property names.
+    One row per property, the last one kept with a partial aggregate per (key,
+    property), and only then the map: its size is the number of distinct
+    property names, however many updates a key has. A key without properties
+    stays as one row with a null name.
     """
     keys = list(keys)
-    before = old.select(*keys, "props").withColumn("__seq", F.lit(-1).cast("bigint"))
+    before = old.select(*keys, "props", F.lit(-1).cast("bigint").alias("__seq"))
     after = new.select(*keys, "props", F.col(order).cast("bigint").alias("__seq"))
-    every = before.unionByName(after)
-    latest = latest_properties(property_rows(every, keys, "__seq"), keys, "__seq")
-    maps = latest.groupBy(*keys).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("props")
+    rows = before.unionByName(after).select(*keys, "__seq", F.explode_outer("props").alias("key", "value"))
+    newest = F.struct("__seq", F.col("value").isNull(), "value")
+    last = rows.groupBy(*keys, "key").agg(F.max_by(F.struct("value"), newest).alias("last"))
+    listed = last.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("key", F.col("last.value").alias("value")))).alias("entries")
     )
-    empty = F.create_map().cast("map<string,string>")
-    return every.select(*keys).distinct().join(maps, keys, "left").withColumn("props", F.coalesce("props", empty))
+    present = F.filter("entries", lambda e: e["key"].isNotNull() & e["value"].isNotNull())
+    return listed.select(*keys, F.map_from_entries(present).alias("props"))
 
 
 def merge_nodes(nodes: DataFrame, updates: DataFrame, order: str = "seq") -> DataFrame:
@@ -130,10 +120,10 @@ def similar_by_graph(edges: DataFrame, patient: str, k: int = 10, variant: str =
     """
 
     def shared(kind: str, name: str) -> DataFrame:
-        typed = edges.filter(F.col("type") == kind).select("src", "dst").distinct()
-        mine = typed.filter(F.col("src") == F.lit(patient)).select("dst")
-        others = typed.filter(F.col("src") != F.lit(patient))
-        return others.join(mine, "dst", "left_semi").groupBy("src").agg(F.count(F.lit(1)).alias(name))
+        typed = edges.filter(F.col("type") == kind).select("src", "dst")
+        mine = typed.filter(F.col("src") == F.lit(patient)).select("dst").distinct()
+        others = typed.filter(F.col("src") != F.lit(patient)).join(mine, "dst", "left_semi")
+        return others.groupBy("src").agg(F.count_distinct("dst").alias(name))
 
     both = shared(variant, "variants").join(shared(phenotype, "phenotypes"), "src")
     score = F.col("variants") * 2.0 + F.col("phenotypes")
@@ -152,13 +142,13 @@ def drug_gene_paths(edges: DataFrame, gene_nodes: DataFrame, genes: Sequence[str
     """
     wanted = gene_nodes.filter(F.col("symbol").isin(list(genes))).select(F.col("id").alias("src"), "symbol")
     per_protein = (
-        edges.filter(F.col("type") == encodes).select("src", "dst").distinct().join(wanted, "src")
-        .groupBy(F.col("dst").alias("protein"), "symbol").agg(F.count(F.lit(1)).alias("n"))
+        edges.filter(F.col("type") == encodes).select("src", F.col("dst").alias("protein")).join(wanted, "src")
+        .groupBy("protein", "symbol").agg(F.count_distinct("src").alias("n"))
         .groupBy("protein").agg(F.collect_list(F.struct("symbol", "n")).alias("found"))
     )
     hits = edges.filter(F.col("type") == targets).select(F.col("src").alias("drug"), F.col("dst").alias("protein"))
     return (
-        hits.distinct().join(per_protein, "protein").select("drug", F.inline("found"))
+        hits.join(per_protein, "protein").dropDuplicates(["drug", "protein"]).select("drug", F.inline("found"))
         .groupBy("drug", F.col("symbol").alias("gene")).agg(F.sum("n").alias("n"))
     )
 
@@ -236,15 +226,14 @@ def propagate_features(features: DataFrame, edges: DataFrame, hops: int = 2, dim
     if dim is None:
         first = features.select(F.size("features").alias("n")).first()
         dim = first["n"] if first else 0
-    links = cut_lineage(_both_ways(edges).filter(F.col("a") != F.col("b")).distinct())
+    ids = features.select(F.col("id").alias("b"))
+    links = _both_ways(edges).filter(F.col("a") != F.col("b")).distinct().join(ids, "b", "left_semi")
+    if hops > 1:
+        links = cut_lineage(links)
     slots = [f"f{i}" for i in range(dim)]
     state = features.select("id", *[F.element_at("features", i + 1).cast("double").alias(s) for i, s in enumerate(slots)])
     for hop in range(hops):
-        known = state.select("id")
-        sent = (
-            links.join(state.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), *slots)
-            .join(known, "id", "left_semi")
-        )
+        sent = links.join(state.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), *slots)
         state = state.unionByName(sent).groupBy("id").agg(*[F.avg(s).alias(s) for s in slots])
         if hop < hops - 1:
             state = cut_lineage(state)

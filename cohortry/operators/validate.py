@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -230,6 +231,12 @@ class Processed:
     n_input: Observation
     n_output: Observation
     metadata: Mapping[str, str] = field(default_factory=dict)
+    started: float = field(default_factory=time.monotonic)
+
+    def processing_time(self) -> float:
+        """Seconds from the definition of the job to its counts; waits for them."""
+        _ = self.n_output.get
+        return time.monotonic() - self.started
 
     def summary(self) -> dict[str, int]:
         return {

@@ -23,6 +23,7 @@ from cohortry.operators.split import parts, stratified_split
 from cohortry.operators.validate import (
     CLINICAL_RULES, GENETIC_RULES, Processed, RuleSet, dedup_first, process,
 )
+from cohortry.plans.session import cut_lineage
 from cohortry.sources import files, warehouse
 
 
@@ -97,7 +98,7 @@ def build_knowledge_base(spark: SparkSession, path: str, guidelines: str | None
     """
     found: list[DataFrame] = []
     if pages is not None:
-        chunked = pages.withColumn("chunks", recursive_chunks("text"))
+        chunked = cut_lineage(pages.select("source", "page", recursive_chunks("text").alias("chunks")))
         found.append(documents.number_chunks(chunked, "source", "page"))
     if abstracts is not None:
         pieces = documents.split_abstracts(abstracts, "text", ["source", "query"])
@@ -111,7 +112,7 @@ def build_knowledge_base(spark: SparkSession, path: str, guidelines: str | None
         found.append(documents.number_chunks(chunked, "source", kind="guideline"))
     if not found:
         raise ValueError("no sources given")
-    embedded = documents.embed_tfidf(union_sources(found), dim=dim)
+    embedded = documents.embed_tfidf(cut_lineage(union_sources(found)), dim=dim)
     collection = _collection(spark, path)
     new = documents.add_documents(collection, embedded) if collection is not None else dedup_first(
         embedded, "id", [F.md5("content")])
@@ -120,7 +121,7 @@ def build_knowledge_base(spark: SparkSession, path: str, guidelines: str | None
 
 
 def _collection(spark: SparkSession, path: str) -> DataFrame | None:
-    """The collection written so far, read back from a fixed snapshot of its files."""
+    """The collection written so far: the files listed now, so appending does not disturb the read."""
     from pyspark.errors import AnalysisException
 
     try:

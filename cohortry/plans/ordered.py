@@ -11,6 +11,7 @@ not depend on task timing: a task that is run again sees the same bounds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,16 +19,25 @@ from pyspark.sql import functions as F
 
 from cohortry.plans.skew import small_side
 
-SAMPLE = 1_000  # expected sample size per group
-FAN = 16  # buckets = FAN * FAN, found in two steps of FAN - 1 comparisons
+SAMPLES_PER_BUCKET = 8
 HASH_RANGE = 1 << 40
 
 BUCKET = "__bucket"
 _GROUP = "__group"
 
 
-def _bounds(df: DataFrame, value: str, measures: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """Per group: totals, FAN-1 coarse bounds and FAN lists of FAN-1 fine bounds.
+def _fan(df: DataFrame) -> int:
+    """fan * fan buckets, about one per shuffle partition, between 64 and 4096.
+
+    A bucket is found in two steps of fan - 1 comparisons. The result of a
+    running total does not depend on the number of buckets.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, min(64, math.ceil(math.sqrt(width))))
+
+
+def _bounds(df: DataFrame, value: str, measures: Sequence[str], group: Sequence[str], fan: int) -> DataFrame:
+    """Per group: totals, fan-1 coarse bounds and fan lists of fan-1 fine bounds.
 
     The sample carries a measure along although only its values are used: all
     readers of ``df`` then need the same columns, and Spark runs the shuffle
@@ -39,36 +49,37 @@ def _bounds(df: DataFrame, value: str, measures: Sequence[str], group: Sequence[
     point = F.pmod(F.xxhash64(value), F.lit(HASH_RANGE)) / F.lit(float(HASH_RANGE))
     sample = (
         df.join(F.broadcast(sizes), list(group))
-        .filter(point * F.col("__size") < SAMPLE)
+        .filter(point * F.col("__size") < SAMPLES_PER_BUCKET * fan * fan)
         .groupBy(*group, "__size", *[f"total_{m}" for m in measures])
         .agg(F.sort_array(F.collect_list(F.struct(value, *measures))).alias("__pairs"))
         .withColumn("__sample", F.transform("__pairs", lambda pair: pair[value]))
     )
 
     def bound(position: Column) -> Column:
-        index = F.floor(position * F.size("__sample") / F.lit(FAN * FAN)) + 1
+        index = F.floor(position * F.size("__sample") / F.lit(fan * fan)) + 1
         return F.element_at("__sample", index.cast("int"))
 
-    steps = F.sequence(F.lit(1), F.lit(FAN - 1))
+    steps = F.sequence(F.lit(1), F.lit(fan - 1))
     return sample.select(
         *group,
         *[f"total_{m}" for m in measures],
-        F.transform(steps, lambda i: bound(i * FAN)).alias("__coarse"),
+        F.transform(steps, lambda i: bound(i * fan)).alias("__coarse"),
         F.transform(
-            F.sequence(F.lit(0), F.lit(FAN - 1)),
-            lambda hi: F.transform(steps, lambda lo: bound(hi * FAN + lo)),
+            F.sequence(F.lit(0), F.lit(fan - 1)),
+            lambda hi: F.transform(steps, lambda lo: bound(hi * fan + lo)),
         ).alias("__fine"),
     )
 
 
 def order_buckets(df: DataFrame, value: str, measures: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Add ``__bucket`` and the group's totals: v1 < v2 implies bucket(v1) <= bucket(v2)."""
-    joined = df.join(F.broadcast(_bounds(df, value, measures, group)), list(group))
+    fan = _fan(df)
+    joined = df.join(F.broadcast(_bounds(df, value, measures, group, fan)), list(group))
     hi = F.size(F.filter("__coarse", lambda b: b < F.col(value)))
     lo = F.size(F.filter(F.element_at("__fine", F.col("__hi") + 1), lambda b: b < F.col(value)))
     return (
         joined.withColumn("__hi", hi)
-        .withColumn(BUCKET, F.col("__hi") * FAN + lo)
+        .withColumn(BUCKET, F.col("__hi") * fan + lo)
         .drop("__coarse", "__fine", "__hi")
     )
 
@@ -81,7 +92,7 @@ def running_total(
     ``df`` must hold each (group, value) once: collapse equal values first, so
     that a value shared by a third of all rows is one row here. The number of
     groups must be small (columns of a table, classes of a model): the offset
-    table broadcast below has at most FAN*FAN rows per group.
+    table broadcast below has at most 4096 rows per group.
     """
     source = df
     if not group:

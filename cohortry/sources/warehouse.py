@@ -18,8 +18,13 @@ COPY_BLOCK = 10_000
 def explode_treatments(df: DataFrame, value: str = "previous_treatments", sep: str = ";",
                        name: str = "treatment_name") -> DataFrame:
     """One row per list item, trimmed; null and empty lists give no row, empty items stay."""
+    return _list_items(df, value, sep, name).drop("position")
+
+
+def _list_items(df: DataFrame, value: str, sep: str, name: str) -> DataFrame:
     items = F.split(F.col(value), "\\Q" + sep + "\\E", -1)
-    return df.filter(F.coalesce(F.col(value), F.lit("")) != "").withColumn(name, F.explode(items)).withColumn(
+    given = df.filter(F.coalesce(F.col(value), F.lit("")) != "")
+    return given.select("*", F.posexplode(items).alias("position", name)).withColumn(
         name, F.regexp_replace(name, r"^\s+|\s+$", "")
     )
 
@@ -50,8 +55,9 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def warehouse_tables(clinical: DataFrame, genetic: DataFrame | None, created: Column) -> dict[str, DataFrame]:
     """Patients, clinical data, treatments and variants with surrogate keys.
 
-    Rows of unknown patients are left out. Ids are hashes of the row, so a
-    second load of the same file gives the same ids.
+    ``clinical`` has one row per patient, as the unique rule demands; variants
+    of unknown patients are left out. Ids are hashes of the row (equal variant
+    rows are numbered), so a second load of the same file gives the same ids.
     """
 
     def row_id(df: DataFrame) -> Column:
@@ -63,9 +69,9 @@ def warehouse_tables(clinical: DataFrame, genetic: DataFrame | None, created: Co
     )
     keys = patients.select("id", "patient_id")
     known = resolve_keys(clinical, keys, "patient_id", "id")
-    records = number_copies(known.drop("age", "sex"))
-    treatments = number_copies(explode_treatments(known).select(
-        "patient_id", "treatment_name", F.col("treatment_response").alias("response")))
+    records = known.drop("age", "sex")
+    treatments = _list_items(known, "previous_treatments", ";", "treatment_name").select(
+        "patient_id", "position", "treatment_name", F.col("treatment_response").alias("response"))
     out = {
         "patients": patients,
         "clinical_data": records.withColumns({"id": row_id(records), "created_at": created, "updated_at": created}),
@@ -110,10 +116,12 @@ def prediction_rows(scored: DataFrame, model_version: str, created: Column) -> D
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
-    """Append, partitioned by day, so that the recent-days report reads recent folders only."""
-    rows.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy(
-        "created_date"
-    ).parquet(path)
+    """Append, partitioned by day, so that the recent-days report reads recent folders only.
+
+    The rebalance hint gathers each day into few files and splits a day that is too large for one task.
+    """
+    dated = rows.withColumn("created_date", F.to_date("created_at"))
+    dated.hint("rebalance", "created_date").write.mode("append").partitionBy("created_date").parquet(path)
 
 
 def model_metadata(spark: SparkSession, version: str, model_type: str, metrics: Mapping, params: Mapping,
