@@ -56,7 +56,9 @@ def t2(t: Tables) -> DataFrame:
                       m["page"].alias("page"), m["chunk_index"].alias("chunk_index"))
 
 
-@query("t3_embed_tfidf")
+@query("t3_embed_tfidf", r"""
+SELECT doc_id, CAST(64 AS INTEGER) AS width,
+       CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents""")
 def t3(t: Tables) -> DataFrame:
     docs = t("documents").select("doc_id", F.col("text").alias("content"))
     out = D.embed_tfidf(docs, dim=64)

@@ -382,6 +382,21 @@ def e6(t: Tables) -> DataFrame:
     return encode.pca(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2)
 
 
+@query("e6_pca_two_columns", """
+WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_tax) AS my, var_samp(l_quantity) AS vx, var_samp(l_tax * 100) AS vy,
+                  covar_samp(l_quantity, l_tax * 100) AS c FROM lineitem),
+a AS (SELECT *, 0.5 * atan2(2 * c, vx - vy) AS t FROM m),
+w AS (SELECT mx, my, CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN sign(cos(t)) ELSE sign(sin(t)) END AS s1,
+             CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN sign(cos(t)) ELSE sign(-sin(t)) END AS s2,
+             cos(t) AS u, sin(t) AS v FROM a)
+SELECT l_orderkey, l_linenumber, round(s1 * (u * (l_quantity - mx) + v * (l_tax * 100 - my * 100)), 6) AS pca_0,
+       round(s2 * (-v * (l_quantity - mx) + u * (l_tax * 100 - my * 100)), 6) AS pca_1 FROM lineitem, w""")
+def e6_two(t: Tables) -> DataFrame:
+    df = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_tax") * 100).alias("tax"))
+    out = encode.pca(df, ["l_quantity", "tax"], 2)
+    return out.select("l_orderkey", "l_linenumber", F.round("pca_0", 6).alias("pca_0"), F.round("pca_1", 6).alias("pca_1"))
+
+
 def _dummy_sql(prefix: str, value: str, edges: list[int], labels: list[str]) -> str:
     return ", ".join(
         f"{value} > {lo} AND {value} <= {hi} AS {prefix}_{label}"

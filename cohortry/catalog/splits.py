@@ -46,7 +46,11 @@ def w3_plain(t: Tables) -> DataFrame:
     return W.stratified_split(t("orders").select("o_orderkey"), "o_orderkey", None, (0.5, 0.25, 0.25), 7)
 
 
-@query("w3_hash_split")
+@query("w3_hash_split", """
+SELECT l_orderkey, l_linenumber, CASE WHEN p < 0.7::DOUBLE THEN 'train' WHEN p < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val'
+    ELSE 'test' END AS split
+FROM (SELECT l_orderkey, l_linenumber,
+             ('0x' || substr(md5(l_orderkey || '|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS p FROM lineitem)""")
 def w3_hash(t: Tables) -> DataFrame:
     return W.hash_split(t("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")
 

@@ -148,6 +148,8 @@ def split_text(
     separators: Sequence[str] = tuple(TEXT_SEPARATORS),
 ) -> list[str]:
     """Chunks of at most ``size`` characters, cut at the coarsest separator that fits."""
+    if len(text) <= size:
+        return [text.strip()] if text.strip() else []
     level = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
     finer = separators[level + 1 :]
     chunks: list[str] = []

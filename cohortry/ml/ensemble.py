@@ -44,7 +44,7 @@ class EnsembleModel:
         names = [f"p_{i}" for i in range(len(self.kinds))]
         scored = self.probabilities(df)
         weights = self.weights if self.method == "weighted_voting" else None
-        scored = scored.withColumn("probabilities", soft_vote(names, weights))
+        scored = scored.withColumn("probabilities", soft_vote(names, weights, self.n_classes))
         if self.method == "weighted_voting":
             return scored.withColumn("prediction", soft_class("probabilities")).drop(*names)
         return scored.withColumn("prediction", hard_vote([soft_class(n) for n in names])).drop(*names)

@@ -91,7 +91,7 @@ def number_chunks(df: DataFrame, source: str, page: str | None = None, kind: str
 def fit_embedding(df: DataFrame, text: str = "content", dim: int = 256, min_docs: int = 0) -> PipelineModel:
     """Hashed TF-IDF with unit length; fitted with one pass over the documents."""
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"\W+"),
+        RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"(?U)\W+"),
         HashingTF(inputCol="__words", outputCol="__tf", numFeatures=dim),
         IDF(inputCol="__tf", outputCol="__idf", minDocFreq=min_docs),
         Normalizer(inputCol="__idf", outputCol="__unit", p=2.0),

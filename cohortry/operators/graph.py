@@ -83,8 +83,8 @@ def hop_distances(edges: DataFrame, start: str, depth: int) -> DataFrame:
     costs one hop at most.
     """
     steps = _both_ways(edges)
-    touched = steps.filter(F.col("a") == F.lit(start)).select(F.col("a").alias("id")).limit(1)
-    seen = cut_lineage(touched.withColumn("distance", F.lit(0)))
+    known = not steps.filter(F.col("a") == F.lit(start)).isEmpty()
+    seen = edges.sparkSession.createDataFrame([(start, 0)] if known else [], "id string, distance int")
     for hop in range(1, depth + 1):
         frontier = seen.filter(F.col("distance") == hop - 1).select(F.col("id").alias("a"))
         found = (

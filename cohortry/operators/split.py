@@ -55,9 +55,9 @@ def stratified_split(df: DataFrame, key: str, label: str | None = None,
 
 
 def hash_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """Add ``split`` by the key's hash alone: no shuffle, approximate shares, copies stay together."""
+    """Add ``split`` by the key's md5 alone: no shuffle, approximate shares, copies stay together."""
     _check(fractions)
-    point = F.pmod(F.xxhash64(_seeded(key, seed)), F.lit(1_000_000)) / F.lit(1e6)
+    point = F.conv(F.substring(F.md5(_seeded(key, seed)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     name = F.when(point < fractions[0], NAMES[0]).when(point < fractions[0] + fractions[1], NAMES[1])
     return df.withColumn("split", name.otherwise(NAMES[2]))
 
