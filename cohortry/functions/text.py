@@ -123,6 +123,18 @@ def report_text(answer: str | Column, confidence: str | Column, sources: str | C
     )
 
 
+def trimmed_sources(sources: str | Column) -> Column:
+    """(id, content, metadata) per source, the content cut to the length of a response."""
+    return F.transform(
+        col(sources),
+        lambda s: F.struct(
+            s["id"].alias("id"),
+            F.substring(s["content"], 1, RESPONSE_EXCERPT_CHARS).alias("content"),
+            s["metadata"].alias("metadata"),
+        ),
+    )
+
+
 def window_chunks(text: str | Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Fixed windows: every ``size - overlap`` characters until the text is covered.
 

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortry import schemas
 from cohortry.plans.ordered import exact_quantiles, running_total
@@ -432,10 +431,6 @@ def evaluate(df: DataFrame, label: str, predicted: str, probabilities: str | Non
     return metrics.withColumn("roc_auc", roc_auc_ovr(df, label, probabilities, classes).scalar())
 
 
-def numeric_schema(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-
-
 def top_k(df: DataFrame, score: str, k: int, tie: Sequence[str]) -> DataFrame:
     """k highest scores; ties by the given columns."""
     return df.orderBy(F.desc(score), *tie).limit(k)

@@ -21,7 +21,7 @@ from cohortry.operators.aggregate import top_k_per_group
 from cohortry.operators.join import unseen
 from cohortry.operators.split import retrieval_confidence
 from cohortry.operators.validate import dedup_first
-from cohortry.plans.session import cut_lineage
+from cohortry.plans.session import cut_lineage, scratch_path
 from cohortry.plans.skew import small_side, within
 
 QUERY_PAGE = 1_000
@@ -122,28 +122,34 @@ def vector_search(docs: DataFrame, queries: DataFrame, k: int = 5, metadata: Map
     Exact. One pass over the documents per page of queries: each Arrow batch is
     multiplied with the query matrix, and a task sends on its k best per query,
     so only those candidates are shuffled. Queries are read a page at a time, and the
-    pages together are the whole query table.
+    pages together are the whole query table; query ids are unique.
     """
     if metadata:
         for name, value in metadata.items():
             docs = docs.filter(F.try_element_at("metadata", F.lit(name)) == F.lit(value))
     wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_embedding).alias("vector"))
-    pages = [wanted]
-    if not within(wanted.select("query_id"), QUERY_PAGE):
-        n = wanted.count() // (QUERY_PAGE // 2) + 1
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        pages = [wanted.filter(slot == i) for i in range(n)]
-
-    found = None
-    for page in pages:
-        rows = page.collect()
-        if rows:
-            part = _nearest_candidates(docs, rows, k, doc_id, embedding, wanted.schema["query_id"].dataType)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        kinds = wanted.schema["query_id"].dataType, docs.schema[doc_id].dataType
-        found = docs.sparkSession.createDataFrame(
-            [], "query_id {}, doc_id {}, distance double".format(*[t.simpleString() for t in kinds]))
+    if within(wanted.select("query_id"), QUERY_PAGE):
+        return _page_hits(docs, wanted, k, doc_id, embedding)
+
+    # many queries: one job per page, each adding its hits to a stored table
+    spark = docs.sparkSession
+    wanted = cut_lineage(wanted)
+    n = wanted.count() // (QUERY_PAGE // 2) + 1
+    slot = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    path = scratch_path(spark, "hits")
+    for i in range(n):
+        _page_hits(docs, wanted.filter(slot == i), k, doc_id, embedding).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _page_hits(docs: DataFrame, page: DataFrame, k: int, doc_id: str, embedding: str) -> DataFrame:
+    rows = page.collect()
+    query_type = page.schema["query_id"].dataType
+    if rows:
+        found = _nearest_candidates(docs, rows, k, doc_id, embedding, query_type)
+    else:
+        kinds = query_type.simpleString(), docs.schema[doc_id].dataType.simpleString()
+        found = docs.sparkSession.createDataFrame([], "query_id {}, doc_id {}, distance double".format(*kinds))
     return top_k_per_group(found, ["query_id"], "distance", k, ["doc_id"], descending=False)
 
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,13 +82,16 @@ class Scaler:
             center, scale = pairs[method](c)
             aggs += [center.alias(f"c{i}"), scale.alias(f"s{i}")]
         row = df.agg(*aggs).first()
-        return cls({c: (row[f"c{i}"], row[f"s{i}"]) for i, c in enumerate(columns)})
+        stats = {c: (row[f"c{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+        if method == "zscore":  # undefined for a constant column
+            stats = {c: (center, scale or None) for c, (center, scale) in stats.items()}
+        return cls(stats)
 
     def expression(self, column: str) -> Column:
         center, scale = self.stats[column]
         if center is None or scale is None:
             return F.lit(None).cast("double")
-        # a constant column has scale 0 and becomes 0
+        # scale 0: a constant column becomes 0
         return (F.col(column) - F.lit(center)) / F.lit(scale if scale else 1.0)
 
     def transform(self, df: DataFrame, suffix: str) -> DataFrame:
@@ -102,7 +104,7 @@ def standard_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled
 
 
 def zscore(df: DataFrame, columns: Sequence[str], suffix: str = "_norm") -> DataFrame:
-    """Sample standard deviation."""
+    """Sample standard deviation; null for a constant column."""
     return Scaler.fit(df, columns, "zscore").transform(df, suffix)
 
 
@@ -165,7 +167,3 @@ def pca(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> Dat
     from cohortry.operators.features import numeric_columns
 
     return fit_pca(df, list(columns) if columns else numeric_columns(df), k).transform(df)
-
-
-def vector_array(column: str) -> Column:
-    return vector_to_array(F.col(column))

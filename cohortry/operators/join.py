@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from cohortry.plans.session import cut_lineage
 from cohortry.plans.skew import fan_out_left_join, within
 
 PROBE_PAGE = 1_000
@@ -81,6 +82,7 @@ def similar_by_profile(df: DataFrame, patient, k: int = 10, id_col: str = "patie
     )
     pages = [probes]
     if not within(probes, PROBE_PAGE):
+        probes = cut_lineage(probes)
         n = probes.count() // (PROBE_PAGE // 2) + 1
         slot = F.pmod(F.xxhash64("kind", "onset", "frequency"), F.lit(n))
         pages = [probes.filter(slot == i) for i in range(n)]
@@ -123,7 +125,3 @@ def endpoints_exist(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def unseen(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing``."""
     return new.join(existing.select(key).distinct(), key, "left_anti")
-
-
-def semi_on(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.join(keys, list(on), "left_semi")

@@ -80,13 +80,23 @@ GENETIC_RULES = RuleSet(
 )
 
 
-def _typed(field_: T.StructField) -> Column:
-    return F.col(field_.name).try_cast(field_.dataType)
+def _typed(df: DataFrame, declared: T.StructField) -> Column:
+    """The column in its declared type; null where the value does not fit.
+
+    Text such as '30.0' is a whole number, '30.5' is not.
+    """
+    value = F.col(declared.name)
+    cast = value.try_cast(declared.dataType)
+    from_text = isinstance(df.schema[declared.name].dataType, T.StringType)
+    if from_text and isinstance(declared.dataType, T.IntegralType):
+        number = value.try_cast("double")
+        return F.coalesce(cast, F.when(number == F.floor(number), number.try_cast(declared.dataType)))
+    return cast
 
 
 def coerce(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast declared columns; text that does not parse becomes null."""
-    return df.withColumns({f.name: _typed(f) for f in schema.fields if f.name in df.columns})
+    """Cast declared columns; values that do not fit become null."""
+    return df.withColumns({f.name: _typed(df, f) for f in schema.fields if f.name in df.columns})
 
 
 def check_columns(df: DataFrame, rules: RuleSet) -> DataFrame:
@@ -117,11 +127,11 @@ def with_failures(df: DataFrame, rules: RuleSet) -> DataFrame:
     found = []
     for name, declared in present.items():
         if rules.coerce:
-            bad = F.col(name).isNotNull() & _typed(declared).isNull()
+            bad = F.col(name).isNotNull() & _typed(df, declared).isNull()
             found.append(failure(bad, name, f"coerce_dtype({declared.dataType.simpleString()})"))
     for rule in rules.rules:
         if rule.column in present:
-            typed = _typed(present[rule.column])
+            typed = _typed(df, present[rule.column])
             bad = rule.fails(typed)
             if rule.check == "not_nullable":
                 bad = F.col(rule.column).isNull()

@@ -1,5 +1,3 @@
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +137,8 @@ def test_scalers_against_numpy(spark):
     assert np.allclose(values(std, "a_scaled"), (x - x.mean()) / x.std())
     assert values(std, "k_scaled") == [0.0] * 4
     assert np.allclose(values(E.zscore(df, ["a"]), "a_norm"), (x - x.mean()) / x.std(ddof=1))
+    assert values(E.zscore(df, ["k"]), "k_norm") == [None] * 4
+    assert values(E.standard_scale(df.limit(1), ["a"]), "a_scaled") == [0.0]
     low = E.normalize(df, ["a", "k", "absent"], "minmax")
     assert np.allclose(values(low, "a_norm"), (x - 1) / 8) and values(low, "k_norm") == [0.0] * 4
     with pytest.raises(ValueError):
@@ -196,6 +196,13 @@ def test_search_text(spark):
                    "epilepsy b treatment guidelines recommendations"]
 
 
+def test_trimmed_sources(spark):
+    df = spark.createDataFrame([([("a", "x" * 700, {"source": "s"})],)],
+                               "s array<struct<id:string,content:string,metadata:map<string,string>>>")
+    got = df.select(X.trimmed_sources("s").alias("t")).first()["t"][0]
+    assert got["id"] == "a" and len(got["content"]) == 500 and got["metadata"] == {"source": "s"}
+
+
 def test_padded_vector(spark):
     df = spark.createDataFrame([(1, 2.5)], "a int, b double")
     assert df.select(S.padded_features(["a", "b"], 3).alias("v")).first()["v"] == [1.0, 2.5, 0.0, 0.0, 0.0]
@@ -205,4 +212,3 @@ def test_iso_text(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-02 03:04:05' AS a, TIMESTAMP_NTZ '2024-01-02 03:04:05.12' AS b")
     row = df.select(S.iso_text("a").alias("a"), S.iso_text("b").alias("b"), S.stamp_text("a").alias("s")).first()
     assert tuple(row) == ("2024-01-02T03:04:05", "2024-01-02T03:04:05.120000", "20240102_030405")
-    assert math.isfinite(1.0)

@@ -34,6 +34,11 @@ def test_valid_rows_are_typed_and_complementary(raw_clinical):
     assert valid.count() + invalid.count() == raw_clinical.count()
 
 
+def test_whole_numbers_written_as_decimals(spark):
+    df = spark.createDataFrame([("30.0",), ("30.5",), ("30",), ("x",)], "age string")
+    assert [r["age"] for r in V.coerce(df, CLINICAL).collect()] == [30, None, 30, None]
+
+
 def test_column_set(raw_clinical):
     more = raw_clinical.withColumn("extra", F.lit(1)).drop("sex")
     strict = {(r["column"], r["check"]) for r in V.check_columns(more, V.CLINICAL_RULES).collect()}
