@@ -10,6 +10,7 @@ from cohortry.operators import aggregate as A
 from cohortry.operators import join as J
 from cohortry.operators import maintain as U
 from cohortry.operators.features import imaging_features
+from cohortry.plans.session import scratch_path
 from cohortry.plans.skew import fan_out_left_join
 
 
@@ -186,3 +187,14 @@ def u4(t: Tables) -> DataFrame:
     return U.union_sources([
         left[n].agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("key_sum")).select(F.lit(n).alias("table"), "n", "key_sum")
         for n, k in keys.items()])
+
+
+@query("u5_drop_collection", "SELECT count(*) AS n_before, false AS exists_after FROM documents")
+def u5(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "collection")
+    name = "collection_" + path.rsplit("-", 1)[1]
+    t("documents").write.option("path", path).saveAsTable(name)
+    n_before = t.spark.table(name).count()
+    U.drop_collection(t.spark, name)
+    return t.spark.createDataFrame(
+        [(n_before, t.spark.catalog.tableExists(name))], "n_before bigint, exists_after boolean")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cohortry.catalog.registry import CLINICAL_SQL, GENETIC_SQL, Tables, clinical, genetic, query
 from cohortry.operators.maintain import union_sources
 from cohortry.operators.validate import coerce
+from cohortry.pipeline import merge_processed, process_all
 from cohortry.plans.session import scratch_path
-from cohortry.schemas import CLINICAL, GENETIC
+from cohortry.schemas import CLINICAL, GENETIC, SEIZURE_TYPES
 from cohortry.sources import files, warehouse
 
 
@@ -133,3 +134,28 @@ def s13(t: Tables) -> DataFrame:
         row = warehouse.model_metadata(t.spark, version, "ensemble", {"f1_score": 0.5}, {}, n, ["l_quantity"])
         warehouse.append_model_metadata(row, path)
     return warehouse.model_info(t.spark, path).select("version", "model_type", "dataset_size", "is_active")
+
+
+@query("x1_process_all", f"""
+WITH {CLINICAL_SQL}, {GENETIC_SQL},
+valid AS (SELECT *, CAST(patient_id AS BIGINT) AS k FROM clinical
+          WHERE age <= 120 AND seizure_frequency_per_month >= 0 AND coalesce(previous_treatments, '') <> ''),
+agg AS (SELECT patient_id, count(DISTINCT gene) AS n_genes_affected, count(DISTINCT variant) AS n_variants,
+               bool_or(gene IN ('SCN1A', 'KCNQ2', 'CDKL5')) AS has_epilepsy_gene FROM genetic GROUP BY patient_id)
+SELECT patient_id, age - age_at_onset AS years_since_onset, CAST(3 AS INTEGER) AS n_previous_treatments,
+       dense_rank() OVER (ORDER BY sex) - 1 AS sex_encoded,
+       dense_rank() OVER (ORDER BY treatment_response) - 1 AS treatment_response_encoded,
+       round((age - avg(age) OVER ()) / stddev_pop(age) OVER (), 7) AS age_scaled,
+       n_genes_affected, n_variants, has_epilepsy_gene
+FROM valid LEFT JOIN agg USING (patient_id)""")
+def x1(t: Tables) -> DataFrame:
+    folder = scratch_path(t.spark, "cohort")
+    kinds = F.array(*[F.lit(k) for k in SEIZURE_TYPES])
+    which = (F.col("patient_id").cast("bigint") % len(SEIZURE_TYPES) + 1).cast("int")
+    clinical(t).withColumn("seizure_type", F.element_at(kinds, which)).write.option("header", True).csv(f"{folder}/c.csv")
+    genetic(t).write.option("header", True).csv(f"{folder}/g.csv")
+    done = process_all(t.spark, {"clinical": f"{folder}/c.csv", "genetic": f"{folder}/g.csv"})
+    merged = merge_processed(done)
+    return merged.select(
+        "patient_id", "years_since_onset", "n_previous_treatments", "sex_encoded", "treatment_response_encoded",
+        F.round("age_scaled", 7).alias("age_scaled"), "n_genes_affected", "n_variants", "has_epilepsy_gene")

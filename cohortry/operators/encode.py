@@ -30,16 +30,25 @@ class LabelEncoder:
 
     @classmethod
     def fit(cls, df: DataFrame, column: str) -> LabelEncoder:
-        values = df.select(F.col(column).cast("string").alias("value"))
-        values = values.select(F.coalesce("value", F.lit(NULL_TEXT)).alias("value")).distinct()
-        found = [row["value"] for row in values.limit(SMALL_DOMAIN + 1).collect()]
-        small = len(found) <= SMALL_DOMAIN
-        if small:
-            codes = [(value, code) for code, value in enumerate(sorted(found))]
-            mapping = df.sparkSession.createDataFrame(codes, "value string, code bigint")
-        else:
-            mapping = dense_index(values, "value", "code")
-        return cls(column, mapping, small)
+        return cls.fit_all(df, [column])[0]
+
+    @classmethod
+    def fit_all(cls, df: DataFrame, columns: Sequence[str]) -> list[LabelEncoder]:
+        """One encoder per column, from one pass over the rows."""
+        if not columns:
+            return []
+        texts = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_TEXT)).alias(c) for c in columns])
+        values = texts.unpivot([], list(columns), "column", "value").distinct()
+        found = values.limit(SMALL_DOMAIN + 1).collect()
+        if len(found) <= SMALL_DOMAIN:
+            return [cls(c, _codes(df, [r["value"] for r in found if r["column"] == c]), True) for c in columns]
+        out = []
+        for c in columns:
+            mine = values.filter(F.col("column") == c).select("value")
+            few = [r["value"] for r in mine.limit(SMALL_DOMAIN + 1).collect()]
+            small = len(few) <= SMALL_DOMAIN
+            out.append(cls(c, _codes(df, few) if small else dense_index(mine, "value", "code"), small))
+        return out
 
     def transform(self, df: DataFrame, handle_unseen: str = "error") -> DataFrame:
         """Add ``{column}_encoded``; an unseen value is an error, or null with 'keep'."""
@@ -58,8 +67,16 @@ class LabelEncoder:
         return joined.withColumn(name, checked)
 
 
-def label_encode(df: DataFrame, column: str) -> DataFrame:
-    return LabelEncoder.fit(df, column).transform(df)
+def _codes(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    rows = [(value, code) for code, value in enumerate(sorted(values))]
+    return df.sparkSession.createDataFrame(rows, "value string, code bigint")
+
+
+def label_encode(df: DataFrame, *columns: str) -> DataFrame:
+    out = df
+    for encoder in LabelEncoder.fit_all(df, columns):
+        out = encoder.transform(out)
+    return out
 
 
 @dataclass(frozen=True)

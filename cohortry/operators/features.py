@@ -199,7 +199,7 @@ class FeaturePipeline:
         derived = self.derive(clinical, None, imaging)
         if any(c not in derived.columns for c in [*self.categorical, *self.numeric]):
             derived = self.derive(clinical, genetic, imaging)
-        self.encoders = [encode.LabelEncoder.fit(derived, c) for c in self.categorical if c in derived.columns]
+        self.encoders = encode.LabelEncoder.fit_all(derived, [c for c in self.categorical if c in derived.columns])
         present = [c for c in self.numeric if c in derived.columns]
         # the genetic join never repeats a row: statistics of columns that do not
         # come from it are the same without it

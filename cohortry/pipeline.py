@@ -44,8 +44,7 @@ def transform_clinical(df: DataFrame) -> DataFrame:
         "seizure_burden": F.col("seizure_frequency_per_month") * F.col("epilepsy_duration_years") * 12,
     })
     out = treatment_counts(out, empty_as_one=True)
-    for c in ("sex", "seizure_type", "treatment_response"):
-        out = encode.label_encode(out, c)
+    out = encode.label_encode(out, "sex", "seizure_type", "treatment_response")
     scaled = ["age", "seizure_frequency_per_month", "epilepsy_duration_years", "seizure_burden"]
     return encode.standard_scale(out, scaled)
 
@@ -169,3 +168,10 @@ def train(df: DataFrame, key: str, target: str, drop: Sequence[str] = (), labels
         row = warehouse.model_metadata(spark, version, "ensemble", metrics, params, n_samples, features)
         warehouse.append_model_metadata(row, registry)
     return Trained(model, metrics, cv, best)
+
+
+def train_sources(spark: SparkSession, sources: Mapping[str, str], target: str = "treatment_response_encoded",
+                  key: str = "patient_id", **options) -> Trained:
+    """From files to a tested model: process, merge, then :func:`train` on the numeric columns."""
+    merged = cut_lineage(merge_processed(process_all(spark, sources)))
+    return train(merged, key, target, drop=["treatment_response", "previous_treatments"], **options)

@@ -6,7 +6,7 @@ from cohortry.ml.ensemble import EnsembleClassifier, EnsembleModel
 from cohortry.ml.members import Member, default_members
 from cohortry.ml.tuning import METRICS, RANGES, cross_validate, draw_params, random_search
 from cohortry.operators import vote
-from cohortry.pipeline import train
+from cohortry.pipeline import train, train_sources
 from cohortry.sources.warehouse import model_info
 
 FEATURES = ["a", "b", "c", "flag"]
@@ -135,3 +135,23 @@ def test_training_end_to_end(learning, spark, tmp_path):
     info = model_info(spark, str(tmp_path / "r")).first()
     assert info["version"] == "v9" and info["dataset_size"] == 420
     assert EnsembleModel.load(spark, str(tmp_path / "m")).transform(wide).count() == 600
+
+
+@pytest.mark.integration
+def test_training_from_files(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    lines = ["patient_id,age,sex,seizure_type,seizure_frequency_per_month,age_at_onset,epilepsy_duration_years,"
+             "previous_treatments,treatment_response"]
+    for i in range(240):
+        response = ["responder", "non_responder", "partial_responder"][i % 3]
+        lines.append(f"PAT{i:03d},{20 + 20 * (i % 3) + rng.integers(8)},{'MF'[i % 2]},absence,{rng.uniform(0.5, 20):.3f},"
+                     f"{rng.integers(5, 20)},{rng.uniform(1, 30):.3f},levetiracetam;lamotrigine,{response}")
+    (tmp_path / "clinical.csv").write_text("\n".join(lines) + "\n")
+    genes = ["patient_id,gene,variant,variant_type,allele_frequency,clinvar_significance"]
+    genes += [f"PAT{i:03d},SCN1A,p.R{i}H,missense,0.01,Pathogenic" for i in range(0, 240, 2)]
+    (tmp_path / "genetic.csv").write_text("\n".join(genes) + "\n")
+    done = train_sources(spark, {"clinical": str(tmp_path / "clinical.csv"), "genetic": str(tmp_path / "genetic.csv")},
+                         members=SMALL[1:2], weights=[1.0])
+    assert done.metrics["accuracy"] > 0.9
+    assert {"age", "n_variants", "has_epilepsy_gene"} <= set(done.model.features)
+    assert not {"patient_id", "sex", "gene", "treatment_response_encoded"} & set(done.model.features)
