@@ -44,8 +44,9 @@ def stratified_split(df: DataFrame, key: str, label: str | None = None,
                      fractions: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """Add ``split``: exact shares (rounded) of every class, in the order of md5(key|seed).
 
-    ``key`` must identify a row. A row's part follows from its own digest and
-    two cut points of its class, so assigning it needs no shuffle.
+    A row's part follows from its own digest and two cut points of its class,
+    so assigning it needs no shuffle. Shares are exact if ``key`` identifies a
+    row; copies of a key stay together.
     """
     _check(fractions)
     placed = _cut_points(df, key, label, [fractions[0], fractions[0] + fractions[1]], seed)

@@ -175,9 +175,9 @@ def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def hash_cuts(df: DataFrame, hashed: str, group: str, fractions: Sequence[float]) -> DataFrame:
     """(group, cuts): per fraction, the hash of the row at rank round(n * fraction).
 
-    ``hashed`` is a hex digest, unique inside its group. Its first three digits
-    give 4096 even buckets; their counts tell which bucket holds a rank, and
-    only the rows of those buckets (about one in 4096) are sorted. A rank of 0
+    ``hashed`` is a hex digest. Its first three digits give 4096 even buckets;
+    their counts tell which bucket holds a rank, and only the digests of those
+    buckets (about one in 4096) are sorted, equal ones as one. A rank of 0
     gives the empty text, which no digest is below; a group with no other rank
     has no row here.
     """
@@ -196,8 +196,9 @@ def hash_cuts(df: DataFrame, hashed: str, group: str, fractions: Sequence[float]
         (F.col("rank") <= F.col("end")) & (F.col("rank") > F.col("end") - F.col("n"))
     ).select(F.col("g").alias("wg"), F.col("b").alias("wb"), "i", (F.col("rank") - F.col("end") + F.col("n")).alias("nth"))
     narrow = rows.join(small_side(wanted), F.col("g").eqNullSafe(F.col("wg")) & (F.col("b") == F.col("wb")))
-    at = F.row_number().over(Window.partitionBy("g", "i").orderBy("h"))
-    found = narrow.select("g", "i", "nth", "h").withColumn("at", at).filter(F.col("at") == F.col("nth"))
+    copies = narrow.groupBy("g", "i", "nth", "h").agg(F.count(F.lit(1)).alias("copies"))
+    reached = copies.withColumn("at", F.sum("copies").over(Window.partitionBy("g", "i").orderBy("h")))
+    found = reached.filter((F.col("at") >= F.col("nth")) & (F.col("at") - F.col("copies") < F.col("nth")))
     listed = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("i", "h"))).alias("by_rank"))
     cuts = F.array(*[F.coalesce(F.try_element_at("by_rank", F.lit(i)), F.lit("")) for i in range(len(fractions))])
     return listed.select(F.col("g").alias(group), cuts.alias("cuts"))

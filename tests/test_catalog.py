@@ -24,6 +24,14 @@ def test_every_check_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_entry(spark):
+    import __spark_entry__ as contract
+
+    df = contract.entry(spark)
+    assert df.count() > 0 and "total_genetic_variants" in df.columns
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
 @pytest.mark.integration
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):

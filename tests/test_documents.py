@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortry.functions.text import split_text, window_chunks
@@ -45,6 +47,16 @@ def test_splitter_invariants():
         assert letters or not text.split()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab .\n", max_size=400), st.integers(5, 60), st.integers(0, 4))
+def test_splitter_keeps_every_letter(text, size, overlap):
+    chunks = split_text(text, size, overlap)
+    assert all(0 < len(c) <= size for c in chunks)
+    assert "".join(chunks).count("a") >= text.count("a")
+    if overlap == 0:
+        assert "".join("".join(chunks).split()) == "".join(text.split())
+
+
 def test_long_text_without_separators(spark):
     text = "z" * 33_000
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string")

@@ -83,6 +83,13 @@ def test_split_of_a_single_member_and_bad_shares(spark):
         W.hash_split(df, "id", (0.5, 0.1, 0.1))
 
 
+def test_copies_of_a_key_stay_together(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    out = W.stratified_split(df, "k", None, (0.5, 0.25, 0.25))
+    assert out.count() == 3000
+    assert out.groupBy("k").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
+
+
 def test_folds_are_even(spark):
     df = spark.range(503).withColumn("y", F.col("id") % 3)
     folds = W.assign_folds(df, "id", "y", 5)
