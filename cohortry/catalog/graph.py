@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables, query
 from cohortry.operators import graph as G
+from cohortry.plans.session import cut_lineage
 
 
 def _id(prefix: str, column: str):
@@ -126,14 +127,14 @@ reached AS (SELECT id, min(d) AS d FROM walk GROUP BY id)"""
 SELECT DISTINCT src, dst, type FROM edges
 WHERE src IN (SELECT id FROM reached WHERE d <= 2) OR dst IN (SELECT id FROM reached WHERE d <= 2)""")
 def g4_edges(t: Tables) -> DataFrame:
-    edges = _orders_graph(t)
+    edges = cut_lineage(_orders_graph(t))  # every hop reads the edges
     nodes = t("customer").select(_id("c", "c_custkey").alias("id"))
     return G.k_hop_subgraph(nodes, edges, "c1", 3)[1]
 
 
 @query("g4_k_hop_nodes", f"{HOPS_SQL} SELECT id, d AS distance FROM reached")
 def g4_nodes(t: Tables) -> DataFrame:
-    return G.hop_distances(_orders_graph(t), "c1", 3)
+    return G.hop_distances(cut_lineage(_orders_graph(t)), "c1", 3)
 
 
 @query("g5_similar_by_graph", f"""

@@ -71,19 +71,20 @@ def check_graph_constraints(nodes: DataFrame) -> DataFrame:
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    forward = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return forward.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    """(a, b): every edge in both directions, from one pass over the edges."""
+    ends = [F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("src", "dst"), ("dst", "src"))]
+    return edges.select(F.inline(F.array(*ends)))
 
 
 def hop_distances(edges: DataFrame, start: str, depth: int) -> DataFrame:
     """(id, distance) of nodes at undirected distance 0..depth; empty if the start has no edge.
 
     One semi join, one distinct and one anti join per hop. The visited set is
-    checkpointed after every hop, so the plan does not grow and a lost executor
-    costs one hop at most.
+    written after every hop, so the plan does not grow, a lost executor costs
+    one hop at most, and a small frontier is broadcast to the edges.
     """
     steps = _both_ways(edges)
-    known = not steps.filter(F.col("a") == F.lit(start)).isEmpty()
+    known = not edges.filter((F.col("src") == F.lit(start)) | (F.col("dst") == F.lit(start))).isEmpty()
     seen = edges.sparkSession.createDataFrame([(start, 0)] if known else [], "id string, distance int")
     for hop in range(1, depth + 1):
         frontier = seen.filter(F.col("distance") == hop - 1).select(F.col("id").alias("a"))
@@ -173,9 +174,8 @@ def drug_targets(edges: DataFrame, gene_nodes: DataFrame, drugs: DataFrame, gene
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     """(node_id, degree) of the nodes of a type, both directions, a self-loop once, zero kept."""
-    ends = edges.select(F.col("src").alias("node_id")).unionByName(
-        edges.filter(F.col("src") != F.col("dst")).select(F.col("dst").alias("node_id"))
-    )
+    both = F.array(F.col("src"), F.when(F.col("src") != F.col("dst"), F.col("dst")))
+    ends = edges.select(F.explode(F.array_compact(both)).alias("node_id"))
     degrees = ends.groupBy("node_id").agg(F.count(F.lit(1)).cast("double").alias("degree"))
     wanted = nodes.filter(F.col("type") == kind).select(F.col("id").alias("node_id"))
     return (

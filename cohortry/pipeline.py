@@ -144,23 +144,20 @@ def train(df: DataFrame, key: str, target: str, drop: Sequence[str] = (), labels
     """Split 70/15/15, optionally search and cross-validate, fit, test, save and register."""
     spark = df.sparkSession
     _, features = feature_target(df, target, [key, *drop])
-    split = stratified_split(df.select(key, *features, target), key, target, seed=seed).persist()
-    try:
-        training, val, test = parts(split)
-        best: dict[str, dict] = {}
-        if search:
-            for kind in ("boosted", "forest"):
-                best[kind], _ = random_search(kind, training, val, features, target, labels, trials=search, seed=seed)
-        chosen = members or default_members(best)
-        classifier = EnsembleClassifier(chosen, "weighted_voting", weights, seed, list(labels))
-        cv = None
-        if folds:
-            cv = cross_validate(classifier, training, features, key, target, folds, seed).first().asDict()
-        model = classifier.fit(training, features, target)
-        metrics = model.evaluate(test, target).first().asDict()
-        n_samples = training.count()
-    finally:
-        split.unpersist()
+    split = cut_lineage(stratified_split(df.select(key, *features, target), key, target, seed=seed))
+    training, val, test = parts(split)
+    best: dict[str, dict] = {}
+    if search:
+        for kind in ("boosted", "forest"):
+            best[kind], _ = random_search(kind, training, val, features, target, labels, trials=search, seed=seed)
+    chosen = members or default_members(best)
+    classifier = EnsembleClassifier(chosen, "weighted_voting", weights, seed, list(labels))
+    cv = None
+    if folds:
+        cv = cross_validate(classifier, training, features, key, target, folds, seed).first().asDict()
+    model = classifier.fit(training, features, target)
+    metrics = model.evaluate(test, target).first().asDict()
+    n_samples = training.count()
     if model_path:
         model.save(model_path)
     if registry:

@@ -47,14 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return created
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, unlike a local one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, never used twice."""
     return f"{shared_dir(spark)}/cohortry-scratch/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there.
+
+    Lost executors cost no recomputation of what came before. As a parquet
+    table it also has a known size, so that Spark can tell a small step (a
+    frontier, a list of hits) from a large one when it plans the next join.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
