@@ -10,14 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+_LOCAL_DIRS: dict[str, str] = {}  # application id -> folder, for local sessions without a setting
+
+
+def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g",
+                  shared: str | None = None) -> SparkSession:
     """A single-machine session for tests and the benchmark.
 
     On a cluster the caller brings its own session; nothing in the package
     changes the session's configuration.
     """
+    builder = SparkSession.builder
+    if shared:
+        builder = builder.config(CHECKPOINT_KEY, shared)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("cohortry")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -42,9 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    created = tempfile.mkdtemp(prefix="cohortry-")
-    spark.conf.set(CHECKPOINT_KEY, created)
-    return created
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="cohortry-")
+    return _LOCAL_DIRS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

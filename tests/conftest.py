@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from cohortry.plans.session import CHECKPOINT_KEY, local_session  # noqa: E402
+from cohortry.plans.session import local_session  # noqa: E402
 
 TESTDATA = "/root/testdata/sf0.001"
 
@@ -29,8 +29,7 @@ def pytest_collection_modifyitems(items):
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("4", 4, "4g")
-    session.conf.set(CHECKPOINT_KEY, str(tmp_path_factory.mktemp("shared")))
+    session = local_session("4", 4, "4g", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

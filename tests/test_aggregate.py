@@ -133,3 +133,21 @@ def test_repeated_keys_and_small_side(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "k string")
     assert sorted(r["f"] for r in flag_repeated(df, ["k"], "f").collect()) == [False, False, False, True, True]
     assert small_side(df, 3).count() == 5 and small_side(df, 10).count() == 5
+
+
+def test_shared_folder(spark, monkeypatch):
+    from cohortry.plans import session as P
+
+    assert P.shared_dir(spark) == spark.conf.get(P.CHECKPOINT_KEY)
+    monkeypatch.setattr(P, "CHECKPOINT_KEY", "spark.not.set")
+    own = P.shared_dir(spark)
+    assert own and own == P.shared_dir(spark)
+
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError):
+        P.shared_dir(Cluster())
