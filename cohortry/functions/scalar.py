@@ -85,44 +85,36 @@ def fixed2(value: Column) -> Column:
     """Text with two decimals, rounded from the exact binary value, ties to even.
 
     ``format_string`` rounds the shortest decimal text instead, so 1.005 (which
-    is stored just below) would become 1.01. Scaling by a power of two is exact
-    as long as it reaches the last bit of the number, and the rest is integer
-    arithmetic. From 2**30 on ``format_string`` is used.
+    is stored just below) would become 1.01. Here the fraction is scaled by a
+    power of two that reaches its last bit, so the rest is exact whole-number
+    arithmetic. (A fraction below 2**-8 loses bits, but rounds to 0 anyway.)
     """
     size = F.abs(value)
+    fraction = size - F.floor(size)
 
-    def exact(bits: int) -> Column:
-        whole = (size * F.lit(float(2**bits))).cast("bigint").cast("decimal(20,0)")
-        unit = F.lit(2**bits).cast("decimal(20,0)")
-        hundred = (whole * F.lit(100).cast("decimal(3,0)")).cast("decimal(30,0)")
-        cents = F.floor(hundred / unit).cast("decimal(30,0)")
-        # the quotient above is itself rounded: step back if it went too far
-        cents = F.when(cents * unit > hundred, cents - 1).otherwise(cents).cast("decimal(30,0)")
-        left = (hundred - cents * unit) * 2
-        up = (left > unit) | ((left == unit) & (cents % 2 == 1))
-        return (cents + F.when(up, 1).otherwise(0)).cast("bigint")
-
-    cents = (
-        F.when(size < 2, exact(60)).when(size < 2**10, exact(52)).when(size < 2**20, exact(42))
-        .when(size < 2**30, exact(32))
-    )
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    def cents(bits: int) -> Column:
+        scaled = (fraction * F.lit(float(1 << bits))).cast("bigint") * F.lit(100).cast("bigint")
+        whole = F.shiftright(scaled, bits)
+        rest = scaled.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+        half = F.lit(1 << (bits - 1)).cast("bigint")
+        up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+        return whole + F.when(up, 1).otherwise(0)
+
+    total = F.floor(size) * 100 + F.when(fraction < 0.0625, cents(60)).otherwise(cents(56))
     text = F.concat(
-        sign,
-        F.floor(cents / 100).cast("string"),
+        F.when(value < 0, F.lit("-")).otherwise(F.lit("")),
+        F.floor(total / 100).cast("string"),
         F.lit("."),
-        F.lpad((cents % 100).cast("string"), 2, "0"),
+        F.lpad((total % 100).cast("string"), 2, "0"),
     )
-    return F.when(value.isNotNull(), F.coalesce(text, F.format_string("%.2f", value)))
+    return F.when(size < 1e13, text).when(size >= 1e13, F.format_string("%.2f", value))
 
 
 def duration_text(seconds: str | Column) -> Column:
     s = col(seconds).cast("double")
-    return (
-        F.when(s < 60, F.concat(fixed2(s), F.lit("s")))
-        .when(s < 3600, F.concat(fixed2(s / 60), F.lit("m")))
-        .when(s.isNotNull(), F.concat(fixed2(s / 3600), F.lit("h")))
-    )
+    amount = F.when(s < 60, s).when(s < 3600, s / 60).otherwise(s / 3600)
+    unit = F.when(s < 60, F.lit("s")).when(s < 3600, F.lit("m")).otherwise(F.lit("h"))
+    return F.concat(fixed2(amount), unit)
 
 
 def stamp_text(ts: str | Column) -> Column:
