@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.plans.session import cut_lineage
@@ -49,16 +49,19 @@ def resolve_keys(child: DataFrame, parent: DataFrame, natural: str, surrogate_co
     return joined.withColumn(child_key, F.col("__surrogate")).drop("__natural", "__surrogate")
 
 
-def profile_score(kind: Column, onset: Column, frequency: Column, probe: Row,
+def profile_score(kind: Column, onset: Column, frequency: Column, probe: Column,
                   onset_within: float = 5, frequency_within: float = 2) -> Column:
-    """1 for the same type, 0.5 for a close onset, 0.5 for a close frequency."""
+    """1 for the same type, 0.5 for a close onset, 0.5 for a close frequency.
+
+    ``probe`` is a struct (kind, onset, frequency).
+    """
 
     def points(hit: Column, value: float) -> Column:
         return F.when(hit, F.lit(value)).otherwise(F.lit(0.0))
 
-    same = kind == F.lit(probe["kind"])
-    near = F.abs(onset - F.lit(probe["onset"])) <= onset_within
-    often = F.abs(frequency - F.lit(probe["frequency"])) <= frequency_within
+    same = kind == probe["kind"]
+    near = F.abs(onset - probe["onset"]) <= onset_within
+    often = F.abs(frequency - probe["frequency"]) <= frequency_within
     return points(same, 1.0) + points(near, 0.5) + points(often, 0.5)
 
 
@@ -91,13 +94,17 @@ def similar_by_profile(df: DataFrame, patient, k: int = 10, id_col: str = "patie
     empty = others.limit(0).select(F.col(id_col).alias("similar_patient_id"), F.lit(0.0).alias("similarity_score"))
     best, used = empty, 0
     for page in pages:
-        scores = [
-            profile_score(F.col(kind), F.col(onset), F.col(frequency), r, onset_within, frequency_within)
-            for r in page.collect()
-        ]
-        if not scores:
+        rows = page.collect()
+        if not rows:
             continue
-        score = scores[0] if len(scores) == 1 else F.greatest(*scores)
+        structs = [
+            F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in page.schema.fields]) for r in rows
+        ]
+
+        def scored(probe: Column) -> Column:
+            return profile_score(F.col(kind), F.col(onset), F.col(frequency), probe, onset_within, frequency_within)
+
+        score = scored(structs[0]) if len(structs) == 1 else F.array_max(F.transform(F.array(*structs), scored))
         part = others.select(F.col(id_col).alias("similar_patient_id"), score.alias("similarity_score"))
         if not one_record:
             part = _best_score(part)
