@@ -32,6 +32,22 @@ def t1(t: Tables) -> DataFrame:
     return chunked.select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
 
 
+@query("t1_chunk_invariants", r"""
+SELECT doc_id, regexp_matches(text, '\S') AS has_chunks, true AS within_size, true AS parts_of_text, true AS starts_text,
+       true AS ends_text FROM documents""")
+def t1_invariants(t: Tables) -> DataFrame:
+    chunked = D.chunk_documents(t("documents").select("doc_id", "text"))
+    c = F.col("chunks")
+    lead = F.regexp_replace("text", r"(?U)^\s+", "")
+    tail = F.regexp_replace("text", r"(?U)\s+$", "")
+    return chunked.select(
+        "doc_id", (F.size(c) > 0).alias("has_chunks"),
+        F.forall(c, lambda x: (F.length(x) <= 1000) & (F.length(x) > 0)).alias("within_size"),
+        F.forall(c, lambda x: F.col("text").contains(x)).alias("parts_of_text"),
+        F.coalesce(lead.startswith(F.get(c, F.lit(0))), F.lit(True)).alias("starts_text"),
+        F.coalesce(tail.endswith(F.try_element_at(c, F.lit(-1))), F.lit(True)).alias("ends_text"))
+
+
 @query("t1b_window_chunks", """
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(substr(text, i * 800 + 1, 1000)) AS content_md5
 FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1000 THEN 1
@@ -112,7 +128,12 @@ def t5_filtered(t: Tables) -> DataFrame:
     return out.withColumn("distance", F.round("distance", 6))
 
 
-@query("t6_knowledge_base")
+@query("t6_knowledge_base", r"""
+SELECT source || '.pdf' AS source, count(*) AS n_pages, CAST(0 AS BIGINT) AS n_abstracts, true AS ids_unique
+FROM documents WHERE regexp_matches(text, '\S') GROUP BY source
+UNION ALL
+SELECT 'item' || item_id, 0, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(p, '\S'))), true
+FROM benchmark WHERE regexp_matches(text, '\S')""")
 def t6(t: Tables) -> DataFrame:
     pages = t("documents").select(F.concat("source", F.lit(".pdf")).alias("source"), F.col("doc_id").alias("page"), "text")
     abstracts = t("benchmark").select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("source"),
@@ -120,7 +141,9 @@ def t6(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "knowledge-base")
     stored = build_knowledge_base(t.spark, path, abstracts=abstracts, pages=pages, dim=64)
     return stored.groupBy(F.col("metadata")["source"].alias("source")).agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("id").alias("n_ids"))
+        F.count_distinct(F.col("metadata")["page"]).alias("n_pages"),
+        F.count(F.col("metadata")["pmid"]).alias("n_abstracts"),
+        (F.count(F.lit(1)) == F.count_distinct("id")).alias("ids_unique"))
 
 
 @query("t7_recommendation_parts", f"""

@@ -70,6 +70,20 @@ def m5(t: Tables) -> DataFrame:
     return model.evaluate(learning_rows(t), "label")
 
 
+@query("m5_member_probabilities", """
+SELECT member, count(*) AS n_rows, count(*) AS n_sum_to_one, count(*) AS n_in_range
+FROM orders, (SELECT unnest(['boosted', 'forest', 'logistic', 'network']) AS member) GROUP BY member""")
+def m5_members(t: Tables) -> DataFrame:
+    kinds = ["boosted", "forest", "logistic", "network"]
+    scored = _fit(t, *kinds).probabilities(learning_rows(t))
+    arrays = F.array(*[F.struct(F.lit(k).alias("member"), F.col(f"p_{i}").alias("p")) for i, k in enumerate(kinds)])
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return scored.select(F.inline(arrays)).groupBy("member").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("n_sum_to_one"),
+        F.count_if(F.forall("p", lambda x: (x >= 0) & (x <= 1)) & (F.size("p") == 3)).alias("n_in_range"))
+
+
 def _voters(t: Tables) -> DataFrame:
     """Three rule-based voters and three probability arrays per order line."""
     a = (F.col("l_linenumber") % 3).cast("int")
