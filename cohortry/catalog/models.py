@@ -177,6 +177,22 @@ def m13(t: Tables) -> DataFrame:
                       F.size("all_probabilities").alias("n_classes"))
 
 
+@query("m13_score_invariants", """
+SELECT count(*) AS n_rows, count(*) AS n_best_is_highest, count(*) AS n_alternatives_in_order, count(*) AS n_confident
+FROM orders""")
+def m13_invariants(t: Tables) -> DataFrame:
+    out = _fit(t, "forest", "logistic", weights=[0.6, 0.4]).predict(learning_rows(t), patient_id="o_orderkey")
+    every = F.map_values("all_probabilities")
+    second, third = (F.element_at("alternative_treatments", i)["probability"] for i in (1, 2))
+    best = F.col("response_probability")
+    return out.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if((best == F.array_max(every)) & (best == F.element_at("all_probabilities", F.col("predicted_treatment"))))
+        .alias("n_best_is_highest"),
+        F.count_if((best >= second) & (second >= third)).alias("n_alternatives_in_order"),
+        F.count_if(F.col("confidence").between(0, 1)).alias("n_confident"))
+
+
 @query("s12_model_round_trip", "SELECT true AS same, count(*) AS n FROM orders")
 def s12(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "saved-model")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables, query
 from cohortry.operators import split as W
+from cohortry.operators.aggregate import top_k_per_group
 
 RANKED_SQL = """ranked AS (
   SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority
@@ -16,15 +17,13 @@ RANKED_SQL = """ranked AS (
 
 @query("w2_retrieval_confidence", """
 WITH hits AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY abs(embedding[1]), vec_id) AS rank
-              FROM embeddings)
+              FROM embeddings QUALIFY rank <= 5)
 SELECT label AS query_id, round(coalesce(sum((1 - abs(embedding[1])) / rank) / sum(1.0 / rank), 0), 6) AS confidence
 FROM hits GROUP BY label""")
 def w2(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     distance = F.abs(F.element_at("embedding", 1))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(distance, "vec_id"))
-    hits = t("embeddings").select(F.col("label").alias("query_id"), distance.alias("distance"), rank.alias("rank"))
+    scored = t("embeddings").select(F.col("label").alias("query_id"), distance.alias("distance"), "vec_id")
+    hits = top_k_per_group(scored, ["query_id"], "distance", 5, ["vec_id"], descending=False)
     out = W.retrieval_confidence(hits, t("embeddings").select(F.col("label").alias("query_id")))
     return out.withColumn("confidence", F.round("confidence", 6))
 

@@ -158,6 +158,9 @@ def drug_targets(edges: DataFrame, gene_nodes: DataFrame, drugs: DataFrame, gene
                  encodes: str = "ENCODES", targets: str = "TARGETS") -> DataFrame:
     """(drug, mechanism, status, targeted_genes): the genes sorted, with repeats.
 
+    A gene is listed once per path. For drugs with very many paths read the
+    counts of :func:`drug_gene_paths` instead.
+
     ``gene_nodes``: (id, symbol). ``drugs``: (id, name, mechanism, approval_status).
     """
     paths = drug_gene_paths(edges, gene_nodes, genes, encodes, targets)
