@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cohortry import schemas
 from cohortry.plans.ordered import exact_quantiles, running_total
+from cohortry.plans.skew import fan_out_left_join, small_side
 
 LIST_BOUND = 10_000
+LARGE_BOUND = 100_000  # keys of large subjects that may be broadcast
 
 
 def _any(condition: Column) -> Column:
@@ -53,7 +55,7 @@ def aggregate_variants(genetic: DataFrame, on: str = "patient_id", gene: str = "
     )
     if large.isEmpty():
         return _small_subjects(genetic, on, attributes, reference)
-    keys = large.filter(F.col(on).isNotNull())
+    keys = small_side(large.filter(F.col(on).isNotNull()), LARGE_BOUND)
     small = _small_subjects(genetic.join(keys, on, "left_anti"), on, attributes, reference)
     spread = _large_subjects(genetic.join(keys, on, "left_semi"), on, attributes, reference)
     return small.unionByName(spread.select(*small.columns))
@@ -147,8 +149,6 @@ def patient_complete_view(patients: DataFrame, clinical: DataFrame, treatments:
     fans out. The result equals the join of all four tables with distinct
     counts, because its group keys are exactly the patient and clinical columns.
     """
-    from cohortry.plans.skew import fan_out_left_join
-
     clinical_cols = [
         "seizure_type", "seizure_frequency_per_month", "age_at_onset",
         "epilepsy_duration_years", "treatment_response",

@@ -123,7 +123,7 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 def endpoints_exist(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes."""
-    ids = nodes.select("id").distinct()
+    ids = nodes.select("id")
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
     ).select(*edges.columns)
@@ -131,4 +131,4 @@ def endpoints_exist(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def unseen(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing``."""
-    return new.join(existing.select(key).distinct(), key, "left_anti")
+    return new.join(existing.select(key), key, "left_anti")

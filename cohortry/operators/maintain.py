@@ -62,10 +62,10 @@ def cascade_delete(tables: Mapping[str, DataFrame], root: str, keys: DataFrame,
     ``keys`` has the column ``root_key``.
     """
     out = dict(tables)
-    gone = {root: tables[root].join(keys.select(root_key).distinct(), root_key, "left_semi")}
-    out[root] = tables[root].join(keys.select(root_key).distinct(), root_key, "left_anti")
+    gone = {root: tables[root].join(keys.select(root_key), root_key, "left_semi")}
+    out[root] = tables[root].join(keys.select(root_key), root_key, "left_anti")
     for child, child_col, parent, parent_col in links:
-        dead = gone[parent].select(F.col(parent_col).alias(child_col)).distinct()
+        dead = gone[parent].select(F.col(parent_col).alias(child_col))
         gone[child] = out[child].join(dead, child_col, "left_semi")
         out[child] = out[child].join(dead, child_col, "left_anti")
     return out

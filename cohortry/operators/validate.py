@@ -292,9 +292,8 @@ def count_violations(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child rows whose (non-null) key has no parent."""
-    return child.filter(F.col(child_key).isNotNull()).join(
-        parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti"
-    )
+    parents = parent.select(F.col(parent_key).alias(child_key))
+    return child.filter(F.col(child_key).isNotNull()).join(parents, child_key, "left_anti")
 
 
 def warehouse_constraints(tables: Mapping[str, DataFrame]) -> DataFrame:

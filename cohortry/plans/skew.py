@@ -8,16 +8,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+HOT_ROWS = 1_000_000
+HOT_KEYS = 1_000
+
+
+def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:
+    """(rows of very frequent keys, all other rows); None if no key is that frequent.
+
+    Adaptive execution splits a hot key only where both sides of a join come
+    straight from a shuffle, which a side that was aggregated does not. So the
+    at most HOT_KEYS most frequent keys with HOT_ROWS rows or more are looked
+    up (one partial count over the key columns) and broadcast; what is left has
+    no key with more than a thousandth of the rows or a million of them.
+    """
+    keys = list(keys)
+    found = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= HOT_ROWS)
+        .orderBy(F.desc("__n")).limit(HOT_KEYS).select(*keys).dropna().collect()
+    )
+    if not found:
+        return None, df
+    hot = F.broadcast(df.sparkSession.createDataFrame(found, df.select(*keys).schema))
+    return df.join(hot, keys, "left_semi"), df.join(hot, keys, "left_anti")
+
+
 def fan_out_left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """``left LEFT JOIN right`` where ``right`` may hold one key very often.
 
-    A left join can only be split on its left side, so a hot key on the right
-    stays in one task. The matched part is an inner join, which adaptive
-    execution splits on either side; the unmatched part is an anti join against
-    the keys alone, collapsed before they are shuffled.
+    The matched part is an inner join. Rows of hot keys on the right are not
+    shuffled: the left rows of those keys are sent to them. The unmatched part
+    is an anti join against the keys alone, collapsed before they are shuffled.
     """
     on = list(on)
-    matched = left.join(right, on, "inner")
+    hot, cold = split_hot(right, on)
+    matched = left.join(cold, on, "inner")
+    if hot is not None:
+        partners = left.join(F.broadcast(hot.select(*on).distinct()), on, "left_semi")
+        matched = matched.unionByName(small_side(partners).join(hot, on, "inner").select(*matched.columns))
     missing = left.join(right.select(*on).distinct(), on, "left_anti")
     return matched.unionByName(missing, allowMissingColumns=True).select(*matched.columns)
 
@@ -27,9 +54,16 @@ def flag_repeated(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
 
     Keys are counted with a partial aggregate and only the repeated ones are
     joined back; ``count(*) over (partition by key)`` would sort all copies of
-    a key in one task.
+    a key in one task. Rows of hot keys are repeated by definition and are not
+    joined at all.
     """
     keys = list(keys)
+    hot, cold = split_hot(df, keys)
+    flagged = _flag_by_count(cold, keys, flag)
+    return flagged if hot is None else flagged.unionByName(hot.withColumn(flag, F.lit(True)).select(*flagged.columns))
+
+
+def _flag_by_count(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     complete = F.lit(True)
     for key in keys:
         complete = complete & F.col(key).isNotNull()

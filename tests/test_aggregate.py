@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import aggregate as A
 from cohortry.plans import ordered as O
-from cohortry.plans.skew import fan_out_left_join, flag_repeated, small_side
+from cohortry.plans.skew import fan_out_left_join, flag_repeated, small_side, split_hot
 
 
 def test_running_total_against_numpy(spark):
@@ -129,6 +129,19 @@ def test_fan_out_join_equals_left_join(spark):
     assert got == sorted(map(str, left.join(right, ["k"], "left").collect()))
 
 
+def test_hot_keys_take_their_own_way(spark, monkeypatch):
+    from cohortry.plans import skew as K
+
+    monkeypatch.setattr(K, "HOT_ROWS", 4)
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (5, "x"), (5, "y"), (None, "c")], "k int, x string")
+    right = spark.createDataFrame([(1, i) for i in range(9)] + [(5, i) for i in range(6)] + [(2, 1), (3, 1), (None, 1)], "k int, y int")
+    assert split_hot(right, ["k"])[0].count() == 15 and split_hot(right, ["k"])[1].count() == 3
+    got = sorted(map(str, fan_out_left_join(left, right, ["k"]).collect()))
+    assert got == sorted(map(str, left.join(right, ["k"], "left").collect()))
+    flags = flag_repeated(right, ["k"], "f").collect()
+    assert len(flags) == 18 and all(r["f"] == (r["k"] in (1, 5)) for r in flags)
+
+
 def test_repeated_keys_and_small_side(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "k string")
     assert sorted(r["f"] for r in flag_repeated(df, ["k"], "f").collect()) == [False, False, False, True, True]
