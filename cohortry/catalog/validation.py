@@ -85,7 +85,7 @@ def v6(t: Tables) -> DataFrame:
 ORDER_RULES = RuleSet(
     ORDERS,
     [*not_null("o_orderstatus"), *isin("o_orderpriority", URGENT), *between("o_totalprice", 20000, 400000)],
-    unique=["o_custkey"],
+    unique=["o_totalprice"],
     strict=True,
 )
 
@@ -97,7 +97,7 @@ def _orders(t: Tables) -> DataFrame:
 
 ORDER_FAILURES_SQL = """
 o AS (SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice, o_orderpriority,
-             count(*) OVER (PARTITION BY o_custkey) AS copies FROM orders),
+             count(*) OVER (PARTITION BY o_totalprice) AS copies FROM orders),
 f AS (
   SELECT o_orderkey AS row_key, 'o_orderstatus' AS "column", 'not_nullable' AS "check", CAST(NULL AS VARCHAR) AS value
   FROM o WHERE o_orderstatus IS NULL
@@ -105,7 +105,7 @@ f AS (
   WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
   UNION ALL SELECT o_orderkey, 'o_totalprice', 'greater_than_or_equal_to(20000)', NULL FROM o WHERE o_totalprice < 20000
   UNION ALL SELECT o_orderkey, 'o_totalprice', 'less_than_or_equal_to(400000)', NULL FROM o WHERE o_totalprice > 400000
-  UNION ALL SELECT o_orderkey, 'o_custkey', 'field_uniqueness', CAST(o_custkey AS VARCHAR) FROM o WHERE copies > 1)"""
+  UNION ALL SELECT o_orderkey, 'o_totalprice', 'field_uniqueness', NULL FROM o WHERE copies > 1)"""
 
 
 @query("v7_failure_report", f"WITH {ORDER_FAILURES_SQL} SELECT * FROM f")
