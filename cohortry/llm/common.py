@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortry.plans.session import cut_lineage
 
@@ -23,12 +24,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, f"llm-{label}")
 
 
-def map_batches(df: DataFrame, columns: Sequence, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: str) -> DataFrame:
-    """``each`` over the Arrow batches of the named columns, sliced to a bounded number of rows."""
+def map_batches(df: DataFrame, columns: Sequence,
+                each: Callable[[Iterator[pa.RecordBatch], pa.Schema], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``each`` over the Arrow batches of the named columns, sliced to a bounded number of rows.
+
+    It gets the Arrow schema of what it must yield too.
+    """
+    names = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
-        return each(_slices(batches))
+        return each(_slices(batches), names)
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -39,13 +44,6 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS_AT_ONCE)
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow schema Spark expects for a DDL string."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(T._parse_datatype_string(ddl)) if isinstance(ddl, str) else to_arrow_schema(ddl)
-
-
 def batch_of(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

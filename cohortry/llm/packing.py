@@ -10,7 +10,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cohortry.llm.common import arrow_schema, batch_of, map_batches, text_or_empty
+from cohortry.llm.common import batch_of, map_batches, text_or_empty
 
 OPEN_WINDOWS = 1024       # partly filled windows a task keeps at most
 CACHED_WORDS = 600_000
@@ -216,8 +216,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int, end_id: int, key: str =
     schema = (f"{key} {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
               "sequence_id bigint, offset bigint")
 
-    def each(batches):
-        names, ids_of = arrow_schema(schema), word_ids(vocabulary).ids
+    def each(batches, names):
+        ids_of = word_ids(vocabulary).ids
         end = np.asarray([end_id], "<u4").tobytes()
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         for batch in batches:

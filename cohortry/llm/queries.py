@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import packing, token_count
+from cohortry.llm import language, packing, secrets, token_count
 from cohortry.llm.common import table
 
 QUERIES = {}
@@ -19,6 +19,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_randomness_battery(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, folder, "documents")))
+
+
 @query
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.token_counts(table(spark, folder, "documents"),
@@ -28,3 +33,8 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), WINDOW, 2)
+
+
+@query
+def op10_language_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict_held_out(table(spark, folder, "documents"))

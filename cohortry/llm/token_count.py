@@ -100,14 +100,14 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, key: str = "doc_i
     are looked up in a bounded table of the worker.
     """
 
-    def each(batches):
+    def each(batches, names):
         count = counter(vocabulary).count
         for batch in batches:
             texts = batch.column(1)
             tokens = pa.array([count(t) for t in texts.to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.cast(pc.binary_length(texts), pa.int64()), tokens, pc.greater(tokens, limit)],
-                names=[key, "n_bytes", "n_tokens", "over_limit"])
+                schema=names)
 
     kind = docs.schema[key].dataType.simpleString()
     return map_batches(docs, [key, text_or_empty(text)], each,
