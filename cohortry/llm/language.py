@@ -117,30 +117,71 @@ class Model:
         return scores, count
 
 
-def _viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """Best language of each word; a change from one word to the next costs ``penalty``. Ties go to the first."""
+def _settled(scores: np.ndarray, penalty: float) -> int:
+    """The language that surely labels all words, or -1.
+
+    Every stretch in another language costs at least one change of its own, so
+    nothing is gained by leaving the best language if no stretch of words
+    favours any single other one by the penalty.
+    """
     n, k = scores.shape
-    total = scores.sum(axis=0)
-    best = int(total.argmax())
-    others = np.delete(scores, best, axis=1)
+    best = int(scores.sum(axis=0).argmax())
     if k == 1 or not n:
-        return np.zeros(n, np.int64)
-    gain = np.concatenate([[0.0], np.cumsum(others.max(axis=1) - scores[:, best])])
-    if (gain - np.minimum.accumulate(gain)).max() < penalty:
-        return np.full(n, best)  # no stretch of words is worth leaving the best language
-    came = np.empty((n, k), np.int16)
-    value = scores[0].copy()
-    same = np.arange(k)
-    for i in range(1, n):
-        top = int(value.argmax())
-        stay = value >= value[top] - penalty
-        came[i] = np.where(stay, same, top)
-        value = np.where(stay, value, value[top] - penalty) + scores[i]
-    path = np.empty(n, np.int64)
-    path[-1] = int(value.argmax())
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = came[i, path[i]]
-    return path
+        return best
+    gain = np.zeros((n + 1, k))
+    np.cumsum(scores - scores[:, best:best + 1], axis=0, out=gain[1:])
+    return best if (gain - np.minimum.accumulate(gain, axis=0)).max() < penalty else -1
+
+
+def viterbi(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """Best language of each word of each text; a change from one word to the next costs ``penalty``.
+
+    Ties stay with the language at hand, else go to the first. Texts that need
+    the full recursion take their steps side by side, longest first.
+    """
+    paths: list = [None] * len(texts)
+    open_ = []
+    for i, scores in enumerate(texts):
+        best = _settled(scores, penalty)
+        if best < 0:
+            open_.append(i)
+        else:
+            paths[i] = np.full(len(scores), best)
+    open_.sort(key=lambda i: -len(texts[i]))
+    for part in _parts(open_, texts):
+        sizes = np.array([len(texts[i]) for i in part])
+        k = texts[part[0]].shape[1]
+        block = np.zeros((sizes[0], len(part), k))
+        for c, i in enumerate(part):
+            block[:sizes[c], c] = texts[i]
+        came = np.empty((sizes[0], len(part), k), np.uint8 if k < 256 else np.int32)
+        value, same = block[0].copy(), np.arange(k)
+        alive = (sizes[None, :] > np.arange(sizes[0])[:, None]).sum(axis=1)
+        for t in range(1, sizes[0]):
+            v = value[:alive[t]]
+            top = v.argmax(axis=1)
+            left = v.max(axis=1)[:, None] - penalty
+            stay = v >= left
+            came[t, :alive[t]] = np.where(stay, same, top[:, None])
+            value[:alive[t]] = np.where(stay, v, left) + block[t, :alive[t]]
+        for c, i in enumerate(part):
+            path = np.empty(sizes[c], np.int64)
+            path[-1] = value[c].argmax()
+            own = came[:, c]
+            for t in range(sizes[c] - 1, 0, -1):
+                path[t - 1] = own[t, path[t]]
+            paths[i] = path
+    return paths
+
+
+def _parts(order: list[int], texts: list[np.ndarray]):
+    """Runs of ``order`` whose padded block stays within CELLS_AT_ONCE; one text at least."""
+    at = 0
+    while at < len(order):
+        rows, k = texts[order[at]].shape
+        step = max(1, CELLS_AT_ONCE // (rows * k))
+        yield order[at:at + step]
+        at += step
 
 
 class Labeller(dict):
@@ -170,21 +211,26 @@ class Labeller(dict):
         self.update(zip(new, range(self.used, self.used + len(new))))
         self.used += len(new)
 
-    def label(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language index, letters, scores) of each word that has letters."""
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        at = at[self.letters[at] > 0]
-        return _viterbi(self.scores[at], SWITCH), self.letters[at], self.scores[at]
-
-    def predict(self, words: list[str]) -> tuple[str, float]:
-        path, letters, scores = self.label(words)
-        if not len(path):
-            return UNKNOWN, 0.0
-        share = np.bincount(path, weights=letters, minlength=len(self.model.languages))
-        best = int(share.argmax())
-        total = scores.sum(axis=0)
-        certain = 1.0 / float(np.exp(np.clip(total - total[best], -60, 60)).sum())
-        return self.model.languages[best], float(share[best] / share.sum()) * (0.5 + 0.5 * certain)
+    def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text: (language index, letters, scores) of each word that has letters."""
+        self.rows(texts)
+        places = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
+        places = [at[self.letters[at] > 0] for at in places]
+        scores = [self.scores[at] for at in places]
+        return list(zip(viterbi(scores, SWITCH), [self.letters[at] for at in places], scores))
+
+    def predict(self, texts: list[list[str]]) -> list[tuple[str, float]]:
+        found = []
+        for path, letters, scores in self.label(texts):
+            if not len(path):
+                found.append((UNKNOWN, 0.0))
+                continue
+            share = np.bincount(path, weights=letters, minlength=len(self.model.languages))
+            best = int(share.argmax())
+            total = scores.sum(axis=0)
+            certain = 1.0 / float(np.exp(np.clip(total - total[best], -60, 60)).sum())
+            found.append((self.model.languages[best], float(share[best] / share.sum()) * (0.5 + 0.5 * certain)))
+        return found
 
     def trim(self) -> None:
         if self.used > CACHED_WORDS:
@@ -262,8 +308,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 yield batch_of(names, [batch.column(0).to_pylist(), [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows])
                 continue
             texts = [t.split() for t in batch.column(1).to_pylist()]
-            labeller.rows(texts)
-            found = [labeller.predict(words) for words in texts]
+            found = labeller.predict(texts)
             yield batch_of(names, [batch.column(0).to_pylist(), [f[0] for f in found], [f[1] for f in found]])
             labeller.trim()
 
@@ -283,10 +328,8 @@ def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         labeller = Labeller(shared.value)
         for batch in batches:
             texts = [t.split() for t in batch.column(1).to_pylist()]
-            labeller.rows(texts if labeller.model.languages else [])
-            out = []
-            for doc, words in zip(batch.column(0).to_pylist(), texts if labeller.model.languages else []):
-                path, _, _ = labeller.label(words)
+            out, labels = [], labeller.label(texts) if labeller.model.languages else []
+            for doc, words, (path, _, _) in zip(batch.column(0).to_pylist(), texts, labels):
                 place = np.flatnonzero([labeller.letters[labeller[w]] > 0 for w in words])
                 cuts = np.flatnonzero(np.diff(path)) + 1
                 for part in np.split(np.arange(len(path)), cuts) if len(path) else []:
