@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import language, packing, secrets, token_count
+from cohortry.llm import language, packing, secrets, simhash, token_count
 from cohortry.llm.common import table
 
 QUERIES = {}
@@ -38,3 +38,8 @@ def op8_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_language_spans(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict_held_out(table(spark, folder, "documents"))
+
+
+@query
+def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
