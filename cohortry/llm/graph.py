@@ -35,18 +35,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = mark
 
 
-def key_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A stored row with KEY_BITS bits, those of the keys' hashes set: ``may_hold`` never misses a key."""
-    words = (keys.select(F.pmod(F.xxhash64(key), F.lit(KEY_BITS)).alias("b"))
+def bit_table(rows: DataFrame, value: Column, size: int = KEY_BITS) -> DataFrame:
+    """A stored row with ``size`` bits, whatever the number of rows; those at the hashes ``value`` are set."""
+    words = (rows.select(F.pmod(value, F.lit(size)).alias("b"))
              .groupBy((F.col("b") / 64).cast("bigint").alias("id"))
              .agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("w")))
-    every = keys.sparkSession.range(0, KEY_BITS // 64, 1, 1)
+    every = rows.sparkSession.range(0, size // 64, 1, 1)
     row = every.join(words, "id", "left").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0)).alias("w")))),
                     lambda s: s["w"]).alias("bits"))
     return stored(row, "bits")
 
 
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """The bit table of a set of keys: ``may_hold`` never misses one."""
+    return bit_table(keys, F.xxhash64(key))
+
+
 def may_hold(bits: DataFrame, value: Column, size: int = KEY_BITS) -> Column:
     """Whether the hash's bit is set; ``value`` is the hash of a key. A scalar subquery brings the one row of bits."""
     at = F.pmod(value, F.lit(size))

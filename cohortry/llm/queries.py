@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import language, packing, secrets, simhash, token_count
+from cohortry.llm import decontaminate, language, packing, secrets, simhash, token_count
 from cohortry.llm.common import table
 
 QUERIES = {}
@@ -43,3 +43,8 @@ def op10_language_spans(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op2_spaced_seed_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
