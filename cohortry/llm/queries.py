@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import chat_template, decontaminate, language, packing, secrets, simhash, substring, token_count
+from cohortry.llm import ann, chat_template, decontaminate, language, packing, secrets, simhash, substring, token_count
 from cohortry.llm.common import table
 
 QUERIES = {}
@@ -63,3 +63,9 @@ def op6_template_closures(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], rows.schema)
     return chat_template.read_back(chat_template.format_conversations(rows.unionByName(extra)))
+
+
+@query
+def op9_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 100 = 0"))
