@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import ann, chat_template, decontaminate, language, packing, secrets, simhash, substring, token_count
+from cohortry.llm import ann, chat_template, decontaminate, html_template, language, packing, secrets, simhash, substring, token_count
 from cohortry.llm.common import table
 
 QUERIES = {}
@@ -69,3 +69,8 @@ def op6_template_closures(spark: SparkSession, folder: str) -> DataFrame:
 def op9_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return ann.search(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query
+def op5_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_template.extract(table(spark, folder, "pages"))
