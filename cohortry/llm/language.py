@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import batch_of, map_batches, text_or_empty
+from cohortry.llm.common import ROWS_AT_ONCE, batch_of, map_batches, text_or_empty
 
 SAMPLE_PER_LANGUAGE = 4000   # labelled rows, whole, that a language is learned from; expected number where it has more
 CELLS_AT_ONCE = 4_000_000    # letters times languages that are scored together
@@ -346,3 +349,22 @@ def predict_held_out(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of all rows, learned from the rows that aren't held out."""
     model = train(docs.where(~held_out()))
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """``docs`` without rows whose text is ``und`` or whose score is under ``least``; nothing is shuffled."""
+    shared, learned = docs.sparkSession.sparkContext.broadcast(model), bool(model.languages)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        labeller = Labeller(shared.value)
+        for batch in batches:
+            out: list[float] = []
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                texts = [t.split() for t in batch.iloc[at:at + ROWS_AT_ONCE]]
+                found = labeller.predict(texts) if learned else [(UNKNOWN, 0.0)] * len(texts)
+                out += [-1.0 if lang == UNKNOWN else value for lang, value in found]
+                labeller.trim()
+            yield pd.Series(out, dtype=float)
+
+    return docs.where(score(text_or_empty(text)) >= least).select(*docs.columns)
