@@ -11,7 +11,7 @@ KEY_BITS = 1 << 20  # bits of the pre-filter; a larger set only lets more rows t
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of an edge; root is the smallest node that can be reached.
+    """(node, root) for every node of an edge that is no root; root is the smallest node that can be reached.
 
     Turns the edges into stars by linking, in turn, the larger and the smaller
     neighbours of every node to its smallest one. Neighbours are never

@@ -145,14 +145,18 @@ class Packer:
             offset += n
         self.next_id += 1
 
-    def drain(self) -> None:
-        """Cut pieces of the emptiest windows to fill the fullest; one window at most stays open."""
+    def _take_open(self) -> list[tuple[int, list]]:
+        """All partly filled windows with their levels, emptiest first; none is left open."""
         windows = []
-        for level in np.flatnonzero(self.counts):
-            windows += [(int(level), c) for c in self.levels[level]]
+        for level in np.flatnonzero(self.counts).tolist():
+            windows += [(level, content) for content in self.levels[level]]
+            self._count(level, -len(self.levels[level]))
             self.levels[level] = []
-            while self.counts[level]:
-                self._count(level, -1)
+        return windows
+
+    def drain(self) -> None:
+        """Cut pieces of the emptiest windows to fill the fullest; one window at most stays open."""
+        windows = self._take_open()
         low, high = 0, len(windows) - 1
         spare, spare_size = [], 0
         while low <= high:
@@ -178,21 +182,20 @@ class Packer:
     def finish(self) -> None:
         """Cut what is left at powers of two, which need no padding."""
         self.drain()
-        for level in np.flatnonzero(self.counts):
-            for content in self.levels[level]:
-                pieces, left = list(reversed(content)), int(level)
-                while left:
-                    room = 1 << (left.bit_length() - 1)
-                    left -= room
-                    sequence = []
-                    while room:
-                        doc, start, ids, total = pieces.pop()
-                        cut = min(len(ids) // 4, room)
-                        sequence.append((doc, start, ids[:4 * cut], total))
-                        if 4 * cut < len(ids):
-                            pieces.append((doc, start + cut, ids[4 * cut:], total))
-                        room -= cut
-                    self._close(sequence)
+        for left, content in self._take_open():
+            pieces = content[::-1]
+            while left:
+                room = 1 << (left.bit_length() - 1)
+                left -= room
+                sequence = []
+                while room:
+                    doc, start, ids, total = pieces.pop()
+                    cut = min(len(ids) // 4, room)
+                    sequence.append((doc, start, ids[:4 * cut], total))
+                    if 4 * cut < len(ids):
+                        pieces.append((doc, start + cut, ids[4 * cut:], total))
+                    room -= cut
+                self._close(sequence)
 
     def take(self) -> list:
         rows, self.rows = self.rows, []
