@@ -22,7 +22,9 @@ SELECT l_orderkey, count(DISTINCT l_partkey) AS n_genes_affected, count(DISTINCT
        string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS variant_types
 FROM lineitem GROUP BY l_orderkey""")
 def a1(t: Tables) -> DataFrame:
-    out = A.aggregate_variants(t("lineitem"), "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", REFERENCE)
+    names = ["l_partkey", "l_suppkey", "l_returnflag"]
+    out = A.aggregate_variants(t("lineitem"), "l_orderkey", *names, REFERENCE).join(
+        A.member_lists(t("lineitem"), "l_orderkey", names), "l_orderkey")
     return out.select(
         "l_orderkey", "n_genes_affected", "n_variants", "has_epilepsy_gene",
         F.array_join("epilepsy_genes", ",").alias("epilepsy_genes"),
@@ -32,6 +34,20 @@ def a1(t: Tables) -> DataFrame:
     )
 
 
+@query("a1_variants_per_customer", f"""
+SELECT o_custkey % 3 AS subject, count(DISTINCT l_partkey) AS n_genes_affected, count(DISTINCT l_suppkey) AS n_variants,
+       bool_or(l_partkey IN {REFERENCE_SQL}) AS has_epilepsy_gene,
+       coalesce(string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR))
+                FILTER (l_partkey IN {REFERENCE_SQL}), '') AS epilepsy_genes
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def a1_large(t: Tables) -> DataFrame:
+    # three subjects with a third of all rows each
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (F.col("o_custkey") % 3).alias("subject"), "l_partkey", "l_suppkey", "l_returnflag")
+    out = A.aggregate_variants(rows, "subject", "l_partkey", "l_suppkey", "l_returnflag", REFERENCE)
+    return out.withColumn("epilepsy_genes", F.array_join("epilepsy_genes", ","))
+
+
 @query("a2_reference_members", """
 SELECT doc_id, has_lang, array_to_string(lang_members, ' ') AS members FROM (
   SELECT doc_id, list_filter(w, lambda x: x IN ('the', 'and', 'des', 'und')) AS lang_members,

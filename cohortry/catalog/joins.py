@@ -95,7 +95,22 @@ GROUP BY 1 ORDER BY similarity_score DESC, similar_patient_id LIMIT 20""")
 def j5_many(t: Tables) -> DataFrame:
     orders = t("orders").select("o_custkey", "o_orderpriority", "o_totalprice", F.day("o_orderdate").alias("day"))
     return J.similar_by_profile(orders, 42, 20, "o_custkey", "o_orderpriority", "day", "o_totalprice",
-                                frequency_within=2000, one_record=False)
+                                frequency_within=2000)
+
+
+@query("j5_similar_many_profiles", """
+SELECT o2.o_custkey % 10 AS similar_patient_id,
+       max(CAST((CASE WHEN o1.o_orderpriority = o2.o_orderpriority THEN 1.0 ELSE 0.0 END
+        + CASE WHEN abs(day(o1.o_orderdate) - day(o2.o_orderdate)) <= 1 THEN 0.5 ELSE 0.0 END
+        + CASE WHEN abs(o1.o_totalprice - o2.o_totalprice) <= 0.02 THEN 0.5 ELSE 0.0 END) AS DOUBLE))
+           AS similarity_score
+FROM orders o1 JOIN orders o2 ON o1.o_custkey % 10 <> o2.o_custkey % 10 WHERE o1.o_custkey % 10 = 3
+GROUP BY 1 ORDER BY similarity_score DESC, similar_patient_id LIMIT 5""")
+def j5_many_profiles(t: Tables) -> DataFrame:
+    # ten subjects with very many records: the probe has more profiles than a page from sf0.01 on
+    orders = t("orders").select((F.col("o_custkey") % 10).alias("subject"), "o_orderpriority", "o_totalprice",
+                                F.day("o_orderdate").alias("day"))
+    return J.similar_by_profile(orders, 3, 5, "subject", "o_orderpriority", "day", "o_totalprice", 1, 0.02)
 
 
 @query("j6_distinct_counts_over_fan_out", """

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry import schemas
 from cohortry.plans.ordered import exact_quantiles, running_total
-from cohortry.plans.skew import fan_out_left_join, small_side
-
-LIST_BOUND = 10_000
-LARGE_BOUND = 100_000  # keys of large subjects that may be broadcast
+from cohortry.plans.skew import fan_out_left_join
 
 
 def _any(condition: Column) -> Column:
@@ -38,56 +35,36 @@ def variant_members(genetic: DataFrame, on: str = "patient_id",
 
 def aggregate_variants(genetic: DataFrame, on: str = "patient_id", gene: str = "gene", variant: str = "variant",
                        variant_type: str = "variant_type",
-                       reference: Sequence[str] = tuple(schemas.REFERENCE_GENES),
-                       list_bound: int = LIST_BOUND) -> DataFrame:
-    """One row per patient: distinct genes, variants and types with their sizes and the reference members.
-
-    A patient with up to ``list_bound`` rows is one bounded group: its sets are
-    built directly, with a partial aggregate. Larger patients (found by a count
-    over the key column) go through :func:`variant_members`, which spreads one
-    patient over many tasks; their counts, flag and reference members are exact,
-    their lists are null with ``lists_complete`` false, and the members
-    themselves are read from :func:`variant_members`.
+                       reference: Sequence[str] = tuple(schemas.REFERENCE_GENES)) -> DataFrame:
+    """One row per patient: the numbers of distinct genes and variants, and the reference genes among them.
+
+    Members are counted by (patient, attribute, value) first, so a patient of
+    any size is spread over many tasks. The row holds what is bounded; the
+    members themselves are the rows of :func:`variant_members`, or arrays by
+    :func:`member_lists` where a patient's members fit in a row.
     """
     attributes = (gene, variant, variant_type)
-    large = (
-        genetic.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > list_bound).select(on)
-    )
-    if large.isEmpty():
-        return _small_subjects(genetic, on, attributes, reference)
-    keys = small_side(large.filter(F.col(on).isNotNull()), LARGE_BOUND)
-    small = _small_subjects(genetic.join(keys, on, "left_anti"), on, attributes, reference)
-    spread = _large_subjects(genetic.join(keys, on, "left_semi"), on, attributes, reference)
-    return small.unionByName(spread.select(*small.columns))
-
-
-def _small_subjects(genetic: DataFrame, on: str, attributes: Sequence[str], reference: Sequence[str]) -> DataFrame:
-    gene, variant, _ = attributes
-    sets = genetic.groupBy(on).agg(
-        *[F.sort_array(F.collect_set(F.col(a).cast("string"))).alias(a) for a in attributes]
-    )
-    wanted = F.filter(F.col(gene), lambda g: g.isin(list(reference)))
-    return sets.select(
-        on,
-        F.size(gene).cast("bigint").alias("n_genes_affected"),
-        F.size(variant).cast("bigint").alias("n_variants"),
-        (F.size(wanted) > 0).alias("has_epilepsy_gene"),
-        wanted.alias("epilepsy_genes"),
-        F.lit(True).alias("lists_complete"),
-        *attributes,
+    counted = (
+        genetic.select(on, *[F.col(a).cast("string").alias(a) for a in attributes])
+        .unpivot([on], list(attributes), "attribute", "value")
+        .groupBy(on, "attribute", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-
-
-def _large_subjects(genetic: DataFrame, on: str, attributes: Sequence[str], reference: Sequence[str]) -> DataFrame:
-    gene, variant, _ = attributes
+    known = F.col("value").isNotNull()
     is_ref = (F.col("attribute") == gene) & F.col("value").isin(list(reference))
-    return variant_members(genetic, on, attributes).groupBy(on).agg(
-        F.count_if(F.col("attribute") == gene).alias("n_genes_affected"),
-        F.count_if(F.col("attribute") == variant).alias("n_variants"),
+    return counted.groupBy(on).agg(
+        F.count_if((F.col("attribute") == gene) & known).alias("n_genes_affected"),
+        F.count_if((F.col("attribute") == variant) & known).alias("n_variants"),
         _any(is_ref).cast("boolean").alias("has_epilepsy_gene"),
         F.sort_array(F.collect_set(F.when(is_ref, F.col("value")))).alias("epilepsy_genes"),
-    ).withColumn("lists_complete", F.lit(False)).withColumns(
-        {a: F.lit(None).cast("array<string>") for a in attributes})
+    )
+
+
+def member_lists(genetic: DataFrame, on: str = "patient_id",
+                 attributes: Sequence[str] = ("gene", "variant", "variant_type")) -> DataFrame:
+    """Sorted distinct members as one array per attribute; for patients whose members fit in a row."""
+    members = variant_members(genetic, on, attributes)
+    return members.groupBy(on).agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("attribute") == a, F.col("value")))).alias(a) for a in attributes])
 
 
 def reference_members(df: DataFrame, array: str, reference: Sequence[str], prefix: str) -> DataFrame:

@@ -67,16 +67,14 @@ def profile_score(kind: Column, onset: Column, frequency: Column, probe: Column,
 
 def similar_by_profile(df: DataFrame, patient, k: int = 10, id_col: str = "patient_id", kind: str = "seizure_type",
                        onset: str = "age_at_onset", frequency: str = "seizure_frequency_per_month",
-                       onset_within: float = 5, frequency_within: float = 2,
-                       one_record: bool = True) -> DataFrame:
-    """The k subjects most like ``patient``, by their best matching record.
+                       onset_within: float = 5, frequency_within: float = 2) -> DataFrame:
+    """The k subjects most like ``patient``, each once, by their best matching record.
 
     The subject's own records are read as values, so scoring the table is one
-    projection and a top-k: no join and, with one record per subject (as the
-    unique rule demands), no shuffle either. ``one_record=False`` takes the
-    best record of each subject with a partial aggregate. A probe with more
-    distinct profiles than one page is scored page by page and the pages are
-    merged, which gives the same answer.
+    projection, a partial aggregate to the best record of each subject, and a
+    top-k: no join. A probe with more distinct profiles than one page is scored
+    page by page and the pages' best are merged. Whoever is among the best k
+    overall is so on the page of the best score, so pages don't show.
     """
     probes = (
         df.filter(F.col(id_col) == F.lit(patient))
@@ -105,9 +103,7 @@ def similar_by_profile(df: DataFrame, patient, k: int = 10, id_col: str = "patie
             return profile_score(F.col(kind), F.col(onset), F.col(frequency), probe, onset_within, frequency_within)
 
         score = scored(structs[0]) if len(structs) == 1 else F.array_max(F.transform(F.array(*structs), scored))
-        part = others.select(F.col(id_col).alias("similar_patient_id"), score.alias("similarity_score"))
-        if not one_record:
-            part = _best_score(part)
+        part = _best_score(others.select(F.col(id_col).alias("similar_patient_id"), score.alias("similarity_score")))
         best = best.unionByName(_top(part, k)) if used else _top(part, k)
         used += 1
     return _top(_best_score(best), k) if used > 1 else best

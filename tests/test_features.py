@@ -171,21 +171,20 @@ def test_feature_pipeline_state_comes_from_the_rows_given(raw_clinical, genetic_
     assert part["age_norm"] == out["P1"]["age_norm"]
 
 
-def test_variants_per_subject(genetic_rows):
-    rows = {r["patient_id"]: r for r in A.aggregate_variants(genetic_rows).collect()}
-    assert rows["P1"]["gene"] == ["BRCA1", "SCN1A"] and rows["P1"]["n_variants"] == 2
+def test_variants_per_subject(spark, genetic_rows):
+    empty = spark.createDataFrame([("P9", None, None, None, None, None)], genetic_rows.schema)
+    rows = {r["patient_id"]: r for r in A.aggregate_variants(genetic_rows.unionByName(empty)).collect()}
+    assert rows["P1"]["n_variants"] == 2 and rows["P1"]["n_genes_affected"] == 2
     assert rows["P1"]["epilepsy_genes"] == ["SCN1A"] and rows["P1"]["has_epilepsy_gene"]
     assert rows["P2"]["epilepsy_genes"] == [] and not rows["P2"]["has_epilepsy_gene"]
+    assert rows["P9"]["n_variants"] == 0 and rows["P9"]["epilepsy_genes"] == []
 
 
-def test_large_subjects_keep_exact_counts(genetic_rows):
-    small = {r["patient_id"]: r for r in A.aggregate_variants(genetic_rows).collect()}
-    split = {r["patient_id"]: r for r in A.aggregate_variants(genetic_rows, list_bound=2).collect()}
-    for name in ("n_genes_affected", "n_variants", "has_epilepsy_gene", "epilepsy_genes"):
-        assert {p: r[name] for p, r in split.items()} == {p: r[name] for p, r in small.items()}
-    assert not split["P1"]["lists_complete"] and split["P1"]["gene"] is None and split["P2"]["gene"] == ["TP53"]
+def test_variant_members_and_lists(genetic_rows):
     members = {(r["attribute"], r["value"]): r["n"] for r in A.variant_members(genetic_rows).filter("patient_id = 'P1'").collect()}
     assert members[("gene", "SCN1A")] == 2 and members[("variant_type", "missense")] == 2
+    lists = {r["patient_id"]: r for r in A.member_lists(genetic_rows).collect()}
+    assert lists["P1"]["gene"] == ["BRCA1", "SCN1A"] and lists["P2"]["gene"] == ["TP53"]
 
 
 def test_search_text(spark):

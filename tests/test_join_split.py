@@ -50,12 +50,13 @@ def test_similar_by_profile_thresholds_and_ties(spark):
     assert J.similar_by_profile(df, "nobody").isEmpty()
 
 
-def test_similar_with_more_probe_records_than_a_page(spark, monkeypatch):
-    monkeypatch.setattr(J, "PROBE_PAGE", 4)
+@pytest.mark.parametrize("page", [2, 4, 1000])
+def test_similar_with_any_page_size(spark, monkeypatch, page):
+    monkeypatch.setattr(J, "PROBE_PAGE", page)
     rng = np.random.default_rng(0)
     rows = [(f"s{i % 9}", str(rng.integers(3)), int(rng.integers(60)), float(rng.integers(30))) for i in range(90)]
     df = spark.createDataFrame(rows, "patient_id string, seizure_type string, age_at_onset int, seizure_frequency_per_month double")
-    got = [tuple(r) for r in J.similar_by_profile(df, "s0", 5, one_record=False).collect()]
+    got = [tuple(r) for r in J.similar_by_profile(df, "s0", 5).collect()]
     assert got == _similar(rows, "s0", 5)
 
 
