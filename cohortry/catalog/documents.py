@@ -11,7 +11,7 @@ from cohortry.catalog.registry import Tables, query
 from cohortry.functions.text import DEFAULT_QUESTION
 from cohortry.operators import documents as D
 from cohortry.operators.split import retrieval_confidence
-from cohortry.pipeline import build_knowledge_base
+from cohortry.pipeline import build_knowledge_base, load_embedding, search_collection
 from cohortry.plans.session import scratch_path
 
 
@@ -128,6 +128,24 @@ def t5_filtered(t: Tables) -> DataFrame:
     return out.withColumn("distance", F.round("distance", 6))
 
 
+@query("t5_many_queries", """
+WITH parts AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+q AS (SELECT vec_id * 3 AS query_id, v AS q FROM parts UNION ALL SELECT vec_id * 3 + 1, list_reverse(v) FROM parts
+      UNION ALL SELECT vec_id * 3 + 2, list_transform(v, lambda x: 0.0::DOUBLE) FROM parts),
+hits AS (SELECT query_id, vec_id AS doc_id,
+                CASE WHEN query_id % 3 = 2 THEN 1.0::DOUBLE ELSE list_cosine_distance(v, q) END AS distance FROM q, parts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 10), doc_id) AS rank FROM hits)
+SELECT query_id, doc_id, abs(round(distance, 6)) AS distance, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 3""")
+def t5_many(t: Tables) -> DataFrame:
+    # three queries for each vector: itself, turned round, and zero; more than a page of them
+    v = F.col("embedding").cast("array<double>")
+    kinds = F.array(v, F.reverse(v), F.transform(v, lambda x: F.lit(0.0)))
+    queries = t("embeddings").select("vec_id", F.posexplode(kinds).alias("turn", "embedding")).select(
+        (F.col("vec_id") * 3 + F.col("turn")).alias("query_id"), "embedding")
+    out = D.vector_search(t("embeddings"), queries, 3, doc_id="vec_id")
+    return out.withColumn("distance", F.abs(F.round("distance", 6)))
+
+
 @query("t6_knowledge_base", r"""
 SELECT source || '.pdf' AS source, count(*) AS n_pages, CAST(0 AS BIGINT) AS n_abstracts, true AS ids_unique
 FROM documents WHERE regexp_matches(text, '\S') GROUP BY source
@@ -146,6 +164,44 @@ def t6(t: Tables) -> DataFrame:
         (F.count(F.lit(1)) == F.count_distinct("id")).alias("ids_unique"))
 
 
+def two_builds(t: Tables) -> str:
+    """A collection built from even items, then from all of them under a second name."""
+    path = scratch_path(t.spark, "two-builds")
+    items = t("benchmark").select("item_id", F.lit("epilepsy").alias("query"), F.regexp_replace("text", "\\s+", " ").alias("text"))
+    named = lambda df, mark: df.select(F.concat(F.lit(mark), F.col("item_id").cast("string")).alias("source"), "query", "text")
+    build_knowledge_base(t.spark, path, abstracts=named(items.filter("item_id % 2 = 0"), "a"), dim=64)
+    build_knowledge_base(t.spark, path, abstracts=named(items, "b"), dim=64)
+    return path
+
+
+@query("t6_two_builds", r"""
+SELECT 'b' || item_id AS source, CAST(1 AS BIGINT) AS n, item_id % 2 = 0 AS twice, true AS one_vector FROM benchmark
+WHERE regexp_matches(text, '\S')""")
+def t6_two_builds(t: Tables) -> DataFrame:
+    # the same text in two builds has the same vector
+    rows = t.spark.read.parquet(two_builds(t)).select(F.col("metadata")["source"].alias("source"), "embedding")
+    number = F.substring("source", 2, 20)
+    first = rows.filter("source like 'a%'").select(number.alias("k"), F.col("embedding").alias("first"))
+    second = rows.filter("source like 'b%'").select("source", number.alias("k"), "embedding")
+    return second.join(first, "k", "left").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("first").isNotNull()).alias("twice"),
+        F.min(F.coalesce(F.col("first") == F.col("embedding"), F.lit(True))).alias("one_vector"))
+
+
+@query("t6_search", r"""
+SELECT item_id AS query_id, CAST(1 AS INTEGER) AS rank, true AS own_text, true AS near FROM benchmark
+WHERE regexp_matches(text, '\S')""")
+def t6_search(t: Tables) -> DataFrame:
+    # a stored text finds itself, or an equal one, at distance 0
+    path = two_builds(t)
+    asked = t("benchmark").filter(F.col("text").rlike("\\S")).select(
+        F.col("item_id").alias("query_id"), F.regexp_replace("text", "\\s+", " ").alias("content"))
+    hits = search_collection(t.spark, path, asked, 1)
+    vectors = D.embed(asked, load_embedding(path)).select("query_id", F.col("content").alias("asked"))
+    return hits.join(vectors, "query_id").select(
+        "query_id", "rank", (F.trim("content") == F.trim("asked")).alias("own_text"), (F.col("distance") < 1e-6).alias("near"))
+
+
 @query("t7_recommendation_parts", f"""
 WITH {CENTROIDS_SQL},
 top AS (SELECT query_id, rank, distance, 'label ' || doc_label || ' vector ' || doc_id AS content FROM ranked WHERE rank <= 5)

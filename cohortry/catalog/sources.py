@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import CLINICAL_SQL, GENETIC_SQL, Tables, clinical, genetic, query
+from cohortry.operators.aggregate import aggregate_variants
 from cohortry.operators.maintain import union_sources
-from cohortry.operators.validate import coerce
+from cohortry.operators.validate import GENETIC_RULES, coerce, process
 from cohortry.pipeline import merge_processed, process_all
 from cohortry.plans.session import scratch_path
 from cohortry.schemas import CLINICAL, GENETIC, SEIZURE_TYPES
@@ -159,3 +160,29 @@ def x1(t: Tables) -> DataFrame:
     return merged.select(
         "patient_id", "years_since_onset", "n_previous_treatments", "sex_encoded", "treatment_response_encoded",
         F.round("age_scaled", 7).alias("age_scaled"), "n_genes_affected", "n_variants", "has_epilepsy_gene")
+
+
+@query("x1_process_vcf", """
+WITH v AS (SELECT l_orderkey % 200 AS s, l_partkey % 50 AS pos, l_returnflag AS ref, l_linestatus AS alt FROM lineitem),
+r AS (SELECT 'P' || s AS patient_id, CASE WHEN pos % 2 = 0 THEN 'SCN1A' ELSE 'GENE' || pos END AS gene,
+             'chr1:' || pos || ref || '>' || alt AS variant FROM v)
+SELECT patient_id, count(DISTINCT gene) AS n_genes_affected, count(DISTINCT variant) AS n_variants,
+       bool_or(gene = 'SCN1A') AS has_epilepsy_gene FROM r GROUP BY patient_id""")
+def x1_vcf(t: Tables) -> DataFrame:
+    folder = scratch_path(t.spark, "vcf")
+    sample = F.col("l_orderkey") % 200
+    line = F.concat_ws("\t", F.lit("chr1"), (F.col("l_partkey") % 50).cast("string"), F.lit("."), "l_returnflag",
+                       "l_linestatus", F.lit("."), F.lit("PASS"))
+    # one folder per sample; the sample's name is in the file's path
+    t("lineitem").select(sample.alias("sample"), line.alias("value")).write.partitionBy("sample").option(
+        "compression", "gzip").text(folder)
+    lines = t.spark.read.text(folder)
+    variants = files.parse_vcf(lines, F.col("sample").cast("string"))
+    samples = t("lineitem").select(sample.cast("string").alias("sample_id")).distinct().withColumn(
+        "patient_id", F.concat(F.lit("P"), "sample_id"))
+    position = (F.col("l_partkey") % 50).cast("int")
+    genes = t("lineitem").select(
+        F.lit("chr1").alias("chrom"), position.alias("pos"), F.lit("missense").alias("variant_type"),
+        F.when(position % 2 == 0, "SCN1A").otherwise(F.concat(F.lit("GENE"), position.cast("string"))).alias("gene")).distinct()
+    done = process(files.annotate_variants(variants, samples, genes), GENETIC_RULES, aggregate_variants, "genetic")
+    return done.data.select("patient_id", "n_genes_affected", "n_variants", "has_epilepsy_gene")

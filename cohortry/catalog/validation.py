@@ -108,6 +108,23 @@ f AS (
   UNION ALL SELECT o_orderkey, 'o_totalprice', 'field_uniqueness', NULL FROM o WHERE copies > 1)"""
 
 
+@query("v6_process_missing_column", """
+SELECT kind, "column", "check", n FROM (
+  SELECT 'error' AS kind, "column", "check", CAST(1 AS BIGINT) AS n
+  FROM (VALUES ('c_age', 'column_in_dataframe'), ('c_name', 'column_in_schema')) AS f("column", "check")
+  UNION ALL SELECT 'rows', '', '', count(*) FROM customer)""")
+def v6_process(t: Tables) -> DataFrame:
+    # an absent required column and one too many: both are reported, no row is lost, nothing is transformed
+    rules = RuleSet(_schema(c_custkey=BIGINT, c_mktsegment=STRING, c_age=INT), [*not_null("c_custkey", "c_age")], strict=True)
+    done = process(t("customer").select("c_custkey", "c_mktsegment", "c_name"), rules,
+                   lambda df: df.filter("c_age > 0"), "customer")
+    errors = done.errors.groupBy("column", "check").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("error").alias("kind"), "column", "check", "n")
+    rows = done.data.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("rows").alias("kind"), F.lit("").alias("column"), F.lit("").alias("check"), "n")
+    return errors.unionByName(rows)
+
+
 @query("v7_failure_report", f"WITH {ORDER_FAILURES_SQL} SELECT * FROM f")
 def v7(t: Tables) -> DataFrame:
     report = failure_report(_orders(t), ORDER_RULES, "o_orderkey")

@@ -122,12 +122,19 @@ def vector_search(docs: DataFrame, queries: DataFrame, k: int = 5, metadata: Map
     Exact. One pass over the documents per page of queries: each Arrow batch is
     multiplied with the query matrix, and a task sends on its k best per query,
     so only those candidates are shuffled. Queries are read a page at a time, and the
-    pages together are the whole query table; query ids are unique.
+    pages together are the whole query table.
+
+    A zero vector, on either side, is at distance 1 from everything; null
+    vectors take no part. Of rows with one query id the one with the smallest
+    vector counts.
     """
     if metadata:
         for name, value in metadata.items():
             docs = docs.filter(F.try_element_at("metadata", F.lit(name)) == F.lit(value))
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_embedding).alias("vector"))
+    wanted = (
+        queries.select(F.col(query_id).alias("query_id"), F.col(query_embedding).alias("vector"))
+        .filter(F.col("vector").isNotNull()).groupBy("query_id").agg(F.min("vector").alias("vector"))
+    )
     if within(wanted.select("query_id"), QUERY_PAGE):
         return _page_hits(docs, wanted, k, doc_id, embedding)
 
@@ -157,7 +164,8 @@ def _nearest_candidates(docs: DataFrame, rows: Sequence, k: int, doc_id: str, em
     """Per task, the k nearest documents for each query of the page."""
     names = [r["query_id"] for r in rows]
     matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix = matrix / np.where(norms == 0.0, 1.0, norms)
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

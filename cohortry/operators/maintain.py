@@ -22,17 +22,16 @@ def distinct_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return (df.select(*columns) if columns else df).distinct()
 
 
-def upsert(target: DataFrame, updates: DataFrame, key: str, stamp: Column, created: str = "created_at",
-           updated: str = "updated_at", order: Sequence[Column | str] | None = None) -> DataFrame:
+def upsert(target: DataFrame, updates: DataFrame, key: str, stamp: Column, order: Sequence[Column | str],
+           created: str = "created_at", updated: str = "updated_at") -> DataFrame:
     """New state of ``target``: updates replace, new keys are added.
 
     ``updated_at`` is stamped on the rows an update touches and on new rows;
-    ``created_at`` stays as it was. Several updates of one key: the last one in
-    ``order`` wins, chosen before the join.
+    ``created_at`` stays as it was. Several updates of one key: the first one by
+    ``order`` wins, chosen before the join, so a target row is never doubled.
     """
     values = [c for c in target.columns if c not in (key, created, updated)]
-    if order is not None:
-        updates = dedup_first(updates, key, order)
+    updates = dedup_first(updates, key, order)
     given = [c for c in values if c in updates.columns]
     incoming = updates.select(
         F.col(key).alias("__key"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__new_{c}") for c in given]

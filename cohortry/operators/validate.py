@@ -101,11 +101,14 @@ def coerce(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def check_columns(df: DataFrame, rules: RuleSet) -> DataFrame:
     """Failures of the column set itself; they never remove rows."""
+    return df.sparkSession.createDataFrame(column_failures(df.columns, rules), "column string, check string")
+
+
+def column_failures(columns: Sequence[str], rules: RuleSet) -> list[tuple[str, str]]:
+    """(column, check) for declared columns that are absent and, if strict, for others that are there."""
     declared = rules.schema.fieldNames()
-    failures = [(c, "column_in_dataframe") for c in declared if c not in df.columns]
-    if rules.strict:
-        failures += [(c, "column_in_schema") for c in df.columns if c not in declared]
-    return df.sparkSession.createDataFrame(failures, "column string, check string")
+    failures = [(c, "column_in_dataframe") for c in declared if c not in columns]
+    return failures + [(c, "column_in_schema") for c in columns if rules.strict and c not in declared]
 
 
 def with_failures(df: DataFrame, rules: RuleSet) -> DataFrame:
@@ -147,16 +150,24 @@ def with_failures(df: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def failure_report(df: DataFrame, rules: RuleSet, row_key: str) -> DataFrame:
-    """Long table of all failures: (row_key, column, check, value)."""
-    return (
+    """Long table of all failures: (row_key, column, check, value).
+
+    Failures of the column set come too, once each, with a null row key.
+    """
+    key = F.col(row_key) if row_key in df.columns else F.lit(None).cast("string")
+    rows = (
         with_failures(df, rules)
-        .select(F.col(row_key).alias("row_key"), F.explode("failures").alias("f"))
+        .select(key.alias("row_key"), F.explode("failures").alias("f"))
         .select("row_key", "f.column", "f.check", "f.value")
     )
+    return rows.unionByName(check_columns(df, rules), allowMissingColumns=True)
 
 
 def split_valid(df: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
-    """(typed rows without failures, failed rows with their failures)."""
+    """(typed rows without failures, failed rows with their failures).
+
+    Failures of the column set are in :func:`failure_report`; they remove no row.
+    """
     checked = with_failures(df, rules)
     ok = F.size("failures") == 0
     return checked.filter(ok).drop("failures"), checked.filter(~ok)
@@ -258,22 +269,31 @@ class Processed:
 
 def process(df: DataFrame, rules: RuleSet, transform: Callable[[DataFrame], DataFrame] | None = None,
             name: str = "", row_key: str | None = None) -> Processed:
-    """Validate and transform; rows are counted while they pass, without a scan of their own."""
+    """Validate and transform; rows are counted while they pass, without a scan of their own.
+
+    Absent and unwanted columns are reported in ``errors`` and remove no row;
+    unwanted ones are not passed on. Where a column that must not be null is
+    absent the transform can't run: the valid rows come out as they are.
+    """
+    faults = column_failures(df.columns, rules)
     before, after = Observation(), Observation()
     ok = F.size("failures") == 0
     checked = with_failures(df, rules)
     seen = checked.observe(
         before, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(ok.cast("long")), F.lit(0)).alias("n_ok")
     )
-    valid = seen.filter(ok).drop("failures")
-    out = transform(valid) if transform else valid
+    unwanted = [c for c, check in faults if check == "column_in_schema"]
+    valid = seen.filter(ok).drop("failures", *unwanted)
+    absent = [c for c, check in faults if check == "column_in_dataframe"]
+    needed = {r.column for r in rules.rules if r.check == "not_nullable"}
+    out = transform(valid) if transform and not needed & set(absent) else valid
     out = out.observe(after, F.count(F.lit(1)).alias("n"))
     return Processed(
         data=out,
         errors=failure_report(df, rules, row_key or rules.schema.fieldNames()[0]),
         n_input=before,
         n_output=after,
-        metadata={"processor": name},
+        metadata={"processor": name, "absent": ",".join(absent), "unwanted": ",".join(unwanted)},
     )
 
 

@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +50,23 @@ def transform_clinical(df: DataFrame) -> DataFrame:
     return encode.standard_scale(out, scaled)
 
 
+ROW_ORDER = ["__file", "__block", "__row"]
+
+
+def read_imaging(spark: SparkSession, path: str) -> DataFrame:
+    """CSV rows with their place: file, start of the block read, and running number inside it."""
+    return files.read_csv(spark, path).withColumns({
+        "__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"),
+        "__row": F.monotonically_increasing_id()})
+
+
 def transform_imaging(df: DataFrame) -> DataFrame:
-    """First row per patient, and the scaled mean intensity if there is one."""
-    out = dedup_first(df, "patient_id", [F.xxhash64(*df.columns)])
+    """First row per patient in the order of the files, and the scaled mean intensity if there is one.
+
+    Rows without a place (not from :func:`read_imaging`) are ordered by their values.
+    """
+    order = ROW_ORDER if set(ROW_ORDER) <= set(df.columns) else df.columns
+    out = dedup_first(df, "patient_id", order).drop(*ROW_ORDER)
     return encode.standard_scale(out, ["mean_intensity"]) if "mean_intensity" in df.columns else out
 
 
@@ -60,7 +75,7 @@ IMAGING_RULES = RuleSet(schema=schemas.IMAGING)
 _REGISTRY: dict[str, Modality] = {
     "clinical": Modality(files.read_clinical, CLINICAL_RULES, transform_clinical),
     "genetic": Modality(files.read_genetic, GENETIC_RULES, aggregate_variants),
-    "neuroimaging": Modality(files.read_csv, IMAGING_RULES, transform_imaging),
+    "neuroimaging": Modality(read_imaging, IMAGING_RULES, transform_imaging),
 }
 
 
@@ -68,8 +83,14 @@ def register_modality(name: str, modality: Modality) -> None:
     _REGISTRY[name] = modality
 
 
-def process_all(spark: SparkSession, sources: Mapping[str, str]) -> dict[str, Processed]:
-    """Read, validate and transform every source; unknown names warn and are skipped."""
+def process_all(spark: SparkSession, sources: Mapping[str, str], samples: DataFrame | None = None,
+                genes: DataFrame | None = None) -> dict[str, Processed]:
+    """Read, validate and transform every source; unknown names warn and are skipped.
+
+    Variants from VCF files name a sample and a position: ``samples`` and
+    ``genes`` (see :func:`files.annotate_variants`) give them patient and gene.
+    Without those the absent columns are reported and nothing is transformed.
+    """
     out: dict[str, Processed] = {}
     for name, source in sources.items():
         modality = _REGISTRY.get(name)
@@ -77,23 +98,36 @@ def process_all(spark: SparkSession, sources: Mapping[str, str]) -> dict[str, Pr
             warnings.warn(f"no modality registered as {name}", stacklevel=2)
             continue
         raw = modality.reader(spark, source)
+        if samples is not None and genes is not None and {"sample_id", "chrom", "pos"} <= set(raw.columns):
+            raw = files.annotate_variants(raw, samples, genes)
         out[name] = process(raw, modality.rules, modality.transform, name, modality.row_key)
     return out
 
 
+SUFFIXES = {"neuroimaging": "neuro"}
+
+
 def merge_processed(results: Mapping[str, Processed], on: str = "patient_id") -> DataFrame:
-    """Clinical rows with the other modalities joined to them."""
-    others = {name: r.data for name, r in results.items() if name != "clinical"}
+    """Clinical rows with the other modalities joined to them.
+
+    A column name already taken gets a suffix: ``_neuro`` for images, else the modality's name.
+    """
+    for name, result in results.items():
+        if on not in result.data.columns:
+            raise ValueError(f"{name} has no column {on}; absent columns: {result.metadata.get('absent', '')}")
+    others = {SUFFIXES.get(name, name): r.data for name, r in results.items() if name != "clinical"}
     return merge_modalities(results["clinical"].data, others, on)
 
 
 def build_knowledge_base(spark: SparkSession, path: str, guidelines: str | None = None,
                          abstracts: DataFrame | None = None, pages: DataFrame | None = None,
                          dim: int = 256) -> DataFrame:
-    """Split, number, embed and append documents to the collection at ``path``.
+    """Split, number, embed and append documents to the collection at ``path``; returns the whole collection.
 
-    ``abstracts``: (source, query, text). ``pages``: (source, page, text). Only
-    ids that the collection does not hold yet are written; returns those rows.
+    ``abstracts``: (source, query, text). ``pages``: (source, page, text). The
+    first build fits the embedding and saves it beside the collection; later
+    builds load it, so all vectors lie in one space, and embed only documents
+    whose ids the collection does not hold yet.
     """
     found: list[DataFrame] = []
     if pages is not None:
@@ -111,14 +145,43 @@ def build_knowledge_base(spark: SparkSession, path: str, guidelines: str | None
         found.append(documents.number_chunks(chunked, "source", kind="guideline"))
     if not found:
         raise ValueError("no sources given")
-    embedded = documents.embed_tfidf(cut_lineage(union_sources(found)), dim=dim)
+    rows = union_sources(found)
     collection = _collection(spark, path)
-    new = documents.add_documents(collection, embedded) if collection is not None else dedup_first(
-        embedded, "id", [F.md5("content")])
-    new.write.mode("append").parquet(path)
+    if collection is None:
+        rows = cut_lineage(dedup_first(rows, "id", [F.md5("content")]))
+        model = documents.fit_embedding(rows, dim=dim)
+        model.write().overwrite().save(model_path(path))
+    else:
+        rows = documents.add_documents(collection, rows)
+        model = load_embedding(path)
+    documents.embed(rows, model).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
+def model_path(path: str) -> str:
+    """Where the embedding of the collection at ``path`` is saved."""
+    return f"{path.rstrip('/')}-embedding"
+
+
+def load_embedding(path: str) -> PipelineModel:
+    return PipelineModel.load(model_path(path))
+
+
+def search_collection(spark: SparkSession, path: str, texts: Mapping[str, str] | DataFrame, k: int = 5,
+                      metadata: Mapping[str, str] | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, distance, content): the k documents of the stored collection nearest to each text.
+
+    ``texts`` is a mapping from query id to text, or a table (query_id, content).
+    """
+    if not isinstance(texts, DataFrame):
+        texts = spark.createDataFrame(list(texts.items()), "query_id string, content string")
+    collection = spark.read.parquet(path)
+    queries = documents.embed(texts.select("query_id", "content"), load_embedding(path)).select("query_id", "embedding")
+    hits = documents.vector_search(collection, queries, k, metadata)
+    return hits.join(collection.select(F.col("id").alias("doc_id"), "content"), "doc_id").select(
+        "query_id", "rank", "doc_id", "distance", "content")
+
+
 def _collection(spark: SparkSession, path: str) -> DataFrame | None:
     """The collection written so far: the files listed now, so appending does not disturb the read."""
     from pyspark.errors import AnalysisException

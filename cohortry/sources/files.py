@@ -22,10 +22,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return reader.schema(schema).csv(path) if schema else reader.csv(path)
 
 
-def read_clinical(spark: SparkSession, source: str) -> DataFrame:
-    """Clinical CSV, or the relational table behind a Postgres URL."""
+def read_clinical(spark: SparkSession, source: str, partition_column: str | None = None,
+                  bounds: tuple[int, int] | None = None, partitions: int = 8, table: str = "clinical_data") -> DataFrame:
+    """Clinical CSV, or the relational table behind a Postgres URL.
+
+    A whole-number column with its bounds splits the read of a table into
+    ranges; without them one connection reads it all.
+    """
     if source.startswith(("postgresql://", "jdbc:")):
-        return read_jdbc(spark, source, "clinical_data")
+        return read_jdbc(spark, source, table, partition_column, bounds, partitions)
     if "://" in source and not source.startswith(("file:", "hdfs:", "s3", "abfs", "gs:")):
         raise ValueError(f"unsupported source: {source}")
     return read_csv(spark, source)
@@ -59,7 +64,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str |
 
 def read_genetic(spark: SparkSession, path: str) -> DataFrame:
     """Variants by file suffix: VCF or CSV."""
-    if path.endswith(".vcf"):
+    if path.endswith((".vcf", ".vcf.gz")):
         return read_vcf(spark, path)
     if path.endswith(".csv"):
         return read_csv(spark, path)
@@ -94,7 +99,8 @@ def image_stats(voxels: DataFrame, image: str, value: str, headers: DataFrame |
                 zooms: Sequence[str] = ("dx", "dy", "dz")) -> DataFrame:
     """Per image: mean, population std, minimum, maximum, voxel count and volume.
 
-    Volume is the voxel count times the voxel size of the image's header.
+    Volume is the voxel count times the voxel size of the image's header; an
+    image without a header stays, with no volume.
     """
     stats = voxels.groupBy(image).agg(
         F.avg(value).alias("mean_intensity"),
@@ -106,11 +112,28 @@ def image_stats(voxels: DataFrame, image: str, value: str, headers: DataFrame |
     if headers is None:
         return stats
     size = F.col(zooms[0]) * F.col(zooms[1]) * F.col(zooms[2])
-    return stats.join(headers.select(image, size.alias("__size")), image).withColumn(
+    return stats.join(headers.select(image, size.alias("__size")), image, "left").withColumn(
         "volume_cm3", F.col("__size") * F.col("n_voxels")
     ).drop("__size")
 
 
+def annotate_variants(variants: DataFrame, samples: DataFrame, genes: DataFrame) -> DataFrame:
+    """VCF rows as variant records (patient_id, gene, variant, variant_type, allele_frequency, clinvar_significance).
+
+    ``samples``: (sample_id, patient_id). ``genes``: (chrom, pos, gene), and any
+    of the last three columns. A row without a sample or gene keeps null there,
+    which validation reports; no row is dropped.
+    """
+    named = variants.join(samples.select("sample_id", "patient_id"), "sample_id", "left")
+    given = [c for c in ("gene", "variant_type", "allele_frequency", "clinvar_significance") if c in genes.columns]
+    found = named.join(genes.select("chrom", "pos", *given), ["chrom", "pos"], "left")
+    change = F.concat_ws("", "chrom", F.lit(":"), F.col("pos").cast("string"), "ref", F.lit(">"), "alt")
+    missing = {"gene": "string", "variant_type": "string", "allele_frequency": "double", "clinvar_significance": "string"}
+    return found.select(
+        "patient_id", *[F.col(c) if c in given else F.lit(None).cast(kind).alias(c) for c, kind in missing.items()],
+        change.alias("variant"))
+
+
 def image_shape(voxels: DataFrame, image: str, axes: Sequence[str] = ("i", "j", "k")) -> DataFrame:
     """(image, shape): extent along each axis."""
     return voxels.groupBy(image).agg(F.array(*[F.max(a) + 1 for a in axes]).alias("shape"))

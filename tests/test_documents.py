@@ -168,3 +168,33 @@ def test_template_text_is_not_expanded_twice(spark):
     df = spark.createDataFrame([("{question}",)], "context string").withColumn("seizure_type", F.lit("t"))
     prompt = D.build_prompts(df).first()["prompt"]
     assert "{question}" in prompt and "Pergunta: Qual o melhor" in prompt
+
+
+@pytest.mark.parametrize("k", [2, 30])
+def test_search_with_odd_queries(spark, k):
+    docs = spark.createDataFrame([(i, [float(i % 5), 1.0, 0.0] if i else [0.0, 0.0, 0.0]) for i in range(20)],
+                                 "id int, embedding array<float>")
+    queries = spark.createDataFrame([("zero", [0.0, 0.0, 0.0]), ("null", None), ("x", [1.0, 0.0, 0.0]), ("x", [0.0, 1.0, 0.0])],
+                                    "query_id string, embedding array<float>")
+    got = [tuple(r) for r in D.vector_search(docs, queries, k).orderBy("query_id", "rank").select(
+        "query_id", "rank", "doc_id", "distance").collect()]
+    n = min(k, 20)
+    assert [g[0] for g in got] == ["x"] * n + ["zero"] * n
+    assert [(g[1], g[2], g[3]) for g in got if g[0] == "zero"] == [(i + 1, i, 1.0) for i in range(n)]
+    assert got[0][2] == 5 and got[0][3] == 0  # of the two vectors named x the smaller one counts
+
+
+def test_two_builds_share_one_space_and_can_be_searched(spark, tmp_path):
+    from cohortry.pipeline import search_collection
+
+    path = str(tmp_path / "kb")
+    abstracts = lambda *rows: spark.createDataFrame(rows, "source string, query string, text string")
+    build_knowledge_base(spark, path, abstracts=abstracts(("a", "q", "seizure drug dose"), ("b", "q", "gene variant")), dim=32)
+    again = build_knowledge_base(spark, path, abstracts=abstracts(("c", "q", "seizure drug dose"), ("a", "q", "seizure drug dose")), dim=32)
+    rows = {r["metadata"]["source"]: r["embedding"] for r in again.collect()}
+    assert again.count() == 3 and rows["a"] == rows["c"] != rows["b"]
+    hits = search_collection(spark, path, {"one": "gene variant", "two": "drug seizure dose"}, 2).collect()
+    first = {r["query_id"]: r["content"] for r in hits if r["rank"] == 1}
+    assert first == {"one": "gene variant", "two": "seizure drug dose"}
+    only = search_collection(spark, path, {"two": "drug"}, 5, {"source": "b"}).collect()
+    assert [r["content"] for r in only] == ["gene variant"]

@@ -145,10 +145,46 @@ def test_modalities_from_files_to_one_table(spark, tmp_path, raw_clinical, genet
     # P2 has an empty treatment list, which a CSV cannot tell from a missing one
     assert set(merged) == {"P1", "P3"}
     assert merged["P1"]["n_variants"] == 2 and merged["P1"]["mean_intensity_scaled"] == -1.0
-    assert merged["P3"]["gene"] is None and merged["P1"]["sex_encoded"] == 0
+    assert merged["P3"]["n_variants"] is None and merged["P1"]["sex_encoded"] == 0
     assert done["clinical"].errors.count() > 0
 
     P.register_modality("eeg", P.Modality(files.read_csv, RuleSet(schemas.GENETIC), lambda df: df))
     (tmp_path / "x.csv").write_text("patient_id,power\nP1,2\n")
     assert P.process_all(spark, {"eeg": sources["eeg"]})["eeg"].data.count() == 1
     P._REGISTRY.pop("eeg")
+
+
+def test_vcf_rows_get_patient_and_gene(spark, tmp_path):
+    (tmp_path / "s1.vcf").write_text("##x\n#CHROM\nchr1\t5\t.\tA\tG\t30\tPASS\nchr2\t9\t.\tC\tT\t.\tPASS\n")
+    source = {"genetic": str(tmp_path / "s1.vcf")}
+    samples = spark.createDataFrame([("s1", "P1")], "sample_id string, patient_id string")
+    genes = spark.createDataFrame([("chr1", 5, "SCN1A", "missense")], "chrom string, pos int, gene string, variant_type string")
+    done = P.process_all(spark, source, samples, genes)["genetic"]
+    assert [(r["patient_id"], r["n_variants"], r["epilepsy_genes"]) for r in done.data.collect()] == [("P1", 1, ["SCN1A"])]
+    assert {(r["column"], r["check"]) for r in done.errors.collect()} == {("gene", "not_nullable"), ("variant_type", "not_nullable")}
+    plain = P.process_all(spark, source)["genetic"]  # without annotation: reported, nothing transformed
+    assert ("patient_id", "column_in_dataframe") in {(r["column"], r["check"]) for r in plain.errors.collect()}
+    assert plain.data.count() == 2
+    with pytest.raises(ValueError, match="patient_id"):
+        P.merge_processed({"clinical": plain})
+
+
+def test_first_image_row_is_the_first_in_the_file(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("patient_id,mean_intensity\n" + "".join(f"P1,{float(i)}\n" for i in range(6)) + "P2,9.0\n")
+    out = P.process_all(spark, {"neuroimaging": str(tmp_path / "n.csv")})["neuroimaging"].data
+    assert {r["patient_id"]: r["mean_intensity"] for r in out.collect()} == {"P1": 0.0, "P2": 9.0}
+    assert not any(c.startswith("__") for c in out.columns)
+
+
+def test_images_without_header_stay(spark):
+    voxels = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "image string, v double")
+    headers = spark.createDataFrame([("a", 1.0, 1.0, 2.0)], "image string, dx double, dy double, dz double")
+    got = {r["image"]: r["volume_cm3"] for r in files.image_stats(voxels, "image", "v", headers).collect()}
+    assert got == {"a": 2.0, "b": None}
+
+
+def test_clinical_table_can_be_read_in_ranges(monkeypatch):
+    seen = {}
+    monkeypatch.setattr(files, "read_jdbc", lambda *a: seen.setdefault("args", a[1:]))
+    files.read_clinical(None, "postgresql://h/db", "id", (1, 100), 4)
+    assert seen["args"] == ("postgresql://h/db", "clinical_data", "id", (1, 100), 4)

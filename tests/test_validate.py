@@ -93,3 +93,12 @@ def test_warehouse_constraints(spark):
     assert got["patients.age_range"] == 1 and got["patients.sex_not_null"] == 1
     assert got["patients.patient_id_unique"] == 1 and got["predictions.probability_range"] == 1
     assert got["predictions.patient_id_fk"] == 1
+
+
+def test_column_failures_are_reported_and_drop_no_row(spark):
+    df = spark.createDataFrame([("P1", "30", "x")], "patient_id string, age string, extra string")
+    done = V.process(df, V.CLINICAL_RULES, lambda d: d.withColumn("y", d["age_at_onset"]), "clinical")
+    got = {(r["column"], r["check"]) for r in done.errors.collect()}
+    assert ("extra", "column_in_schema") in got and ("sex", "column_in_dataframe") in got and len(got) == 8
+    assert done.data.columns == ["patient_id", "age"] and done.data.count() == 1
+    assert done.summary()["n_records_output"] == 1
