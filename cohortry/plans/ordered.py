@@ -27,13 +27,14 @@ _GROUP = "__group"
 
 
 def _fan(df: DataFrame) -> int:
-    """fan * fan buckets, about one per shuffle partition, between 64 and 4096.
+    """fan * fan buckets, about one per shuffle partition, 64 at least.
 
     A bucket is found in two steps of fan - 1 comparisons. The result of a
-    running total does not depend on the number of buckets.
+    running total does not depend on the number of buckets, which follows the
+    cluster's setting without a bound.
     """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(64, math.ceil(math.sqrt(width))))
+    return max(8, math.ceil(math.sqrt(width)))
 
 
 def _bounds(df: DataFrame, value: str, measures: Sequence[str], group: Sequence[str], fan: int) -> DataFrame:
@@ -175,13 +176,16 @@ def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def hash_cuts(df: DataFrame, hashed: str, group: str, fractions: Sequence[float]) -> DataFrame:
     """(group, cuts): per fraction, the hash of the row at rank round(n * fraction).
 
-    ``hashed`` is a hex digest. Its first three digits give 4096 even buckets;
-    their counts tell which bucket holds a rank, and only the digests of those
-    buckets (about one in 4096) are sorted, equal ones as one. A rank of 0
+    ``hashed`` is a hex digest. Its first digits give even buckets, 4096 or
+    16 times as many as shuffle partitions and more; their counts tell which
+    bucket holds a rank, and only the digests of those buckets are sorted,
+    equal ones as one. A rank of 0
     gives the empty text, which no digest is below; a group with no other rank
     has no row here.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(hashed).alias("h")).withColumn("b", F.substring("h", 1, 3))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = max(3, math.ceil(math.log(width, 16)) + 1)
+    rows = df.select(F.col(group).alias("g"), F.col(hashed).alias("h")).withColumn("b", F.substring("h", 1, digits))
     counts = rows.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("g").orderBy("b")
     placed = counts.withColumns({

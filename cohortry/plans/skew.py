@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 HOT_ROWS = 1_000_000
@@ -55,12 +56,23 @@ def flag_repeated(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     Keys are counted with a partial aggregate and only the repeated ones are
     joined back; ``count(*) over (partition by key)`` would sort all copies of
     a key in one task. Rows of hot keys are repeated by definition and are not
-    joined at all.
+    joined at all. A text key is counted and compared by its 128-bit digest and
+    length, so long texts are not shuffled as keys.
     """
-    keys = list(keys)
-    hot, cold = split_hot(df, keys)
-    flagged = _flag_by_count(cold, keys, flag)
-    return flagged if hot is None else flagged.unionByName(hot.withColumn(flag, F.lit(True)).select(*flagged.columns))
+    short = {f"__s{i}": _short(df, k) for i, k in enumerate(keys)}
+    df = df.withColumns(short)
+    hot, cold = split_hot(df, list(short))
+    flagged = _flag_by_count(cold, list(short), flag)
+    if hot is not None:
+        flagged = flagged.unionByName(hot.withColumn(flag, F.lit(True)).select(*flagged.columns))
+    return flagged.drop(*short)
+
+
+def _short(df: DataFrame, key: str) -> Column:
+    if not isinstance(df.schema[key].dataType, T.StringType):
+        return F.col(key)
+    digest = F.struct(F.md5(F.col(key)).alias("digest"), F.length(key).alias("length"))
+    return F.when(F.col(key).isNotNull(), digest)
 
 
 def _flag_by_count(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
