@@ -12,8 +12,9 @@ import pytest
 import corpus_pipeline
 from cohortry.llm import language
 from cohortry.llm.common import stored
-from cohortry.llm.queries import QUERIES
+from cohortry.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
+from tools.check_oracle import connect
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -39,7 +40,13 @@ def test_query(spark, name):
     df = QUERIES[name](spark, FOLDER)
     kinds = dict(df.dtypes)
     assert all(kinds[c] == t for c, t in COLUMNS[name.split("_")[0]].items())
-    assert df.count() > 0
+    rows = [tuple(r) for r in df.collect()]
+    assert rows
+    if name in ORACLES:
+        con = connect(FOLDER)
+        cursor = con.execute(ORACLES[name])
+        assert [c[0] for c in cursor.description] == df.columns
+        assert sorted(cursor.fetchall()) == sorted(rows)
 
 
 def test_pipeline_equals_brute_force(spark):
