@@ -103,6 +103,31 @@ def g2(t: Tables) -> DataFrame:
     return merged.select("src", "type", "dst", F.explode("props").alias("key", "value"))
 
 
+@query("g2_merge_into_existing", """
+WITH every AS (
+  SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, key, value, l_linenumber > 2 AS later, l_orderkey * 100 + l_linenumber AS seq
+  FROM (SELECT *, 'flag' AS key, l_returnflag AS value FROM lineitem UNION ALL
+        SELECT *, CASE WHEN l_linenumber > 2 THEN 'status' ELSE 'first' END, l_linestatus FROM lineitem)
+  WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25))
+SELECT src, 'INTERACTS_WITH' AS type, dst, key, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY src, dst, key ORDER BY later DESC, seq DESC, value DESC) AS rn FROM every) WHERE rn = 1""")
+def g2_existing(t: Tables) -> DataFrame:
+    parts = t("part").filter("p_size > 25").select(_id("p", "p_partkey").alias("id"))
+    nodes = parts.unionByName(t("supplier").select(_id("s", "s_suppkey").alias("id")))
+    later = F.col("l_linenumber") > 2
+
+    def updates(which) -> DataFrame:
+        status = F.when(later, F.lit("status")).otherwise(F.lit("first"))
+        return t("lineitem").filter(which).select(
+            _id("p", "l_partkey").alias("src"), _id("s", "l_suppkey").alias("dst"), F.lit("INTERACTS_WITH").alias("type"),
+            F.create_map(F.lit("flag"), F.col("l_returnflag"), status, F.col("l_linestatus")).alias("props"),
+            (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"))
+
+    old = G.merge_edges(updates(later).drop("seq").limit(0), updates(~later), nodes)
+    merged = G.merge_edges(old, updates(later), nodes)
+    return merged.select("src", "type", "dst", F.explode("props").alias("key", "value"))
+
+
 @query("g3_graph_constraints", """
 SELECT 'Gene' AS type, 'symbol' AS property, p_brand AS value, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 1
 UNION ALL
@@ -169,6 +194,22 @@ def g6(t: Tables) -> DataFrame:
                       F.md5(F.array_join("targeted_genes", ",")).alias("genes_md5"))
 
 
+@query("g6_drug_target_runs", """
+WITH enc AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)
+SELECT c_mktsegment AS drug, 'm' || c_nationkey AS mechanism, CASE WHEN c_nationkey % 2 = 0 THEN 'approved' END AS status,
+       p_brand AS gene, count(*) AS n
+FROM enc JOIN part ON l_partkey = p_partkey AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')
+JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY ALL""")
+def g6_runs(t: Tables) -> DataFrame:
+    encodes = _typed(t("lineitem"), _id("p", "l_partkey"), _id("o", "l_orderkey"), "ENCODES")
+    targets = _typed(t("orders"), _id("c", "o_custkey"), _id("o", "o_orderkey"), "TARGETS")
+    genes = t("part").select(_id("p", "p_partkey").alias("id"), F.col("p_brand").alias("symbol"))
+    drugs = t("customer").select(
+        _id("c", "c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), _id("m", "c_nationkey").alias("mechanism"),
+        F.when(F.col("c_nationkey") % 2 == 0, F.lit("approved")).alias("approval_status"))
+    return G.drug_target_runs(encodes.unionByName(targets), genes, drugs, ["Brand#1", "Brand#2", "Brand#3"])
+
+
 @query("g7_degree_centrality", f"""
 WITH {TRAITS_SQL}, {NODES_SQL},
 ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges WHERE src <> dst)
@@ -224,3 +265,18 @@ def g10(t: Tables) -> DataFrame:
         F.length("id").cast("double")).alias("features"))
     out = G.propagate_features(start, _traits(t), 1)
     return out.select("id", *[F.round(F.element_at("features", i + 1), 9).alias(f"f{i}") for i in range(3)])
+
+
+@query("g10_two_hops_wide", f"""
+WITH {TRAITS_SQL}, {NODES_SQL},
+f AS (SELECT id, CAST(type = 'Patient' AS INTEGER) AS f0, CAST(type = 'Variant' AS INTEGER) AS f3, CAST(type = 'Phenotype' AS INTEGER) AS f4
+      FROM nodes),
+links AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+one AS (SELECT id, avg(f0) AS f0, avg(f3) AS f3, avg(f4) AS f4 FROM (
+          SELECT id, f0, f3, f4 FROM f UNION ALL SELECT b, f0, f3, f4 FROM links JOIN f ON a = f.id) GROUP BY id)
+SELECT id, round(avg(f0), 9) AS f0, round(avg(f3), 9) AS f3, round(avg(f4), 9) AS f4, CAST(128 AS INTEGER) AS width FROM (
+  SELECT id, f0, f3, f4 FROM one UNION ALL SELECT b, f0, f3, f4 FROM links JOIN one ON a = one.id) GROUP BY id""")
+def g10_wide(t: Tables) -> DataFrame:
+    out = G.propagate_features(G.node_features(_nodes(t)), _traits(t), 2)
+    return out.select("id", *[F.round(F.element_at("features", i + 1), 9).alias(f"f{i}") for i in (0, 3, 4)],
+                      F.size("features").alias("width"))

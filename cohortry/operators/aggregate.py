@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cohortry import schemas
 from cohortry.plans.ordered import exact_quantiles, running_total
-from cohortry.plans.skew import fan_out_left_join
 
 
 def _any(condition: Column) -> Column:
@@ -132,7 +131,7 @@ def patient_complete_view(patients: DataFrame, clinical: DataFrame, treatments:
     ]
     profile = clinical.select(F.col("patient_id").alias("id"), *clinical_cols).distinct()
     keys = patients.select("id", "patient_id", "age", "sex", "created_at", "updated_at")
-    base = fan_out_left_join(keys, profile, ["id"])
+    base = keys.join(profile, "id", "left")  # distinct per patient on both sides: no key is hot
 
     def counted(child: DataFrame, name: str) -> DataFrame:
         return child.groupBy(F.col("patient_id").alias("id")).agg(F.count_distinct("id").alias(name))

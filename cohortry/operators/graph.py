@@ -154,25 +154,29 @@ def drug_gene_paths(edges: DataFrame, gene_nodes: DataFrame, genes: Sequence[str
     )
 
 
+def drug_target_runs(edges: DataFrame, gene_nodes: DataFrame, drugs: DataFrame, genes: Sequence[str],
+                     encodes: str = "ENCODES", targets: str = "TARGETS") -> DataFrame:
+    """(drug, mechanism, status, gene, n): how many paths lead from a drug to each gene; one row for any number of them."""
+    named = drug_gene_paths(edges, gene_nodes, genes, encodes, targets).join(drugs.withColumnRenamed("id", "drug"), "drug")
+    return named.groupBy(
+        F.col("name").alias("drug"), "mechanism", F.col("approval_status").alias("status"), "gene").agg(F.sum("n").alias("n"))
+
+
 def drug_targets(edges: DataFrame, gene_nodes: DataFrame, drugs: DataFrame, genes: Sequence[str],
                  encodes: str = "ENCODES", targets: str = "TARGETS") -> DataFrame:
     """(drug, mechanism, status, targeted_genes): the genes sorted, with repeats.
 
-    A gene is listed once per path. For drugs with very many paths read the
-    counts of :func:`drug_gene_paths` instead.
+    A gene is listed once per path, for drugs whose paths fit in a row; the
+    rows of :func:`drug_target_runs` hold any number.
 
     ``gene_nodes``: (id, symbol). ``drugs``: (id, name, mechanism, approval_status).
     """
-    paths = drug_gene_paths(edges, gene_nodes, genes, encodes, targets)
-    named = paths.join(drugs.withColumnRenamed("id", "drug"), "drug")
-    runs = named.groupBy(
-        F.col("name"), F.col("mechanism"), F.col("approval_status").alias("status"), "gene"
-    ).agg(F.sum("n").alias("n"))
-    listed = runs.groupBy("name", "mechanism", "status").agg(
+    runs = drug_target_runs(edges, gene_nodes, drugs, genes, encodes, targets)
+    listed = runs.groupBy("drug", "mechanism", "status").agg(
         F.sort_array(F.collect_list(F.struct("gene", "n"))).alias("runs")
     )
     repeated = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["gene"], r["n"].cast("int"))))
-    return listed.select(F.col("name").alias("drug"), "mechanism", "status", repeated.alias("targeted_genes"))
+    return listed.select("drug", "mechanism", "status", repeated.alias("targeted_genes"))
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
@@ -200,7 +204,7 @@ def index_graph(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = Non
         ties = near.unionByName(back).distinct()
         others = nodes.filter(F.col("type") != "Patient").join(ties, "id", "left_semi")
         nodes = nodes.filter(F.col("type") == "Patient").join(kept, "id", "left_semi").unionByName(others)
-    index = dense_index(nodes.select("id").distinct(), "id", "node_index")
+    index = cut_lineage(dense_index(nodes.select("id").distinct(), "id", "node_index"), "node-index")  # read three times
     pairs = (
         edges.select("src", "dst")
         .join(index.select(F.col("id").alias("src"), F.col("node_index").alias("src_index")), "src")
@@ -222,22 +226,30 @@ def node_features(nodes: DataFrame, dim: int = FEATURE_WIDTH,
 def propagate_features(features: DataFrame, edges: DataFrame, hops: int = 2, dim: int | None = None) -> DataFrame:
     """``hops`` rounds of: the mean of a node's own and its neighbours' vectors.
 
-    Neighbours are distinct and counted once in either direction. Every vector
-    position is a column while it is averaged, so the sums are plain numbers in
-    a partial hash aggregate and a hub is summed in many tasks.
+    Neighbours are distinct and counted once in either direction. Only non-zero
+    (position, value) pairs travel over the edges, and they are summed by node
+    and position, so a hub is summed in many tasks and a wide vector that is
+    mostly zero costs little.
     """
     if dim is None:
         first = features.select(F.size("features").alias("n")).first()
         dim = first["n"] if first else 0
-    ids = features.select(F.col("id").alias("b"))
-    links = _both_ways(edges).filter(F.col("a") != F.col("b")).distinct().join(ids, "b", "left_semi")
-    if hops > 1:
-        links = cut_lineage(links)
-    slots = [f"f{i}" for i in range(dim)]
-    state = features.select("id", *[F.element_at("features", i + 1).cast("double").alias(s) for i, s in enumerate(slots)])
+    ids = features.select("id")
+    links = (
+        _both_ways(edges).filter(F.col("a") != F.col("b")).distinct()
+        .join(ids.withColumnRenamed("id", "b"), "b", "left_semi").join(ids.withColumnRenamed("id", "a"), "a", "left_semi")
+    )
+    links = cut_lineage(links)
+    sizes = cut_lineage(ids.join(links.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left")
+                        .select("id", (F.coalesce("n", F.lit(0)) + 1).alias("size")))
+    pairs = features.select("id", F.posexplode(F.col("features").cast("array<double>")).alias("at", "value")).filter("value <> 0")
     for hop in range(hops):
-        sent = links.join(state.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), *slots)
-        state = state.unionByName(sent).groupBy("id").agg(*[F.avg(s).alias(s) for s in slots])
+        sent = links.join(pairs.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "at", "value")
+        summed = pairs.unionByName(sent).groupBy("id", "at").agg(F.sum("value").alias("value"))
+        pairs = summed.join(sizes, "id").select("id", "at", (F.col("value") / F.col("size")).alias("value"))
         if hop < hops - 1:
-            state = cut_lineage(state)
-    return state.select("id", F.array(*slots).alias("features"))
+            pairs = cut_lineage(pairs)
+    found = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("found"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0.0)))
+    every = dense if dim else F.array().cast("array<double>")
+    return ids.join(found, "id", "left").select("id", F.coalesce(every, F.array_repeat(F.lit(0.0), dim)).alias("features"))
