@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables, query
@@ -16,10 +16,11 @@ from cohortry.plans.session import cut_lineage, scratch_path
 from cohortry.sources import warehouse
 
 FEATURES = ["o_totalprice", "o_custkey", "order_month", "order_day", "is_urgent"]
+# forest and logistic regression as configured; the boosted trees and the network smaller, as their full size takes minutes
 FAST = {
     "boosted": Member("boosted", {"maxIter": 3, "maxDepth": 3}),
-    "forest": Member("forest", {"numTrees": 5, "maxDepth": 4}),
-    "logistic": Member("logistic", {"maxIter": 10}),
+    "forest": Member("forest"),
+    "logistic": Member("logistic"),
     "network": Member("network", {"hidden": [8], "maxIter": 10}),
 }
 WEIGHTS = [0.3, 0.3, 0.2, 0.2]
@@ -64,6 +65,23 @@ def m4(t: Tables) -> DataFrame:
     return _member(t, "network")
 
 
+@query("m1_m4_predictions", """
+SELECT member, count(*) AS n_rows, count(*) AS n_highest, count(*) AS n_sum_to_one
+FROM orders, (SELECT unnest(['boosted', 'forest', 'logistic', 'network']) AS member) GROUP BY member""")
+def m1_m4(t: Tables) -> DataFrame:
+    # a member's prediction is the first class with its highest probability
+    every = None
+    for kind in ("boosted", "forest", "logistic", "network"):
+        scored = _member(t, kind)
+        p = F.array("p0", "p1", "p2")
+        part = scored.select(
+            F.lit(kind).alias("member"), (F.array_position(p, F.array_max(p)) - 1 == F.col("prediction")).alias("highest"),
+            (F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) < 1e-9).alias("whole"))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("member").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("highest").alias("n_highest"),
+                                       F.count_if("whole").alias("n_sum_to_one"))
+
+
 @query("m5_ensemble_fit")
 def m5(t: Tables) -> DataFrame:
     model = _fit(t, "boosted", "forest", "logistic", "network", weights=WEIGHTS)
@@ -149,6 +167,29 @@ def m10(t: Tables) -> DataFrame:
     return random_search("forest", training, val, FEATURES, "label", [0, 1, 2], trials=3, ranges=ranges)[1]
 
 
+@query("m10_best_trial", "SELECT CAST(3 AS BIGINT) AS n_trials, true AS best_is_highest")
+def m10_best(t: Tables) -> DataFrame:
+    split = cut_lineage(stratified_split(learning_rows(t), "o_orderkey", "label"))
+    training, val, _ = parts(split)
+    best, trials = random_search("forest", training, val, FEATURES, "label", [0, 1, 2], trials=3,
+                                 ranges={"numTrees": (2, 6), "maxDepth": (2, 5)})
+    top = trials.orderBy(F.desc("f1_score"), "trial").limit(1)
+    return trials.agg(F.count(F.lit(1)).alias("n_trials"),
+                      (top.select("params").scalar() == F.lit(str(sorted(best.items())))).alias("best_is_highest"))
+
+
+@query("m11_importance_ranks", """
+SELECT member, CAST(5 AS BIGINT) AS n_features, 15 AS rank_sum, member <> 'logistic' AS sums_to_one, true AS in_order
+FROM (SELECT unnest(['boosted', 'forest', 'logistic']) AS member)""")
+def m11_ranks(t: Tables) -> DataFrame:
+    found = _fit(t, "boosted", "forest", "logistic").importance()
+    before = F.lag("importance").over(Window.partitionBy("member").orderBy("rank"))
+    ordered = found.withColumn("falls", F.coalesce(before >= F.col("importance"), F.lit(True)))
+    return ordered.groupBy("member").agg(
+        F.count(F.lit(1)).alias("n_features"), F.sum("rank").cast("int").alias("rank_sum"),
+        (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"), F.bool_and("falls").alias("in_order"))
+
+
 @query("m11_feature_importance")
 def m11(t: Tables) -> DataFrame:
     return _fit(t, "boosted", "forest", "logistic").importance()

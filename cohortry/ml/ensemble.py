@@ -114,7 +114,8 @@ class EnsembleClassifier:
         rows = assemble(df, features).select(FEATURES, F.col(label).cast("double").alias(label))
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            models = [m.estimator(label, k, len(features), self.seed).fit(rows) for m in self.members]
+            n = rows.count()
+            models = [m.estimator(label, k, len(features), self.seed, n).fit(rows) for m in self.members]
         finally:
             rows.unpersist()
         return EnsembleModel([m.kind for m in self.members], models, list(features), k, self.method, self.weights)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -9,8 +10,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ class Member:
     kind: str
     params: Mapping[str, object] = field(default_factory=dict)
 
-    def estimator(self, label: str, n_classes: int, n_features: int, seed: int) -> Pipeline:
+    def estimator(self, label: str, n_classes: int, n_features: int, seed: int, n_rows: int) -> Pipeline:
         common = {"featuresCol": FEATURES, "labelCol": label}
         params = dict(self.params)
         if self.kind == "boosted":
@@ -53,12 +55,16 @@ class Member:
             return Pipeline(stages=[model])
         if self.kind == "network":
             hidden = params.pop("hidden", HIDDEN_LAYERS)
-            scaler = StandardScaler(inputCol=FEATURES, outputCol="__scaled", withMean=True, withStd=True)
+            scaler = StandardScaler(inputCol=FEATURES, outputCol="__sample_scaled", withMean=True, withStd=True)
+            # the scaler divides by the sample deviation; the population deviation is wanted
+            whole = math.sqrt(n_rows / (n_rows - 1)) if n_rows > 1 else 1.0
+            to_population = ElementwiseProduct(
+                scalingVec=Vectors.dense([whole] * n_features), inputCol="__sample_scaled", outputCol="__scaled")
             model = MultilayerPerceptronClassifier(
                 featuresCol="__scaled", labelCol=label, layers=[n_features, *hidden, n_classes], seed=seed,
                 probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__pred",
                 **{"maxIter": 100} | params)
-            return Pipeline(stages=[scaler, model])
+            return Pipeline(stages=[scaler, to_population, model])
         raise ValueError(f"unknown member kind: {self.kind}")
 
 
@@ -82,4 +88,4 @@ def with_probabilities(model: PipelineModel, kind: str, df: DataFrame, name: str
         scored = scored.withColumn(name, F.transform("__sig", lambda x: x / total))
     else:
         scored = scored.withColumn(name, vector_to_array("__prob"))
-    return scored.drop("__raw", TREE_MARGIN, "__sig", "__prob", "__pred", "__scaled")
+    return scored.drop("__raw", TREE_MARGIN, "__sig", "__prob", "__pred", "__scaled", "__sample_scaled")
