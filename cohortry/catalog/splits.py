@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.catalog.documents import CENTROIDS_SQL, centroids
 from cohortry.catalog.registry import Tables, query
 from cohortry.operators import split as W
-from cohortry.operators.aggregate import top_k_per_group
+from cohortry.operators.documents import vector_search
 
 RANKED_SQL = """ranked AS (
   SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority
@@ -15,16 +16,15 @@ RANKED_SQL = """ranked AS (
          count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)"""
 
 
-@query("w2_retrieval_confidence", """
-WITH hits AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY abs(embedding[1]), vec_id) AS rank
-              FROM embeddings QUALIFY rank <= 5)
-SELECT label AS query_id, round(coalesce(sum((1 - abs(embedding[1])) / rank) / sum(1.0 / rank), 0), 6) AS confidence
-FROM hits GROUP BY label""")
+@query("w2_retrieval_confidence", f"""
+WITH {CENTROIDS_SQL}
+SELECT query_id, round(sum((1 - distance) / rank) / sum(1.0 / rank), 6) AS confidence FROM ranked WHERE rank <= 5
+GROUP BY query_id UNION ALL SELECT -1, 0""")
 def w2(t: Tables) -> DataFrame:
-    distance = F.abs(F.element_at("embedding", 1))
-    scored = t("embeddings").select(F.col("label").alias("query_id"), distance.alias("distance"), "vec_id")
-    hits = top_k_per_group(scored, ["query_id"], "distance", 5, ["vec_id"], descending=False)
-    out = W.retrieval_confidence(hits, t("embeddings").select(F.col("label").alias("query_id")))
+    # the cosine distances of a search; a query without hits has confidence 0
+    wanted = centroids(t)
+    asked = wanted.select("query_id").unionByName(t.spark.range(-1, 0).select(F.col("id").cast("int").alias("query_id")))
+    out = W.retrieval_confidence(vector_search(t("embeddings"), wanted, 5, doc_id="vec_id"), asked)
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
