@@ -13,7 +13,7 @@ from cohortry.llm.common import batch_of, map_batches, stored, text_or_empty
 from cohortry.llm.graph import key_filter, may_hold
 
 GRAM = 8                    # words hashed together for the pre-filter
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 CACHED_LENGTH = 48
 EMPTY = hashlib.sha256(b"").hexdigest()
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -179,15 +179,18 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
         .groupBy("sha").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")), "firsts")
     taking = firsts.groupBy("doc").agg(F.min("sha").alias("sha"))
     grams = outline.join(taking, ["doc", "sha"], "left_semi").select("doc", "sha", F.explode("grams").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    flags = stored(grams.join(shared.select("gram"), "gram").groupBy("doc", "sha")
+    # what rows are joined to by a key that may be very common is stored first: then Spark can split the key's rows
+    shared = stored(grams.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+                    .where("low < high").select("gram"), "shared")
+    flags = stored(grams.join(shared, "gram").groupBy("doc", "sha")
                    .agg(F.collect_set("gram").alias("shared")), "flags")
     near = _texts_of(body, flags)
     probes = stored(_anchors(near, kind, window), "probes")
     index = probes.where(F.col("at") % (window // 2) == 0)
-    least = index.groupBy("anchor").agg(F.min("doc").alias("low"))
+    least = stored(index.groupBy("anchor").agg(F.min("doc").alias("low")), "least")
     hits = stored(probes.join(least, "anchor").where("low < doc").select("anchor", "doc", "at"), "hits")
-    met = index.join(hits.groupBy("anchor").agg(F.max("doc").alias("high")), "anchor").where("doc < high")
+    most = stored(hits.groupBy("anchor").agg(F.max("doc").alias("high")), "most")
+    met = index.join(most, "anchor").where("doc < high")
     around = stored(hits.select("doc", "at").unionByName(met.select("doc", "at"))
                     .groupBy("doc").agg(F.collect_set("at").alias("hits"))
                     .join(flags.select("doc", "sha"), "doc"), "around")
