@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortry.plans.session import cut_lineage
 
-ROWS_AT_ONCE = 512  # rows of a batch that are turned into Python objects together
+ROWS_AT_ONCE = 256  # rows of a batch that are turned into Python objects together
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

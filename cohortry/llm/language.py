@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import ROWS_AT_ONCE, batch_of, map_batches, text_or_empty
 
 SAMPLE_PER_LANGUAGE = 4000   # labelled rows, whole, that a language is learned from; expected number where it has more
-CELLS_AT_ONCE = 4_000_000    # letters times languages that are scored together
+CELLS_AT_ONCE = 500_000      # letters times languages that are scored together
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16            # hashed letter sequences; bounds the model
 SMOOTHING = 0.5
 SWITCH = 12.0                # natural-log units that a change of language costs
 SCRIPT_SHARE = 0.005         # a language has a script if so many of its letters are in it
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 CACHED_LENGTH = 48
 UNKNOWN = "und"
 
@@ -355,16 +355,16 @@ def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text")
     """``docs`` without rows whose text is ``und`` or whose score is under ``least``; nothing is shuffled."""
     shared, learned = docs.sparkSession.sparkContext.broadcast(model), bool(model.languages)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(shared.value)
         for batch in batches:
             out: list[float] = []
             for at in range(0, len(batch), ROWS_AT_ONCE):
-                texts = [t.split() for t in batch.iloc[at:at + ROWS_AT_ONCE]]
+                texts = [t.split() for t in batch.slice(at, ROWS_AT_ONCE).to_pylist()]
                 found = labeller.predict(texts) if learned else [(UNKNOWN, 0.0)] * len(texts)
                 out += [-1.0 if lang == UNKNOWN else value for lang, value in found]
                 labeller.trim()
-            yield pd.Series(out, dtype=float)
+            yield pa.array(out, pa.float64())
 
     return docs.where(score(text_or_empty(text)) >= least).select(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import batch_of, map_batches, stored, text_or_empty
+from cohortry.llm.common import ROWS_AT_ONCE, batch_of, map_batches, stored, text_or_empty
 
 # The base patterns, their kinds in order, and the least number of characters.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
@@ -292,9 +292,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text", length:
             at = max(at, end)
         return "".join([*pieces, words[at:]]) if ranges else words
 
-    @F.pandas_udf("string")
-    def cleaned(texts):
-        return texts.map(lambda words: words if words is None else clean(words))
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(at, ROWS_AT_ONCE) for at in range(0, len(texts), ROWS_AT_ONCE))
+        return pa.concat_arrays([pa.array([t and clean(t) for t in part.to_pylist()], pa.string()) for part in parts]
+                                or [pa.array([], pa.string())])
 
     marked = docs.withColumn(text, cleaned(F.col(text).cast("string")))
     if length and length in docs.columns:

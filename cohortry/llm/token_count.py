@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from cohortry.llm.common import map_batches, text_or_empty
 
 SPACE = "▁"
-CACHED_UNITS = 1_000_000  # units kept per Python worker
+CACHED_UNITS = 500_000  # units kept per Python worker
 CACHED_LENGTH = 48        # longer units are counted again each time
 _COUNTERS: dict[str, "PieceCounter"] = {}
 
