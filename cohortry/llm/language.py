@@ -18,6 +18,9 @@ BUCKETS = 1 << 16            # hashed letter sequences; bounds the model
 SMOOTHING = 0.5
 SWITCH = 12.0                # natural-log units that a change of language costs
 SCRIPT_SHARE = 0.005         # a language has a script if so many of its letters are in it
+NO_FIT, FULL_FIT = 0.81, 0.93  # where a text lies from chance (0) to its language's own text (1): not known at all, known
+FIT_LETTERS = 20             # letters of full fit that every text is given, as a few letters prove nothing
+LEARNED_LETTERS = 2000       # a language learned from so many letters asks for half the fit
 CACHED_WORDS = 150_000
 CACHED_LENGTH = 48
 UNKNOWN = "und"
@@ -80,13 +83,31 @@ def gram_buckets(code: np.ndarray):
 
 
 class Model:
-    """Learned languages, their log-odds for each bucket, and their scripts."""
+    """Learned languages, their log-odds for each bucket against a background of equal odds, and their scripts.
 
-    def __init__(self, languages: list[str], weights: np.ndarray, scripts: np.ndarray) -> None:
+    ``chance`` and ``own`` are the log-odds a letter that a language gives to
+    sequences of the background and to its own text; ``learned`` counts the
+    letters it was learned from.
+    """
+
+    def __init__(self, languages: list[str], weights: np.ndarray, scripts: np.ndarray,
+                 chance: np.ndarray, own: np.ndarray, learned: np.ndarray) -> None:
         self.languages, self.weights, self.scripts = languages, weights, scripts
+        self.chance, self.own, self.learned = chance, own, learned
+
+    def fit(self, language: int, odds: float, letters: float) -> float:
+        """0 to 1: how far log-odds of so many letters are the language's own and not those of other signs."""
+        width = max(1e-9, self.own[language] - self.chance[language])
+        at = ((odds - letters * self.chance[language]) / width + FIT_LETTERS) / (letters + FIT_LETTERS)
+        asked = self.learned[language] / (self.learned[language] + LEARNED_LETTERS)
+        return float(min(1.0, max(0.0, (at - asked * NO_FIT) / (FULL_FIT - NO_FIT))))
+
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score of each language, letters, log-odds of the best one) of each word.
 
-    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(score of each language, letters) of each word; languages without the word's script fall far back."""
+        Scores are against the best one; languages without the word's script
+        fall far back. Log-odds are nan if no language has the script.
+        """
         at, parts, size = 0, [], 0
         for i, word in enumerate(words):
             size += (len(word) + 2) * len(self.languages)
@@ -95,9 +116,9 @@ class Model:
                 at, size = i + 1, 0
         if at < len(words):
             parts.append(self._scores(words[at:]))
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return tuple(np.concatenate(p) for p in zip(*parts))
 
-    def _scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         code, starts, ends = letters_of(words)
         values = np.zeros((len(code), len(self.languages)))
         for bucket, valid in gram_buckets(code):
@@ -114,10 +135,12 @@ class Model:
         candidate[none] = True
         scores[none] = 0  # a script of no learned language tells nothing
         scores[~candidate] = -np.inf
-        scores -= scores.max(axis=1, keepdims=True)
+        odds = scores.max(axis=1)
+        scores -= odds[:, None]
         scores = np.maximum(scores, -1000.0)
         scores[~found] = 0
-        return scores, count
+        odds[none] = np.nan
+        return scores, count, odds
 
 
 def _settled(scores: np.ndarray, penalty: float) -> int:
@@ -195,51 +218,60 @@ class Labeller(dict):
         self.model = model
         self.scores = np.zeros((1, len(model.languages)))
         self.letters = np.zeros(1, np.int64)
+        self.odds = np.zeros(1)
         self.used = 0
 
     def rows(self, texts: list[list[str]]) -> None:
         new = list({w for words in texts for w in words if w not in self})
         if not new:
             return
-        scores, letters = self.model.word_scores(new)
+        scores, letters, odds = self.model.word_scores(new)
         if self.used + len(new) > len(self.letters):
             size = max(2 * len(self.letters), self.used + len(new))
-            for name in ("scores", "letters"):
+            for name in ("scores", "letters", "odds"):
                 old = getattr(self, name)
                 bigger = np.zeros((size, *old.shape[1:]), old.dtype)
                 bigger[:self.used] = old[:self.used]
                 setattr(self, name, bigger)
         self.scores[self.used:self.used + len(new)] = scores
         self.letters[self.used:self.used + len(new)] = letters
+        self.odds[self.used:self.used + len(new)] = odds
         self.update(zip(new, range(self.used, self.used + len(new))))
         self.used += len(new)
 
-    def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text: (language index, letters, scores) of each word that has letters."""
+    def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text: (language index, letters, scores, log-odds) of each word that has letters.
+
+        Words in a script of no learned language get the index after the last one.
+        """
         self.rows(texts)
         places = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
         places = [at[self.letters[at] > 0] for at in places]
         scores = [self.scores[at] for at in places]
-        return list(zip(viterbi(scores, SWITCH), [self.letters[at] for at in places], scores))
+        odds = [self.odds[at] for at in places]
+        paths = [np.where(np.isnan(o), len(self.model.languages), path) for path, o in zip(viterbi(scores, SWITCH), odds)]
+        return list(zip(paths, [self.letters[at] for at in places], scores, odds))
 
     def predict(self, texts: list[list[str]]) -> list[tuple[str, float]]:
-        found = []
-        for path, letters, scores in self.label(texts):
-            if not len(path):
+        found, names = [], self.model.languages
+        for path, letters, scores, odds in self.label(texts):
+            share = np.bincount(path, weights=letters, minlength=len(names) + 1)
+            best = int(share.argmax())
+            if not len(path) or best == len(names):
                 found.append((UNKNOWN, 0.0))
                 continue
-            share = np.bincount(path, weights=letters, minlength=len(self.model.languages))
-            best = int(share.argmax())
             total = scores.sum(axis=0)
             certain = 1.0 / float(np.exp(np.clip(total - total[best], -60, 60)).sum())
-            found.append((self.model.languages[best], float(share[best] / share.sum()) * (0.5 + 0.5 * certain)))
+            own = path == best
+            fit = self.model.fit(best, float((odds[own] + scores[own, best]).sum()), float(share[best]))
+            found.append((names[best], float(share[best] / share.sum()) * (0.5 + 0.5 * certain) * fit))
         return found
 
     def trim(self) -> None:
         if self.used > CACHED_WORDS:
             self.clear()
             self.used = 0
-            self.scores, self.letters = self.scores[:1] * 0, self.letters[:1] * 0
+            self.scores, self.letters, self.odds = self.scores[:1] * 0, self.letters[:1] * 0, self.odds[:1] * 0
 
 
 def held_out(key: str = "doc_id"):
@@ -288,17 +320,21 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
         own = counted[counted["l"] == lang]
         counts[own.loc[~own["script"], "b"], i] = own.loc[~own["script"], "n"]
         scripts[i, own.loc[own["script"], "b"]] = own.loc[own["script"], "n"]
-    weights = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0, keepdims=True) + SMOOTHING * BUCKETS)
-    weights -= weights.mean(axis=1, keepdims=True) if languages else 0
-    return Model(languages, weights, scripts >= SCRIPT_SHARE * scripts.sum(axis=1, keepdims=True))
+    weights = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0, keepdims=True) + SMOOTHING * BUCKETS) + np.log(BUCKETS)
+    letters = np.maximum(1, scripts.sum(axis=1))
+    chance, own = weights.mean(axis=0) * counts.sum(axis=0) / letters, (counts * weights).sum(axis=0) / letters
+    return Model(languages, weights, scripts >= SCRIPT_SHARE * scripts.sum(axis=1, keepdims=True), chance, own, letters)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` rows as (key, lang_pred, score): the language with most letters after Viterbi.
 
-    ``score`` is that language's share of the letters times a half plus half
-    the probability that the whole text's scores give it. A text that is null, has no letter, or meets
-    a model without languages is ``und`` with 0. Rows are kept one for one.
+    ``score`` is that language's share of the letters, times a half plus half
+    the probability that the whole text's scores give it, times the fit: where
+    the log-odds a letter of its words lie between those of a background of
+    equal odds and those of the language's own text. A text that is null, has
+    no letter, is mostly in scripts of no learned language, or meets a model
+    without languages is ``und`` with 0. Rows are kept one for one.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, lang_pred string, score double"
@@ -321,7 +357,8 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start_word, n_words, lang): the stretches of one language in each text, words being split at white space.
 
-    Words without letters belong to no stretch and don't end one.
+    Words without letters belong to no stretch and don't end one. Words in a
+    script of no learned language are ``und``.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, start_word bigint, n_words bigint, lang string"
@@ -332,12 +369,12 @@ def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for batch in batches:
             texts = [t.split() for t in batch.column(1).to_pylist()]
             out, labels = [], labeller.label(texts) if labeller.model.languages else []
-            for doc, words, (path, _, _) in zip(batch.column(0).to_pylist(), texts, labels):
+            for doc, words, (path, *_) in zip(batch.column(0).to_pylist(), texts, labels):
                 place = np.flatnonzero([labeller.letters[labeller[w]] > 0 for w in words])
                 cuts = np.flatnonzero(np.diff(path)) + 1
                 for part in np.split(np.arange(len(path)), cuts) if len(path) else []:
                     out.append((doc, int(place[part[0]]), int(place[part[-1]] - place[part[0]] + 1),
-                                labeller.model.languages[path[part[0]]]))
+                                [*labeller.model.languages, UNKNOWN][path[part[0]]]))
             if out:
                 yield batch_of(names, list(zip(*out)))
             labeller.trim()

@@ -61,6 +61,41 @@ def test_known_rows_stay(docs):
     assert kept.columns == docs.columns and {20_000, 20_001, 20_002} <= gone and len(gone) <= 5
 
 
+FOREIGN = {
+    "ru": RUSSIAN, "el": GREEK, "zh": "人人生而自由 在尊严和权利上一律平等 他们赋有理性和良心 并应以兄弟关系的精神相对待",
+    "it": "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione e di coscienza e "
+          "devono agire gli uni verso gli altri in spirito di fratellanza",
+    "pl": "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem "
+          "i powinni postępować wobec innych w duchu braterstwa",
+    "fi": "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja "
+          "heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+    "junk": "qzjxv wkpvbq zzxkjq hgqwpz " * 30, "signs": "aGk4ZkQ5eFQxYlZuN0xwUjB3WWM1SHNHdThKZEVhMk1vWGk2S3FCdA" * 20,
+}
+
+
+def test_texts_of_no_learned_language_go(spark, docs):
+    given = docs.where("lang IN ('de', 'en', 'es', 'fr')")
+    model = language.train(given)
+    rows = [(i, t) for i, t in enumerate(FOREIGN.values())] + [(100 + i, t * 20) for i, t in enumerate(FOREIGN.values())]
+    foreign = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert language.keep_known(foreign, model, 0.2).count() == 0
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(foreign, model).collect()}
+    assert [got[i] for i in range(3)] == [("und", 0.0)] * 3
+    half = spark.createDataFrame([(1, f"the and of to in that is was for it {RUSSIAN}")], "doc_id bigint, text string")
+    assert language.identify(half, model).first()["lang_pred"] == "und"  # most letters are of no learned script
+    assert [(r["lang"], r["start_word"]) for r in language.spans(half, model).collect()] == [("en", 0), ("und", 10)]
+    assert language.keep_known(given, model, 0.2).count() >= given.where("text rlike '\\\\pL'").count() - 2
+
+
+def test_a_language_left_out_goes(docs):
+    given = docs.where("lang IN ('de', 'en', 'es', 'fr')")
+    long = given.where("length(text) > 300")
+    for left in ("de", "en", "es", "fr"):
+        model = language.train(given.where(f"lang <> '{left}'"))
+        own = long.where(f"lang = '{left}'")
+        assert language.keep_known(own, model, 0.2).count() <= 0.1 * own.count()
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(1)
     texts = [rng.normal(0, 6, (n, 3)) for n in (1, 2, 3, 5, 6, 7, 7)]
