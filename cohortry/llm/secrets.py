@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -23,6 +24,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE_LENGTH = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_LENGTH)
+CUTS = tuple(re.compile(r"[A-Za-z0-9%s]{%d,}" % (signs, CANDIDATE_LENGTH)) for signs in ("+/_-", "+_-", "+"))
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 OTHER = len(SIGNS)
 LENGTH_BINS = (20, 24, 32, 48, 80)   # false discoveries are controlled in each bin of its own
@@ -61,14 +63,36 @@ def joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
+def _outside(start: int, end: int, taken: list[tuple[int, int]]):
+    """(start, end) of what ``taken``, in order and apart, leaves of a stretch."""
+    for s, e in taken[bisect.bisect_right(taken, start, key=lambda t: t[1]):]:
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def candidates(text: str, spans) -> list[tuple[int, int, str]]:
-    """Long runs of base-64 signs apart from the spans found already, without padding signs at the end."""
+    """Long runs of base-64 signs, and their long segments.
+
+    A run is what the spans found already leave, cut at ``=``. A run with
+    signs that part words (``/``, ``-``, ``_``) is there as a whole, cut at
+    ``/``, and cut at all three, each different piece once.
+    """
+    taken: list[tuple[int, int]] = []
+    for _, start, end in sorted(spans, key=lambda s: s[1]):
+        if taken and start <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(end, taken[-1][1]))
+        else:
+            taken.append((start, end))
     found = []
     for run in CANDIDATE.finditer(text):
-        token = run[0].rstrip("=")
-        start, end = run.start(), run.start() + len(token)
-        if len(token) >= CANDIDATE_LENGTH and "=" not in token and all(e <= start or s >= end for _, s, e in spans):
-            found.append((start, end, token))
+        for start, end in _outside(run.start(), run.end(), taken):
+            ranges = {(start + m.start(), start + m.end()) for cut in CUTS for m in cut.finditer(text[start:end])}
+            found += [(a, b, text[a:b]) for a, b in sorted(ranges)]
     return found
 
 
@@ -229,7 +253,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document with its spans, (key, base, extra): arrays of (kind, start, end).
 
     A null text is empty; repeated rows and null keys are kept. Candidates are
-    runs of 20 or more base-64 signs outside the base spans. Ordinary text is
+    runs of 20 or more base-64 signs outside the base spans and their segments
+    of that length; of flagged ones inside each other the outer one is given. Ordinary text is
     described by the pair counts of all documents; a candidate is flagged as
     ``random`` if no test of the battery rejects randomness and its p-value
     under ordinary text passes the false-discovery control of its length bin,
@@ -238,8 +263,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     plain, graded, _, least = _fit(docs, key, text, "secret-scan")
     flagged = F.expr(f"filter(arrays_zip(tokens, grades), z -> {_sql(least)})")
-    extra = F.transform(flagged, lambda z: F.struct(F.lit("random").alias("kind"), z["tokens"]["start"].alias("start"),
+    every = F.transform(flagged, lambda z: F.struct(F.lit("random").alias("kind"), z["tokens"]["start"].alias("start"),
                                                     z["tokens"]["end"].alias("end")))
+    extra = F.filter(every, lambda z: ~F.exists(every, lambda y: (y["start"] <= z["start"]) & (y["end"] >= z["end"]) & (y != z)))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return (graded.select(key, "base", extra.alias("extra"))
             .unionByName(plain.select(key, "base", empty.alias("extra"))))

@@ -55,6 +55,34 @@ def test_redaction(docs, scanned):
     assert got[5]["text"] == scanned[5][1] and got[None]["text"] == "[SECRET]"
 
 
+def test_secrets_beside_other_signs(spark, scanned):
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKq"
+    hexes = "0123456789abcdef01234567"
+    cases = {
+        200: (f"AWS_SECRET_ACCESS_KEY={aws} x", aws), 201: (f"auth={KEY}", KEY), 202: (f"a?sig={KEY}&x=1", KEY),
+        203: (f"first={KEY}==&and={aws}", f"{KEY} {aws}"), 204: (f"https://example.com/the/thing/{KEY}", KEY),
+        205: (f"the-thing-on-the-{KEY}", KEY), 206: (f"the_thing_{KEY}_the", KEY), 207: (f"{hexes}{KEY}", KEY[0:]),
+    }
+    rows = scanned + [(i, text, 0) for i, (text, _) in cases.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars int").repartition(3)
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    for i, (text, want) in cases.items():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",") if s.startswith("random")]
+        assert all(any(text[a:b].find(one) >= 0 for a, b in spans) for one in want.split()), (text, spans)
+        assert all(one not in clean[i] for one in want.split())
+    assert clean[201] == "auth=[SECRET]" and clean[204].startswith("https://example.")
+    assert sum(got[i]["n_random"] for i in range(60)) == 0
+
+
+def test_pieces_of_runs():
+    a, b = "a" * 20, "B" * 25
+    tokens = lambda text, spans=(): [t for _, _, t in secrets.candidates(text, spans)]
+    assert tokens(f"{a}={b}==") == [a, b] and tokens(f"{a}=x") == [a] and tokens("x" * 19 + "=") == []
+    assert sorted(tokens(f"/{a}-x/{b}")) == sorted([f"/{a}-x/{b}", f"{a}-x", a, b])
+    assert tokens(f"{a}{b}{a}", [("hex", 20, 45)]) == [a, a] and tokens(f"{a}{b}", [("hex", 0, 30), ("assign", 10, 20)]) == []
+
+
 def test_empty_table(docs):
     assert secrets.digest(secrets.scan(docs.limit(0))).count() == 0
     assert secrets.redact(docs.limit(0)).count() == 0
