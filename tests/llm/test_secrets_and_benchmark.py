@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import string
 
@@ -138,6 +140,37 @@ def test_overlaps_equal_brute_force(spark, corpus, bench):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in corpus} - {d for d, _ in want}
 
 
+def test_masks_hit_every_pattern():
+    for n in range(5, decontaminate.WINDOW + 1):
+        masks = [m for m, low, high in decontaminate.MASKS if low <= n <= high]
+        laid = [int(m, 2) << k for m in masks for k in range(n - len(m) + 1)]
+        for gone in itertools.combinations(range(n), n - math.ceil(n * decontaminate.SHARE)):
+            equal = (1 << n) - 1 - sum(1 << k for k in gone)
+            assert any(m & equal == m for m in laid), (n, gone)
+
+
+def test_replaced_words_of_items_of_any_length(spark):
+    items, docs = [], []
+    for n in (5, 6, 7, 8, 9, 10, 15, 20):
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        most = n - math.ceil(n * decontaminate.SHARE)
+        patterns = list(itertools.combinations(range(n), most))
+        patterns = patterns if len(patterns) <= 60 else random.Random(n).sample(patterns, 60)
+        if n == 20:
+            patterns.append((6, 8, 11, 16))  # places 7, 9, 12 and 17
+        for p in patterns:
+            docs.append((len(docs), " ".join("other" if k in p else w for k, w in enumerate(words))))
+        docs.append((len(docs), " ".join("other" if k <= most else w for k, w in enumerate(words))))  # one too many
+    of = lambda chosen: {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(chosen, "item_id bigint, text string")).collect()}
+    want = {(d, i) for d, t in docs for i, u in items
+            if sum(a == b for a, b in zip(t.split(), u.split())) >= 0.8 * len(u.split()) == 0.8 * len(t.split())}
+    got = of(items)
+    assert got == want and len(want) == len(docs) - len(items)
+    assert of(items[-1:]) == {(d, i) for d, i in want if i == 20}  # shorter items make no difference
+
+
 def test_decontamination_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, prose(1, 40)), (None, prose(2, 30))], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, prose(2, 30))], "item_id bigint, text string")
