@@ -146,9 +146,9 @@ class Model:
 def _settled(scores: np.ndarray, penalty: float) -> int:
     """The language that surely labels all words, or -1.
 
-    Every stretch in another language costs at least one change of its own, so
-    nothing is gained by leaving the best language if no stretch of words
-    favours any single other one by the penalty.
+    m stretches in other languages cost m changes or more if some word has the
+    best language, else m - 1 of at least two. So nothing is gained by leaving
+    it if no stretch of words favours any single other one by half the penalty.
     """
     n, k = scores.shape
     best = int(scores.sum(axis=0).argmax())
@@ -156,7 +156,7 @@ def _settled(scores: np.ndarray, penalty: float) -> int:
         return best
     gain = np.zeros((n + 1, k))
     np.cumsum(scores - scores[:, best:best + 1], axis=0, out=gain[1:])
-    return best if (gain - np.minimum.accumulate(gain, axis=0)).max() < penalty else -1
+    return best if (gain - np.minimum.accumulate(gain, axis=0)).max() < penalty / 2 else -1
 
 
 def viterbi(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:

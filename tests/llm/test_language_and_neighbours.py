@@ -105,6 +105,11 @@ def test_viterbi_is_exact():
         assert value(path) == pytest.approx(best)
 
 
+def test_viterbi_without_the_language_that_is_best_in_all():
+    paths = language.viterbi([np.array([[-8.0, 0, -30], [-8, -30, 0]])], 12.0)
+    assert paths[0].tolist() == [1, 2]
+
+
 def test_word_scores_do_not_depend_on_neighbours(docs):
     model = language.train(docs)
     alone = model.word_scores(["thing"])[0][0]
