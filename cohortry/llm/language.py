@@ -127,9 +127,11 @@ class Model:
         scores = np.add.reduceat(values, starts, axis=0)
         letter = code != 0
         count = np.add.reduceat(letter.astype(np.int64), starts)
-        first = np.minimum.reduceat(np.where(letter, np.arange(len(code)), len(code)), starts)
-        found = first < ends
-        kind = _SCRIPT[np.searchsorted(_STARTS, code[np.minimum(first, len(code) - 1)], "right") - 1]
+        found = count > 0
+        at, sizes = np.flatnonzero(letter), ends - starts
+        kinds = _SCRIPT[np.searchsorted(_STARTS, code[at], "right") - 1]
+        word = np.repeat(np.arange(len(words)), sizes)[at]
+        kind = np.bincount(word * len(SCRIPT_NAMES) + kinds, minlength=len(words) * len(SCRIPT_NAMES)).reshape(len(words), -1).argmax(axis=1)
         candidate = self.scripts[:, kind].T | ~found[:, None]
         none = ~candidate.any(axis=1)
         candidate[none] = True

@@ -47,6 +47,13 @@ def test_spans_and_scripts(spark, docs):
     assert got[:2] == [(1, 0, n, "ru"), (1, n + 1, len(GREEK.split()), "el")] and got[2][0] == 3
 
 
+def test_script_of_most_letters(spark):
+    rows = [(i, "the thing and the other", "en") for i in range(20)] + [(100 + i, "人人生而自由在尊严和权利上一律平等", "zh") for i in range(20)]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    mixed = spark.createDataFrame([(1, "A人人生而自由在尊严和权利上一律平等"), (2, "thing自")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(mixed, model).collect()} == {1: "zh", 2: "en"}
+
+
 def test_model_without_languages(spark, docs):
     model = language.train(docs.limit(0))
     got = language.identify(docs.limit(3), model).collect()
