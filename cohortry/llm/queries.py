@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import ann, chat_template, decontaminate, html_template, language, packing, secrets, simhash, substring, token_count
+from cohortry.llm import (
+    ann, chat_template, decontaminate, divergence, fill_in_middle, html_template, language, packing, secrets, sharding, simhash,
+    substring, token_count,
+)
 from cohortry.llm.common import table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 WINDOW = 4096
+SHARDS = 8
 
 
 def query(fn):
@@ -132,3 +136,54 @@ def op9_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_template.extract(table(spark, folder, "pages"))
+
+
+@oracle(r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+langs AS (SELECT g.lang, coalesce(sum(n), 0) AS total, count(term) AS v FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN kept USING (lang) GROUP BY g.lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sources AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) g
+            LEFT JOIN counts USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.total + 5 * l.v) AS p,
+             1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+      FROM sources s JOIN langs l ON s.lang = l.lang JOIN kept k ON k.lang = s.lang
+      LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+          FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+                  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50""")
+@query
+def op11_pair_task_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@query
+def op12_two_pass_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.digest(sharding.shuffled_shards(table(spark, folder, "documents"), SHARDS))
+
+
+@oracle(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (n + 1) AS c2,
+             CAST('0x' || substr(x, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+             CASE WHEN n = 0 OR h3 >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                  WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1, n - b) AS s FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o""")
+@query
+def op13_displacement_scatter(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.restore(fill_in_middle.transform(table(spark, folder, "documents"))))
