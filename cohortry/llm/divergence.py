@@ -25,6 +25,7 @@ LEAST_DOCUMENTS = 30
 SMOOTHING = 5          # added to each count
 UNIT = 1000            # shares are in units of UNIT ** 3
 BLOCK_TERMS = 1 << 16  # terms of a block, about
+CELLS = 64             # parts of a block whose terms are numbered apart
 HELD_TERMS = 300_000   # (lang, source, term) entries that a worker holds before it hands them on
 SLICE = 1 << 20        # characters of a text that are cut into terms together
 CHUNK = 64             # ids of the shorter array that gallop together
@@ -152,9 +153,11 @@ def _price(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 def kept_counts(docs: DataFrame, least: int, block_terms: int) -> tuple[DataFrame, DataFrame]:
     """(counts of kept terms, groups).
 
-    Counts: (lang, source, term, n, n_lang, block, id); a block holds the kept
-    terms of one hash value, numbered in term order from 0. Groups: every
-    (lang, source) with its total, its language's total and kept terms.
+    Counts: (lang, source, term, n, n_lang, block, cell, place, id). A term's
+    hash gives its block and its cell in the block; the terms of a cell are
+    numbered in term order from 0, and cell and number together are the id.
+    Groups: every (lang, source) with its total, its language's total and kept
+    terms.
     """
     counts = count_terms(docs)
     same_term = Window.partitionBy("lang", "term")
@@ -166,9 +169,10 @@ def kept_counts(docs: DataFrame, least: int, block_terms: int) -> tuple[DataFram
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     groups = stored(groups.join(langs, "lang", "left").select("lang", "source", "total", zero("total_lang"), zero("terms")), "groups")
     blocks = stored(langs.select("lang", F.ceil(F.col("terms") / block_terms).cast("int").alias("blocks")), "blocks")
-    in_block = Window.partitionBy("lang", "block").orderBy("term")
-    numbered = real.join(blocks, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).withColumn(
-        "id", F.dense_rank().over(in_block) - 1).drop("blocks")
+    in_cell = Window.partitionBy("lang", "block", "cell").orderBy("term")
+    slot = F.pmod(F.xxhash64("term"), F.col("blocks") * CELLS)
+    numbered = real.join(blocks, "lang").withColumns({"block": F.floor(slot / CELLS).cast("int"), "cell": (slot % CELLS).cast("int")}).withColumn(
+        "place", F.dense_rank().over(in_cell) - 1).withColumn("id", F.shiftleft(F.col("cell").cast("long"), 32) + F.col("place")).drop("blocks")
     return stored(numbered, "numbered-terms"), groups
 
 
@@ -176,7 +180,8 @@ def pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) for each ordered pair of sources of a language."""
     packed = counts.groupBy("lang", "block", "source").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("all"))
     arrays = packed.select("lang", "block", "source", F.col("all.id").alias("ids"), F.col("all.n").alias("counts"))
-    sizes = counts.groupBy("lang", "block").agg((F.max("id") + 1).cast("long").alias("block_terms"))
+    cells = counts.groupBy("lang", "block", "cell").agg((F.max("place") + 1).cast("long").alias("n"))
+    sizes = cells.groupBy("lang", "block").agg(F.sum("n").alias("block_terms"))
     places = stored(groups.join(sizes, "lang", "left").select(
         "lang", "source", "total", "terms", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("block_terms", F.lit(0)).alias("block_terms")), "places")
     none = F.array().cast("array<bigint>")
