@@ -13,37 +13,32 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import batch_of, map_batches, stored, text_or_empty
 
-TERM = regex.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = str.maketrans({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
+# a byte of a term: A-Z in lower case, a-z, or part of a code point from 80 on; any other byte is a space
+SIGNS = bytes(c if c > 0x7F or chr(c).isalpha() else 0x20 for c in range(256)).lower()
 LEAST_DOCUMENTS = 30
 SMOOTHING = 5          # added to each count
 UNIT = 1000            # shares are in units of UNIT ** 3
 BLOCK_TERMS = 1 << 16  # terms of a block, about
 CELLS = 64             # parts of a block whose terms are numbered apart
 HELD_TERMS = 300_000   # (lang, source, term) entries that a worker holds before it hands them on
-SLICE = 1 << 20        # characters of a text that are cut into terms together
+SLICE = 1 << 20        # bytes of a text that are cut into terms together
 CHUNK = 64             # ids of the shorter array that gallop together
 TOP = 50
 
 
-def terms_of(text: str):
-    """Counter of a text's terms; a long text is read slice by slice, no slice ending inside a term."""
-    if len(text) <= SLICE:
-        return Counter(TERM.findall(text.translate(LOWER)))
-    found, at = Counter(), 0
-    while at < len(text):
-        end = min(at + SLICE, len(text))
-        while end < len(text) and TERM.match(text, end):
-            end = TERM.match(text, end).end()
-        found.update(TERM.findall(text[at:end].translate(LOWER)))
+def terms_of(text: bytes):
+    """The terms of a UTF-8 text in lists; a long text is split slice by slice, no slice ending inside a term."""
+    signs, at = text.translate(SIGNS), 0
+    while at < len(signs):
+        end = signs.find(b" ", at + SLICE) if at + SLICE < len(signs) else -1
+        end = len(signs) if end < 0 else end
+        yield signs[at:end].split()
         at = end
-    return found
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
@@ -58,20 +53,25 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
         def handed():
             for (lang, source), (n, in_docs) in held.items():
-                words = [*n, ""]
-                for at in range(0, len(words), 50_000):
-                    part = words[at:at + 50_000]
-                    yield batch_of(names, [[lang] * len(part), [source] * len(part), part,
-                                           [n[w] for w in part], [in_docs[w] for w in part]])
+                terms = pa.array([b"", *n], pa.binary()).cast(pa.string())
+                # both counters met their terms in the same order
+                columns = [pa.array([0, *n.values()], pa.int64()), pa.array([0, *in_docs.values()], pa.int64())]
+                for at in range(0, len(terms), 50_000):
+                    part = terms.slice(at, 50_000)
+                    group = [pa.array([name] * len(part), pa.string()) for name in (lang, source)]
+                    yield pa.RecordBatch.from_arrays([*group, part, *(c.slice(at, 50_000) for c in columns)], schema=names)
             held.clear()
 
         entries = 0
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
                 n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
-                before, words = len(n), terms_of(text)
-                n.update(words)
-                in_docs.update(words.keys())
+                before, here = len(n), {}
+                for terms in terms_of(text):
+                    n.update(terms)
+                    here.update(dict.fromkeys(terms))
+                in_docs.update(list(here))
                 entries += len(n) - before
                 if entries >= HELD_TERMS:
                     yield from handed()

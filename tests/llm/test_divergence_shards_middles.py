@@ -80,12 +80,15 @@ def test_shares_are_exact():
         assert divergence.shares(np.array([n]), n + more, v)[0] == 1 + 10**9 * (n + 5) // (n + more + 5 * v)
 
 
-def test_long_text_is_cut_between_terms(monkeypatch):
-    text = "Ab cdé " * 50 + "x" * 90 + " 1 y"
-    whole = divergence.terms_of(text)
-    for size in (1, 7, 64):
+def test_terms_are_those_of_the_pattern(monkeypatch):
+    rng = random.Random(4)
+    signs = [chr(c) for c in range(128)] + ["é", "Ä", "漢", "\u2028", "\u00a0", "😀"] * 8
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 90))) for _ in range(300)] + ["Ab cdé " * 50 + "x" * 90 + " 1 y"]
+    for size in (1, 7, 64, 1 << 20):
         monkeypatch.setattr(divergence, "SLICE", size)
-        assert divergence.terms_of(text) == whole
+        for text in texts:
+            want = re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+            assert [t.decode() for part in divergence.terms_of(text.encode()) for t in part] == want
 
 
 # -------------------------------------------------------------------- shards
