@@ -31,13 +31,30 @@ def map_batches(df: DataFrame, columns: Sequence,
     It gets the Arrow schema of what it must yield too.
     """
     names = to_arrow_schema(T._parse_datatype_string(schema))
+    owner = each.__module__
 
     def run(batches):
+        kept_tables(owner)
         return each(_slices(batches), names)
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept_tables(owner: str) -> dict:
+    """What ``owner`` keeps in this Python worker from task to task.
+
+    Workers outlive a job, so what other owners kept is let go, and Arrow's
+    unused memory given back: one stage takes no memory in the next.
+    """
+    for other in [name for name in _KEPT if name != owner]:
+        del _KEPT[other]
+    pa.default_memory_pool().release_unused()
+    return _KEPT.setdefault(owner, {})
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):

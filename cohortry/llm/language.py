@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import ROWS_AT_ONCE, batch_of, map_batches, text_or_empty
+from cohortry.llm.common import ROWS_AT_ONCE, batch_of, kept_tables, map_batches, text_or_empty
 
 SAMPLE_PER_LANGUAGE = 4000   # labelled rows, whole, that a language is learned from; expected number where it has more
 CELLS_AT_ONCE = 500_000      # letters times languages that are scored together
@@ -396,6 +396,7 @@ def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text")
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept_tables(__name__)
         labeller = Labeller(shared.value)
         for batch in batches:
             out: list[float] = []

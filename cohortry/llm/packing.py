@@ -10,12 +10,11 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cohortry.llm.common import batch_of, map_batches, text_or_empty
+from cohortry.llm.common import batch_of, kept_tables, map_batches, text_or_empty
 
 OPEN_WINDOWS = 1024       # partly filled windows a task keeps at most
 CACHED_WORDS = 200_000
 CACHED_LENGTH = 48
-_IDS: dict[str, "WordIds"] = {}
 
 
 def _byte_signs() -> list[str]:
@@ -80,9 +79,10 @@ class WordIds(dict):
 
 
 def word_ids(path: str) -> WordIds:
-    if path not in _IDS:
-        _IDS[path] = WordIds(path)
-    return _IDS[path]
+    tables = kept_tables(__name__)
+    if path not in tables:
+        tables[path] = WordIds(path)
+    return tables[path]
 
 
 class Packer:

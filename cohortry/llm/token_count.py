@@ -9,12 +9,11 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from cohortry.llm.common import map_batches, text_or_empty
+from cohortry.llm.common import kept_tables, map_batches, text_or_empty
 
 SPACE = "▁"
 CACHED_UNITS = 500_000  # units kept per Python worker
 CACHED_LENGTH = 48        # longer units are counted again each time
-_COUNTERS: dict[str, "PieceCounter"] = {}
 
 
 class PieceCounter(dict):
@@ -87,9 +86,10 @@ class PieceCounter(dict):
 
 
 def counter(path: str) -> PieceCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PieceCounter(path)
-    return _COUNTERS[path]
+    tables = kept_tables(__name__)
+    if path not in tables:
+        tables[path] = PieceCounter(path)
+    return tables[path]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
