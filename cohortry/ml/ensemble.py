@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortry import schemas
 from cohortry.functions.scalar import entropy_confidence, label_of, rank_alternatives
+from cohortry.ml.boosting import GROWTHS, BoostedModel
 from cohortry.ml.members import FEATURES, Member, assemble, with_probabilities
 from cohortry.operators.aggregate import evaluate
 from cohortry.operators.vote import hard_vote, soft_class, soft_vote
@@ -26,7 +27,7 @@ class EnsembleModel:
     """Fitted members and how their votes are joined."""
 
     kinds: Sequence[str]
-    models: Sequence[PipelineModel]
+    models: Sequence[PipelineModel | BoostedModel]
     features: Sequence[str]
     n_classes: int
     method: str = "weighted_voting"
@@ -77,7 +78,10 @@ class EnsembleModel:
 
     def save(self, path: str) -> None:
         for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/member_{i}")
+            if isinstance(model, BoostedModel):
+                model.save(f"{path}/member_{i}")
+            else:
+                model.write().overwrite().save(f"{path}/member_{i}")
         spark = SparkSession.getActiveSession()
         about = {
             "kinds": list(self.kinds), "features": list(self.features), "n_classes": self.n_classes,
@@ -89,7 +93,8 @@ class EnsembleModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> EnsembleModel:
         about = json.loads(spark.read.text(f"{path}/about").first()["value"])
-        models = [PipelineModel.load(f"{path}/member_{i}") for i in range(len(about["kinds"]))]
+        load = lambda kind, at: BoostedModel.load(spark, at) if kind in GROWTHS else PipelineModel.load(at)
+        models = [load(kind, f"{path}/member_{i}") for i, kind in enumerate(about["kinds"])]
         return cls(models=models, **about)
 
 
@@ -103,7 +108,8 @@ class EnsembleClassifier:
     seed: int = 42
     labels: Sequence[int] = field(default_factory=lambda: [0, 1, 2])
 
-    def fit(self, df: DataFrame, features: Sequence[str], label: str) -> EnsembleModel:
+    def fit(self, df: DataFrame, features: Sequence[str], label: str, val: DataFrame | None = None) -> EnsembleModel:
+        """Fit every member. ``val`` rows end the rounds of the leafwise and symmetric members early."""
         if not self.members:
             raise ValueError("at least one member must be given")
         if self.method not in METHODS:
@@ -111,11 +117,11 @@ class EnsembleClassifier:
         if self.method == "weighted_voting" and self.weights is not None and len(self.weights) != len(self.members):
             raise ValueError("the number of weights must match the number of members")
         k = len(self.labels)
-        rows = assemble(df, features).select(FEATURES, F.col(label).cast("double").alias(label))
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        prepared = lambda d: assemble(d, features).select(FEATURES, F.col(label).cast("double").alias(label))
+        rows, held = prepared(df).persist(StorageLevel.MEMORY_AND_DISK), None if val is None else prepared(val)
         try:
             n = rows.count()
-            models = [m.estimator(label, k, len(features), self.seed, n).fit(rows) for m in self.members]
+            models = [m.fit(rows, label, k, len(features), self.seed, n, held) for m in self.members]
         finally:
             rows.unpersist()
         return EnsembleModel([m.kind for m in self.members], models, list(features), k, self.method, self.weights)
@@ -125,14 +131,12 @@ def feature_importance(model: EnsembleModel) -> DataFrame:
     """(member, feature, importance, rank): split gains, or mean absolute coefficients."""
     rows = []
     for kind, fitted in zip(model.kinds, model.models):
-        last = fitted.stages[-1]
-        if kind == "boosted":
-            gains = [m.featureImportances.toArray() for m in last.models]
-            values = sum(gains) / len(gains)
+        if kind in GROWTHS:
+            values = fitted.importance()
         elif kind == "forest":
-            values = last.featureImportances.toArray()
+            values = fitted.stages[-1].featureImportances.toArray()
         elif kind == "logistic":
-            values = abs(last.coefficientMatrix.toArray()).mean(axis=0)
+            values = abs(fitted.stages[-1].coefficientMatrix.toArray()).mean(axis=0)
         else:
             continue
         ordered = sorted(zip(model.features, values), key=lambda pair: (-pair[1], pair[0]))

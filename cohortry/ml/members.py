@@ -1,24 +1,24 @@
-"""The four member models: Spark ML estimators with a probability array as output."""
+"""The member models: boosted trees of three kinds, forest, regression and network, with a probability array as output."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.ml import boosting
+
 FEATURES = "__features"
 HIDDEN_LAYERS = [256, 128, 64]
-TREE_MARGIN = "rawPrediction"  # one-vs-rest reads the margin column of its trees by name
+KINDS = ("boosted", "leafwise", "symmetric", "network")  # the default ensemble; forest and logistic are there too
 
 
 def assemble(df: DataFrame, columns: Sequence[str], name: str = FEATURES) -> DataFrame:
@@ -37,14 +37,17 @@ class Member:
     kind: str
     params: Mapping[str, object] = field(default_factory=dict)
 
+    def fit(self, rows: DataFrame, label: str, n_classes: int, n_features: int, seed: int, n_rows: int,
+            val: DataFrame | None = None) -> PipelineModel | boosting.BoostedModel:
+        """Fit on rows with a vector column ``FEATURES``; boosted rounds always run to their end."""
+        if self.kind in boosting.GROWTHS:
+            settings = replace(boosting.GROWTHS[self.kind], **{"seed": seed} | dict(self.params))
+            return boosting.fit(rows, FEATURES, n_features, label, n_classes, settings, None if self.kind == "boosted" else val)
+        return self.estimator(label, n_classes, n_features, seed, n_rows).fit(rows)
+
     def estimator(self, label: str, n_classes: int, n_features: int, seed: int, n_rows: int) -> Pipeline:
         common = {"featuresCol": FEATURES, "labelCol": label}
         params = dict(self.params)
-        if self.kind == "boosted":
-            trees = GBTClassifier(**common, seed=seed, **{"maxIter": 100, "maxDepth": 6, "stepSize": 0.1} | params)
-            parallelism = min(n_classes, 4)
-            return Pipeline(stages=[OneVsRest(classifier=trees, rawPredictionCol=TREE_MARGIN,
-                                              predictionCol="__pred", parallelism=parallelism, **common)])
         if self.kind == "forest":
             model = RandomForestClassifier(**common, seed=seed, probabilityCol="__prob", rawPredictionCol="__raw",
                                            predictionCol="__pred", **{"numTrees": 100} | params)
@@ -70,22 +73,12 @@ class Member:
 
 def default_members(best: Mapping[str, Mapping[str, object]] | None = None) -> list[Member]:
     best = best or {}
-    return [Member(kind, best.get(kind, {})) for kind in ("boosted", "forest", "logistic", "network")]
-
-
-def with_probabilities(model: PipelineModel, kind: str, df: DataFrame, name: str) -> DataFrame:
-    """Add the member's class probabilities as an array column.
-
-    One-vs-rest trees give one raw margin per class: each becomes a probability
-    by the logistic function of boosted trees, then they are scaled to sum 1.
-    These are not calibrated.
-    """
-    scored = model.transform(df)
-    if kind == "boosted":
-        raw = F.transform(vector_to_array(TREE_MARGIN), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        scored = scored.withColumn("__sig", raw)
-        total = F.aggregate("__sig", F.lit(0.0), lambda a, x: a + x)
-        scored = scored.withColumn(name, F.transform("__sig", lambda x: x / total))
-    else:
-        scored = scored.withColumn(name, vector_to_array("__prob"))
-    return scored.drop("__raw", TREE_MARGIN, "__sig", "__prob", "__pred", "__scaled", "__sample_scaled")
+    return [Member(kind, best.get(kind, {})) for kind in KINDS]
+
+
+def with_probabilities(model: PipelineModel | boosting.BoostedModel, kind: str, df: DataFrame, name: str) -> DataFrame:
+    """Add the member's class probabilities as an array column."""
+    if kind in boosting.GROWTHS:
+        return model.with_probabilities(df, FEATURES, name)
+    scored = model.transform(df).withColumn(name, vector_to_array("__prob"))
+    return scored.drop("__raw", "__prob", "__pred", "__scaled", "__sample_scaled")

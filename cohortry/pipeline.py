@@ -211,14 +211,14 @@ def train(df: DataFrame, key: str, target: str, drop: Sequence[str] = (), labels
     training, val, test = parts(split)
     best: dict[str, dict] = {}
     if search:
-        for kind in ("boosted", "forest"):
+        for kind in ("boosted", "leafwise"):
             best[kind], _ = random_search(kind, training, val, features, target, labels, trials=search, seed=seed)
     chosen = members or default_members(best)
     classifier = EnsembleClassifier(chosen, "weighted_voting", weights, seed, list(labels))
     cv = None
     if folds:
         cv = cross_validate(classifier, training, features, key, target, folds, seed).first().asDict()
-    model = classifier.fit(training, features, target)
+    model = classifier.fit(training, features, target, val)
     metrics = model.evaluate(test, target).first().asDict()
     n_samples = training.count()
     if model_path:

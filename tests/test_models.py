@@ -10,7 +10,7 @@ from cohortry.pipeline import train, train_sources
 from cohortry.sources.warehouse import model_info
 
 FEATURES = ["a", "b", "c", "flag"]
-SMALL = [Member("boosted", {"maxIter": 4, "maxDepth": 3}), Member("forest", {"numTrees": 5, "maxDepth": 4}),
+SMALL = [Member("boosted", {"rounds": 4, "depth": 3}), Member("forest", {"numTrees": 5, "maxDepth": 4}),
          Member("logistic", {"maxIter": 20}), Member("network", {"hidden": [6], "maxIter": 40})]
 
 
@@ -54,7 +54,7 @@ def test_bad_ensembles(learning):
         EnsembleClassifier(SMALL, "stacking").fit(learning, FEATURES, "y")
     with pytest.raises(ValueError):
         EnsembleClassifier(SMALL, weights=[1.0]).fit(learning, FEATURES, "y")
-    assert [m.kind for m in default_members({"forest": {"numTrees": 3}})] == ["boosted", "forest", "logistic", "network"]
+    assert [m.kind for m in default_members({"leafwise": {"rounds": 3}})] == ["boosted", "leafwise", "symmetric", "network"]
 
 
 def test_every_member_gives_probabilities(fitted, learning):
@@ -110,8 +110,8 @@ def test_parameter_ranges():
 
     drawn = draw_params("boosted", random.Random(1))
     assert drawn == draw_params("boosted", random.Random(1))
-    low, high = RANGES["boosted"]["maxIter"]
-    assert low <= drawn["maxIter"] <= high and 0.6 <= float(drawn["featureSubsetStrategy"]) <= 1.0
+    low, high = RANGES["boosted"]["rounds"]
+    assert low <= drawn["rounds"] <= high and 0.6 <= drawn["feature_share"] <= 1.0
     assert draw_params("logistic", random.Random(1)) == {}
 
 
