@@ -499,7 +499,8 @@ def fit(df: DataFrame, features: str, n_features: int, label: str, n_classes: in
     """Train on the rows of ``df``; the loss on ``held`` rows ends the rounds early.
 
     ``features`` is a vector column, ``label`` holds 0 .. n_classes - 1. With
-    held rows the model keeps the rounds up to the least loss on them.
+    held rows the model keeps the rounds up to the least loss on them, the first
+    round at least.
     """
     edges = bin_edges(df, features, n_features, settings.bins)
     model = BoostedModel(settings, n_classes, edges, [], [], [])
@@ -532,7 +533,7 @@ def fit(df: DataFrame, features: str, n_features: int, label: str, n_classes: in
             loss, n = losses.get(cell, (0, 0))
             if n:
                 to.append(loss / SCALE / n)
-        if model.held_losses:
+        if model.held_losses and number:
             best = min(best, (model.held_losses[-1], number))
             if number - best[1] >= settings.patience:
                 break
