@@ -23,8 +23,7 @@ SELECT l_orderkey, count(DISTINCT l_partkey) AS n_genes_affected, count(DISTINCT
 FROM lineitem GROUP BY l_orderkey""")
 def a1(t: Tables) -> DataFrame:
     names = ["l_partkey", "l_suppkey", "l_returnflag"]
-    out = A.aggregate_variants(t("lineitem"), "l_orderkey", *names, REFERENCE).join(
-        A.member_lists(t("lineitem"), "l_orderkey", names), "l_orderkey")
+    out = A.aggregate_variants(t("lineitem"), "l_orderkey", *names, REFERENCE, lists=True)
     return out.select(
         "l_orderkey", "n_genes_affected", "n_variants", "has_epilepsy_gene",
         F.array_join("epilepsy_genes", ",").alias("epilepsy_genes"),

@@ -13,7 +13,7 @@ from cohortry.ml.boosting import fit as fit_trees
 from cohortry.ml.ensemble import EnsembleClassifier, EnsembleModel
 from cohortry.ml.members import FEATURES as VECTOR
 from cohortry.ml.members import KINDS, Member, assemble
-from cohortry.ml.tuning import cross_validate, random_search
+from cohortry.ml.tuning import cross_validate, parzen_search, random_search
 from cohortry.operators import vote
 from cohortry.operators.split import parts, stratified_split
 from cohortry.pipeline import train
@@ -320,6 +320,18 @@ def m10_best(t: Tables) -> DataFrame:
                       (top.select("params").scalar() == F.lit(str(sorted(best.items())))).alias("best_is_highest"))
 
 
+@query("m10_parzen_best", "SELECT CAST(6 AS BIGINT) AS n_trials, true AS best_is_highest, true AS in_ranges")
+def m10_parzen(t: Tables) -> DataFrame:
+    training, val = _parts(t)
+    best, trials = parzen_search("forest", training, val, FEATURES, "label", [0, 1, 2], trials=6, ranges={"numTrees": (2, 6), "maxDepth": (2, 5)})
+    top = trials.orderBy(F.desc("f1_score"), "trial").limit(1)
+    number = lambda name: F.regexp_extract("params", rf"'{name}', (\d+)", 1).cast("int")
+    return trials.agg(
+        F.count(F.lit(1)).alias("n_trials"),
+        (top.select("params").scalar() == F.lit(str(sorted(best.items())))).alias("best_is_highest"),
+        F.bool_and(number("numTrees").between(2, 6) & number("maxDepth").between(2, 5)).alias("in_ranges"))
+
+
 @query("m11_importance_ranks", """
 SELECT member, CAST(5 AS BIGINT) AS n_features, 15 AS rank_sum, member <> 'logistic' AS sums_to_one, true AS in_order
 FROM (SELECT unnest(['boosted', 'leafwise', 'symmetric', 'forest', 'logistic']) AS member)""")

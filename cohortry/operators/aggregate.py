@@ -34,13 +34,14 @@ def variant_members(genetic: DataFrame, on: str = "patient_id",
 
 def aggregate_variants(genetic: DataFrame, on: str = "patient_id", gene: str = "gene", variant: str = "variant",
                        variant_type: str = "variant_type",
-                       reference: Sequence[str] = tuple(schemas.REFERENCE_GENES)) -> DataFrame:
+                       reference: Sequence[str] = tuple(schemas.REFERENCE_GENES), lists: bool = False) -> DataFrame:
     """One row per patient: the numbers of distinct genes and variants, and the reference genes among them.
 
     Members are counted by (patient, attribute, value) first, so a patient of
     any size is spread over many tasks. The row holds what is bounded; the
-    members themselves are the rows of :func:`variant_members`, or arrays by
-    :func:`member_lists` where a patient's members fit in a row.
+    members themselves are the rows of :func:`variant_members`. Where a
+    patient's members fit in a row, ``lists`` adds them as sorted arrays named
+    like their columns, from the same aggregate.
     """
     attributes = (gene, variant, variant_type)
     counted = (
@@ -55,6 +56,7 @@ def aggregate_variants(genetic: DataFrame, on: str = "patient_id", gene: str = "
         F.count_if((F.col("attribute") == variant) & known).alias("n_variants"),
         _any(is_ref).cast("boolean").alias("has_epilepsy_gene"),
         F.sort_array(F.collect_set(F.when(is_ref, F.col("value")))).alias("epilepsy_genes"),
+        *[F.sort_array(F.collect_list(F.when(F.col("attribute") == a, F.col("value")))).alias(a) for a in attributes if lists],
     )
 
 

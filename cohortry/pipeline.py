@@ -14,7 +14,7 @@ from cohortry import schemas
 from cohortry.functions.text import recursive_chunks
 from cohortry.ml.ensemble import EnsembleClassifier, EnsembleModel
 from cohortry.ml.members import default_members
-from cohortry.ml.tuning import cross_validate, random_search
+from cohortry.ml.tuning import cross_validate, parzen_search
 from cohortry.operators import documents, encode
 from cohortry.operators.aggregate import aggregate_variants
 from cohortry.operators.features import feature_target, treatment_counts
@@ -212,7 +212,7 @@ def train(df: DataFrame, key: str, target: str, drop: Sequence[str] = (), labels
     best: dict[str, dict] = {}
     if search:
         for kind in ("boosted", "leafwise"):
-            best[kind], _ = random_search(kind, training, val, features, target, labels, trials=search, seed=seed)
+            best[kind], _ = parzen_search(kind, training, val, features, target, labels, trials=search, seed=seed)
     chosen = members or default_members(best)
     classifier = EnsembleClassifier(chosen, "weighted_voting", weights, seed, list(labels))
     cv = None

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortry.ml.ensemble import EnsembleClassifier, EnsembleModel
 from cohortry.ml.members import Member, default_members
-from cohortry.ml.tuning import METRICS, RANGES, cross_validate, draw_params, random_search
+from cohortry.ml.tuning import METRICS, RANGES, cross_validate, draw_params, model_based_search, parzen_search, random_search
 from cohortry.operators import vote
 from cohortry.pipeline import train, train_sources
 from cohortry.sources.warehouse import model_info
@@ -115,6 +115,23 @@ def test_parameter_ranges():
     assert draw_params("logistic", random.Random(1)) == {}
 
 
+def test_model_based_search_beats_uniform_draws():
+    import random
+
+    ranges = RANGES["boosted"]
+    shares = lambda p: [(p[n] - low) / (high - low) for n, (low, high) in ranges.items()]
+    score = lambda p: -sum((x - 0.3) ** 2 for x in shares(p))
+    wins = []
+    for seed in range(40):
+        found = model_based_search(score, ranges, 30, seed=seed)
+        assert found == model_based_search(score, ranges, 30, seed=seed) and len(found) == 30
+        assert all(0 <= x <= 1 for p, _ in found for x in shares(p)) and all(isinstance(p["depth"], int) for p, _ in found)
+        rng = random.Random(seed)
+        wins.append(max(s for _, s in found) - max(score(draw_params("boosted", rng)) for _ in range(30)))
+    assert sum(w > 0 for w in wins) >= 25 and sum(wins) > 0
+    assert model_based_search(score, ranges, 0) == []
+
+
 @pytest.mark.slow
 def test_search_and_cross_validation(learning):
     parts = learning.randomSplit([0.7, 0.3], 1)
@@ -122,6 +139,10 @@ def test_search_and_cross_validation(learning):
                                  ranges={"numTrees": (2, 4), "maxDepth": (2, 4)})
     scores = {r["params"]: r["f1_score"] for r in trials.collect()}
     assert str(sorted(best.items())) == max(scores, key=scores.get) and trials.count() == 2
+    best, trials = parzen_search("forest", parts[0], parts[1], FEATURES, "y", [0, 1, 2], trials=3, at_once=2,
+                                 ranges={"numTrees": (2, 4), "maxDepth": (2, 4)})
+    scores = {r["params"]: r["f1_score"] for r in trials.collect()}
+    assert str(sorted(best.items())) == max(scores, key=scores.get) and trials.count() == 3
     cv = cross_validate(EnsembleClassifier([Member("logistic", {"maxIter": 10})]), learning, FEATURES, "id", "y", k=2).first()
     assert set(cv.asDict()) == set(METRICS) and cv["f1_score"] > 0.8
 
