@@ -93,7 +93,8 @@ def running_total(
     ``df`` must hold each (group, value) once: collapse equal values first, so
     that a value shared by a third of all rows is one row here. The number of
     groups must be small (columns of a table, classes of a model): the offset
-    table broadcast below has at most 4096 rows per group.
+    table broadcast below has a row per group and bucket, about as many buckets
+    as there are shuffle partitions.
     """
     source = df
     if not group:
