@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import bisect
-import hashlib
+import functools
 import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,8 @@ def joined(spans) -> str:
 
 def _outside(start: int, end: int, taken: list[tuple[int, int]]):
     """(start, end) of what ``taken``, in order and apart, leaves of a stretch."""
-    for s, e in taken[bisect.bisect_right(taken, start, key=lambda t: t[1]):]:
+    for at in range(bisect.bisect_right(taken, start, key=lambda t: t[1]), len(taken)):
+        s, e = taken[at]
         if s >= end:
             break
         if s > start:
@@ -75,6 +77,27 @@ def _outside(start: int, end: int, taken: list[tuple[int, int]]):
         yield start, end
 
 
+def apart(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as stretches in order that don't touch."""
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted(ranges):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
+
+
+def outermost(ranges: list[tuple[int, int]]) -> list[int]:
+    """Positions of the ranges that lie in no other one, of ranges that are nested or apart."""
+    kept, reach = [], -1
+    for i in sorted(range(len(ranges)), key=lambda i: (ranges[i][0], -ranges[i][1])):
+        if ranges[i][1] > reach:
+            kept.append(i)
+            reach = ranges[i][1]
+    return kept
+
+
 def candidates(text: str, spans) -> list[tuple[int, int, str]]:
     """Long runs of base-64 signs, and their long segments.
 
@@ -82,12 +105,7 @@ def candidates(text: str, spans) -> list[tuple[int, int, str]]:
     signs that part words (``/``, ``-``, ``_``) is there as a whole, cut at
     ``/``, and cut at all three, each different piece once.
     """
-    taken: list[tuple[int, int]] = []
-    for _, start, end in sorted(spans, key=lambda s: s[1]):
-        if taken and start <= taken[-1][1]:
-            taken[-1] = (taken[-1][0], max(end, taken[-1][1]))
-        else:
-            taken.append((start, end))
+    taken = apart([(start, end) for _, start, end in spans])
     found = []
     for run in CANDIDATE.finditer(text):
         for start, end in _outside(run.start(), run.end(), taken):
@@ -96,26 +114,42 @@ def candidates(text: str, spans) -> list[tuple[int, int, str]]:
     return found
 
 
-def pair_counts(batch_column: pa.Array) -> np.ndarray:
-    """How often each sign follows each other one inside the texts, as a square table."""
+def pair_counts(raw: np.ndarray) -> np.ndarray:
+    """How often each sign follows each other one in UTF-8 bytes, as a square table."""
     counts = np.zeros((OTHER + 1) ** 2, np.int64)
-    for text in batch_column:
-        raw = np.frombuffer(text.as_buffer(), np.uint8)
-        for at in range(0, len(raw), 1 << 20):
-            code = _CODE[raw[at:at + (1 << 20) + 1]]
-            counts += np.bincount(code[:-1] * (OTHER + 1) + code[1:], minlength=len(counts))
+    for at in range(0, len(raw), 1 << 20):
+        code = _CODE[raw[at:at + (1 << 20) + 1]]
+        counts += np.bincount(code[:-1] * (OTHER + 1) + code[1:], minlength=len(counts))
     return counts
 
 
+def without(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The text with a space for each of the ranges, which are in order and apart."""
+    pieces, at = [], 0
+    for start, end in ranges:
+        pieces.append(text[at:start])
+        at = end
+    return " ".join([*pieces, text[at:]]) if ranges else text
+
+
 def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+@functools.cache
+def _places(signs: str) -> np.ndarray:
+    """Byte -> its place in an alphabet of ENCODINGS."""
+    places = np.zeros(256, np.int64)
+    places[np.frombuffer(signs.encode(), np.uint8)] = np.arange(len(signs))
+    return places
+
+
 class Battery:
     """Chi-squared, runs and serial tests of a string, against randomness and against the corpus's ordinary text.
 
-    ``pairs`` are the corpus's sign-pair counts. For each encoding they give
-    what the three statistics look like in ordinary text of that alphabet.
+    ``pairs`` are the sign-pair counts of the corpus without its secrets and
+    whatever looks random. For each encoding they give what the three
+    statistics look like in ordinary text of that alphabet.
     """
 
     def __init__(self, pairs: np.ndarray) -> None:
@@ -140,6 +174,11 @@ class Battery:
             self.ordinary[name] = (float((left ** 2).sum()), float((left ** 3).sum()), ratio, mean, spread, changes)
         return self.ordinary[name]
 
+    def drawn_evenly(self, token: str) -> bool:
+        """Whether the string looks random in its own alphabet; needs no corpus."""
+        _, signs = self.encoding(token)
+        return self.looks_random(_places(signs)[np.frombuffer(token.encode(), np.uint8)], len(signs))
+
     def looks_random(self, x: np.ndarray, size: int) -> bool:
         """None of the three tests rejects equal odds for all signs, each independent of the last."""
         n = len(x)
@@ -164,8 +203,7 @@ class Battery:
     def p_value(self, token: str) -> float:
         """Of ordinary text giving such a string; 1 for a string that doesn't look random."""
         name, signs = self.encoding(token)
-        place = {s: i for i, s in enumerate(signs)}
-        x, size, n = np.array([place[s] for s in token]), len(signs), len(token)
+        x, size, n = _places(signs)[np.frombuffer(token.encode(), np.uint8)], len(signs), len(token)
         if not self.looks_random(x, size):
             return 1.0
         two, three, ratio, mean, spread, changes = self._ordinary(name, signs)
@@ -202,24 +240,28 @@ def thresholds(histogram: list[tuple[int, int, int]]) -> dict[int, int]:
     return least
 
 
-SCAN = ("kind tinyint, {key}, base array<struct<kind:string,start:int,end:int>>, "
-        "tokens array<struct<start:int,end:int,token:string>>, pair int, n bigint")
+SPANS = "array<struct<kind:string,start:int,end:int>>"
+SCAN = (f"kind tinyint, {{key}}, base {SPANS}, "
+        "tokens array<struct<start:int,end:int,token:string,even:boolean>>, pair int, n bigint")
 
 
 def _fit(docs: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, DataFrame, Battery, dict[int, int]]:
     """(rows without candidates, rows with graded candidates, the battery, thresholds) of all documents."""
     kind = docs.schema[key].dataType.simpleString()
     schema = SCAN.format(key=f"{key} {kind}")
+    tests = Battery(np.zeros((OTHER + 1) ** 2, np.int64))
 
     def each(batches, names):
         pairs = np.zeros((OTHER + 1) ** 2, np.int64)
         for batch in batches:
-            rows = []
-            pairs += pair_counts(batch.column(1))
+            rows, left = [], []
             for doc, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans = base_spans(words)
+                tokens = [(*c, tests.drawn_evenly(c[2])) for c in candidates(words, spans)]
                 rows.append((0, doc, [dict(zip(("kind", "start", "end"), s)) for s in spans],
-                             [dict(zip(("start", "end", "token"), c)) for c in candidates(words, spans)], None, None))
+                             [dict(zip(("start", "end", "token", "even"), t)) for t in tokens], None, None))
+                left.append(without(words, apart([s[1:] for s in spans] + [t[:2] for t in tokens if t[3]])))
+            pairs += pair_counts(np.frombuffer("\n".join(left).encode(), np.uint8))
             if rows:
                 yield batch_of(names, list(zip(*rows)))
         if len(seen := np.flatnonzero(pairs)):
@@ -235,7 +277,7 @@ def _fit(docs: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, D
 
     @F.pandas_udf("array<int>")
     def grades(tokens):
-        return tokens.map(lambda row: [battery.grade(t["token"]) for t in row])
+        return tokens.map(lambda row: [battery.grade(t["token"]) if t["even"] else 0 for t in row])
 
     graded = stored(rows.where(F.size("tokens") > 0).select(key, "base", "tokens", grades("tokens").alias("grades")),
                     f"{label}-graded")
@@ -255,30 +297,25 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     A null text is empty; repeated rows and null keys are kept. Candidates are
     runs of 20 or more base-64 signs outside the base spans and their segments
     of that length; of flagged ones inside each other the outer one is given. Ordinary text is
-    described by the pair counts of all documents; a candidate is flagged as
-    ``random`` if no test of the battery rejects randomness and its p-value
+    described by the pair counts of all documents, without base spans and
+    candidates that look random: secrets, however many, don't count as
+    ordinary. A candidate is flagged as ``random`` if no test of the battery rejects randomness and its p-value
     under ordinary text passes the false-discovery control of its length bin,
     taken over all candidates. Pair counts (67 x 67) and the histogram of
     p-values (5 bins x 3,001 steps) are all that reaches the driver.
     """
     plain, graded, _, least = _fit(docs, key, text, "secret-scan")
-    flagged = F.expr(f"filter(arrays_zip(tokens, grades), z -> {_sql(least)})")
-    every = F.transform(flagged, lambda z: F.struct(F.lit("random").alias("kind"), z["tokens"]["start"].alias("start"),
-                                                    z["tokens"]["end"].alias("end")))
-    extra = F.filter(every, lambda z: ~F.exists(every, lambda y: (y["start"] <= z["start"]) & (y["end"] >= z["end"]) & (y != z)))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return (graded.select(key, "base", extra.alias("extra"))
-            .unionByName(plain.select(key, "base", empty.alias("extra"))))
-
-
-def _sql(least: dict[int, int]) -> str:
-    """The condition on ``z`` (a token and its grade) that the thresholds stand for."""
-    parts = []
-    for b, g in sorted(least.items()):
-        wider = [x for x in LENGTH_BINS if x > b]
-        inside = f"length(z.tokens.token) >= {b}" + (f" AND length(z.tokens.token) < {wider[0]}" if wider else "")
-        parts.append(f"({inside} AND z.grades >= {g})")
-    return " OR ".join(parts) or "false"
+
+    @F.pandas_udf(SPANS)
+    def chosen(starts, ends, grades):
+        out = []
+        for row in zip(starts, ends, grades):
+            ranges = [(int(s), int(e)) for s, e, g in zip(*row) if g >= least.get(length_bin(e - s), GRID_END + 1)]
+            out.append([{"kind": "random", "start": ranges[i][0], "end": ranges[i][1]} for i in outermost(ranges)])
+        return pd.Series(out)
+
+    found = graded.select(key, "base", chosen("tokens.start", "tokens.end", "grades").alias("extra"))
+    return found.unionByName(plain.select(key, "base", F.array().cast(SPANS).alias("extra")))
 
 
 def digest(spans: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -85,6 +85,65 @@ def test_pieces_of_runs():
     assert tokens(f"{a}{b}{a}", [("hex", 20, 45)]) == [a, a] and tokens(f"{a}{b}", [("hex", 0, 30), ("assign", 10, 20)]) == []
 
 
+def test_outermost_equals_brute_force():
+    draw = random.Random(8)
+    for _ in range(200):
+        cuts = sorted(draw.sample(range(60), 8))
+        ranges = list(set(zip(cuts, cuts[1:]))) + [(cuts[i], cuts[i + 2]) for i in draw.sample((0, 2, 4), draw.randint(0, 3))]
+        draw.shuffle(ranges)
+        want = {r for r in ranges if not any(o != r and o[0] <= r[0] and o[1] >= r[1] for o in ranges)}
+        assert {ranges[i] for i in secrets.outermost(ranges)} == want
+    assert secrets.outermost([]) == [] and len(secrets.outermost([(1, 5), (1, 5)])) == 1
+
+
+def test_random_spans_equal_brute_force(spark, scanned):
+    draw = random.Random(4)
+    token = lambda n, signs: "".join(draw.choice(signs) for _ in range(n))
+    rows = [(i, t) for i, t, _ in scanned] + [(700 + i, f"{t.upper()} IN 2024 AND 1999 OF 15 300") for i, t, _ in scanned[:20]]
+    rows += [(300 + i, f"at {token(30, string.ascii_letters)} and /the/{token(44, string.ascii_letters + string.digits)}-the_thing/"
+              f"{token(26, string.ascii_uppercase + '234567')} é {token(32, '0123456789ABCDEF')}") for i in range(40)]
+    pairs = np.zeros((secrets.OTHER + 1, secrets.OTHER + 1), np.int64)
+    every, blank = {}, secrets.Battery(np.zeros((secrets.OTHER + 1) ** 2, np.int64))
+    for i, text in rows:
+        text = text or ""
+        base = secrets.base_spans(text)
+        every[i] = (base, secrets.candidates(text, base))
+        hidden = set()
+        for a, b in [s[1:] for s in base] + [c[:2] for c in every[i][1] if blank.drawn_evenly(c[2])]:
+            hidden |= set(range(a, b))
+        signs = [None if at in hidden else c for at, c in enumerate(text)]
+        for x, y in zip(signs, signs[1:]):
+            if x and y and x in secrets.SIGNS and y in secrets.SIGNS:
+                pairs[secrets.SIGNS.index(x), secrets.SIGNS.index(y)] += 1
+    battery = secrets.Battery(pairs)
+    grades = [(secrets.length_bin(len(t)), battery.grade(t)) for _, found in every.values() for _, _, t in found]
+    least = secrets.thresholds([(b, g, grades.count((b, g))) for b, g in set(grades)])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(df)).collect()}
+    flagged = 0
+    for i, (base, found) in every.items():
+        hits = {(a, b) for a, b, t in found if battery.grade(t) >= least.get(secrets.length_bin(len(t)), 10 ** 9)}
+        hits = {h for h in hits if not any(o != h and o[0] <= h[0] and o[1] >= h[1] for o in hits)}
+        flagged += len(hits)
+        order = sorted(base + [("random", a, b) for a, b in hits], key=lambda s: (s[1], secrets.KINDS.index(s[0]), s[2]))
+        assert got[i] == secrets.joined(order), i
+    assert flagged >= 100  # the little ordinary text here tells upper-case hex from words only now and then
+
+
+def test_many_secrets_are_found_and_spoil_no_others(spark, scanned):
+    draw = random.Random(6)
+    key = lambda: "".join(draw.choice(string.ascii_letters + string.digits) for _ in range(40))
+    rows = [(i, t) for i, t, _ in scanned] + [(500, " ".join(f"the thing {key()} on the" for _ in range(8000))), (501, f"one {key()} more")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["n_random"] for r in secrets.digest(secrets.scan(df)).collect()}
+    assert got[500] >= 7600 and got[501] == 1 and sum(got[i] for i in range(60)) == 0
+
+
+def test_text_without_its_ranges():
+    assert secrets.without("abcdef", []) == "abcdef" and secrets.without("abcdef", [(0, 2), (4, 6)]) == " cd "
+    assert secrets.apart([(4, 6), (0, 2), (1, 3), (6, 7)]) == [(0, 3), (4, 7)] and secrets.apart([]) == []
+
+
 def test_empty_table(docs):
     assert secrets.digest(secrets.scan(docs.limit(0))).count() == 0
     assert secrets.redact(docs.limit(0)).count() == 0
