@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.catalog.registry import Tables, query
+from cohortry.operators import attention as A
 from cohortry.operators import graph as G
 from cohortry.plans.session import cut_lineage
 
@@ -280,3 +281,37 @@ def g10_wide(t: Tables) -> DataFrame:
     out = G.propagate_features(G.node_features(_nodes(t)), _traits(t), 2)
     return out.select("id", *[F.round(F.element_at("features", i + 1), 9).alias(f"f{i}") for i in (0, 3, 4)],
                       F.size("features").alias("width"))
+
+
+# Two heads over three inputs with two outputs each: any fixed weights do, the SQL is made from the same ones.
+HEADS = A.Layer([[[0.3, -0.2], [0.5, 0.1], [0.05, 0.02]], [[-0.4, 0.6], [0.2, 0.3], [-0.03, 0.04]]],
+                [[0.7, -0.5], [0.4, 0.9]], [[0.2, 0.3], [-0.6, 0.1]], True, [0.1, 0.0, -0.1, 0.2])
+
+
+def _dot(values, names) -> str:
+    return " + ".join(f"({v!r}::DOUBLE) * {n}" for v, n in zip(values, names))
+
+
+def _head_sql(h: int) -> str:
+    w, a, b = HEADS.weight[h].tolist(), HEADS.source[h].tolist(), HEADS.target[h].tolist()
+    z = ", ".join(f"{_dot([row[k] for row in w], ('f0', 'f1', 'f2'))} AS z{k}" for k in range(2))
+    bias = HEADS.bias[2 * h:2 * h + 2]
+    out = ", ".join(f"round(sum(exp(e - high) * z{k}) / sum(exp(e - high)) + ({bias[k]!r}), 9) AS f{2 * h + k}" for k in range(2))
+    return f"""
+z{h} AS (SELECT *, {_dot(a, ('z0', 'z1'))} AS s, {_dot(b, ('z0', 'z1'))} AS t FROM (SELECT id, {z} FROM f)),
+e{h} AS (SELECT l.dst, x.z0, x.z1, CASE WHEN x.s + y.t < 0 THEN 0.2 * (x.s + y.t) ELSE x.s + y.t END AS e
+         FROM links l JOIN z{h} x ON l.src = x.id JOIN z{h} y ON l.dst = y.id),
+h{h} AS (SELECT dst AS id, {out} FROM (SELECT *, max(e) OVER (PARTITION BY dst) AS high FROM e{h}) GROUP BY dst)"""
+
+
+@query("g10_attention_two_heads", f"""
+WITH {TRAITS_SQL}, {NODES_SQL},
+f AS (SELECT id, CAST(type = 'Patient' AS DOUBLE) AS f0, CAST(type = 'Variant' AS DOUBLE) AS f1, CAST(length(id) AS DOUBLE) AS f2 FROM nodes),
+links AS (SELECT src, dst FROM edges WHERE src <> dst UNION ALL SELECT id, id FROM nodes),{_head_sql(0)},{_head_sql(1)}
+SELECT h0.id, f0, f1, f2, f3 FROM h0 JOIN h1 ON h0.id = h1.id""")
+def g10_attention(t: Tables) -> DataFrame:
+    start = _nodes(t).select("id", F.array(
+        (F.col("type") == "Patient").cast("double"), (F.col("type") == "Variant").cast("double"),
+        F.length("id").cast("double")).alias("features"))
+    out = A.attend(start, _traits(t), HEADS)
+    return out.select("id", *[F.round(F.element_at("features", i + 1), 9).alias(f"f{i}") for i in range(4)])

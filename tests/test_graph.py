@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortry.operators import attention as A
 from cohortry.operators import graph as G
 from cohortry.schemas import FEATURE_NODE_TYPES
 
@@ -113,3 +114,51 @@ def test_features_and_propagation_against_numpy(spark):
     got = {r["id"]: np.array(r["features"]) for r in G.propagate_features(f, e, 2).collect()}
     assert set(got) == set(state) and all(np.allclose(got[i], state[i]) for i in state)
     assert pytest.approx(1.0) == start["a"].sum()
+
+
+def attention_by_numpy(state, links, layer):
+    loops = [(a, b) for a, b in links if a != b and a in state and b in state] + [(i, i) for i in state]
+    out = {}
+    for i in state:
+        heads = []
+        for h in range(layer.heads):
+            z = {j: state[j] @ layer.weight[h] for j in state}
+            near = [a for a, b in loops if b == i]
+            raw = np.array([z[j] @ layer.source[h] + z[i] @ layer.target[h] for j in near])
+            e = np.exp(np.where(raw < 0, A.SLOPE * raw, raw))
+            heads.append(sum(w * z[j] for w, j in zip(e / e.sum(), near)))
+        row = np.concatenate(heads) if layer.concat else np.mean(heads, axis=0)
+        out[i] = layer.finish(row[None])[0]
+    return out
+
+
+def test_attention_layers_against_numpy(spark):
+    draw = np.random.default_rng(3)
+    state = {f"n{i}": draw.normal(size=5) for i in range(12)}
+    links = [(f"n{a}", f"n{b}") for a, b in draw.integers(0, 12, (40, 2))] + [("n1", "n2")] * 3 + [("n1", "gone"), ("gone", "n2"), (None, "n1")]
+    links += [(f"n{i}", "n0") for i in range(1, 12)]
+    features = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in state.items()], "id string, features array<double>, dst int")
+    e = edges(spark, links).repartition(3)
+    layers = A.draw_layers(5, 9, 4, layers=3, heads=2, seed=1)
+    layers[0].scale, layers[0].shift = draw.normal(size=18), draw.normal(size=18)
+    assert [x.width for x in layers] == [18, 18, 4] and not layers[-1].concat
+    want = state
+    for layer in layers:
+        want = attention_by_numpy(want, [x for x in links if None not in x], layer)
+    got = {r["id"]: np.array(r["features"]) for r in A.embed(features, e, layers).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[i], want[i]) for i in want)
+    mean = A.Layer(draw.normal(size=(2, 5, 3)), draw.normal(size=(2, 3)), draw.normal(size=(2, 3)), concat=False)
+    got = {r["id"]: np.array(r["features"]) for r in A.attend(features, e, mean).collect()}
+    want = attention_by_numpy(state, [x for x in links if None not in x], mean)
+    assert all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_attention_without_edges_nulls_and_great_scores(spark):
+    layer = A.Layer(np.eye(2)[None], [[900.0, 0.0]], [[0.0, 0.0]])
+    rows = [("a", [1.0, 2.0]), ("b", [3.0, None]), ("c", None), ("d", [1.0])]
+    features = spark.createDataFrame(rows, "id string, features array<double>")
+    alone = {r["id"]: r["features"] for r in A.attend(features, edges(spark, [("x", "y")]), layer).collect()}
+    assert alone == {"a": [1.0, 2.0], "b": [3.0, 0.0], "c": [0.0, 0.0], "d": [1.0, 0.0]}
+    got = {r["id"]: r["features"] for r in A.attend(features, edges(spark, [("b", "a")]), layer).collect()}
+    assert np.allclose(got["a"], [3.0, 0.0]) and got["d"] == [1.0, 0.0]  # 2,700 against 900: no overflow
+    assert A.attend(features.limit(0), edges(spark, [("b", "a")]), layer).count() == 0
