@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from cohortry.llm.common import batch_of, kept_tables, map_batches, text_or_empty
 
 OPEN_WINDOWS = 1024       # partly filled windows a task keeps at most
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000    # words and pieces of words a Python worker keeps
 CACHED_LENGTH = 48
 
 
@@ -28,10 +29,11 @@ def _byte_signs() -> list[str]:
 
 
 class WordIds(dict):
-    """word between white space -> its ids as little-endian bytes, for a pair vocabulary that drops white space.
+    """piece or word -> its ids as little-endian bytes, for a pair vocabulary that drops white space.
 
     White space always ends a piece here and never gets an id, so a text's ids
-    are those of its words, one after the other.
+    are those of its words, one after the other. Latin text is cut into pieces
+    by one pattern, and the table holds those; other words are held whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,39 +45,38 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.merge = self.tokenizer.model.tokenize
-        self.letters: dict[str, bytes] = {}
-        # Latin words without signs that could belong to a special string or a clitic
-        self.plain = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}]+")
         self.as_signs = {b: c for b, c in zip(range(256), _byte_signs())}
         self.white = regex.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-        self.latin = regex.compile(r"[!-&(-;=?-{}~\u00c0-\u00ff\u0100-\u012f\u0131-\u0148\u014a-\u017e]+")
+        # Latin text without signs that could belong to a special string or a clitic
+        latin = "!-&(-;=?-~\u00c0-\u00ff\u0100-\u012f\u0131-\u0148\u014a-\u017e"
+        self.other = re.compile(f"[^\t-\r\x20{latin}]")
+        letters = "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u017e"
+        self.pieces = re.compile(f"[{letters}]+|[0-9]|[^{letters}0-9\t-\r\x20]+")
 
     def __missing__(self, word: str) -> bytes:
-        if self.latin.fullmatch(word):
-            ids = b"".join([self._piece(p) for p in self.plain.findall(word.lower())])
-        else:
+        if self.other.search(word):
             ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.as_signs)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(signs)])
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.letters.get(piece)
-        if ids is None:
-            signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.as_signs)
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(signs)])
-            if len(piece) <= CACHED_LENGTH:
-                if len(self.letters) >= CACHED_WORDS:
-                    self.letters.clear()
-                self.letters[piece] = ids
-        return ids
-
     def ids(self, text: str) -> bytes:
+        if not self.other.search(text):
+            return self._latin(text)
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # split() takes them for white space
-            return b"".join(map(self.__getitem__, self.white.split(text)))
-        return b"".join(map(self.__getitem__, text.split()))
+            words = self.white.split(text)
+        else:
+            words = text.split()
+        return b"".join([self[w] if self.other.search(w) else self._latin(w) for w in words])
+
+    def _latin(self, text: str) -> bytes:
+        """Runs of letters, single digits and runs of other signs, each looked up on its own."""
+        return b"".join(map(self.__getitem__, self.pieces.findall(text.lower())))
 
 
 def word_ids(path: str) -> WordIds:
