@@ -10,6 +10,7 @@ from cohortry.operators import aggregate as A
 from cohortry.operators import join as J
 from cohortry.operators import maintain as U
 from cohortry.operators.features import imaging_features
+from cohortry.plans.partitions import read_partitioned, store_partitioned
 from cohortry.plans.session import scratch_path
 from cohortry.plans.skew import fan_out_left_join
 
@@ -113,6 +114,20 @@ def j5_many_profiles(t: Tables) -> DataFrame:
     return J.similar_by_profile(orders, 3, 5, "subject", "o_orderpriority", "day", "o_totalprice", 1, 0.02)
 
 
+@query("j5_all_patients", """
+WITH scored AS (
+  SELECT a.c_custkey AS patient_id, b.c_custkey AS similar_patient_id,
+         CAST((CASE WHEN a.c_mktsegment = b.c_mktsegment THEN 1.0 ELSE 0.0 END
+          + CASE WHEN abs(a.c_nationkey - b.c_nationkey) <= 2 THEN 0.5 ELSE 0.0 END
+          + CASE WHEN abs(a.c_acctbal - b.c_acctbal) <= 20 THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS similarity_score
+  FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY similarity_score DESC, similar_patient_id) AS rank
+           FROM scored)
+SELECT patient_id, CAST(rank AS INTEGER) AS rank, similar_patient_id, similarity_score FROM ranked WHERE rank <= 10""")
+def j5_all(t: Tables) -> DataFrame:
+    return J.similar_to_each(t("customer"), 10, "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal", 2, 20)
+
+
 @query("j6_distinct_counts_over_fan_out", """
 SELECT n.n_nationkey AS id, n.n_name AS patient_id, count(DISTINCT c.c_custkey) AS total_treatments,
        count(DISTINCT s.s_suppkey) AS total_genetic_variants
@@ -182,6 +197,26 @@ def u3(t: Tables) -> DataFrame:
     return U.upsert(target, updates, "c_custkey", F.lit("now"), order=[F.desc("o_orderkey")])
 
 
+@query("u3_partitioned_upsert", """
+WITH up AS (SELECT * FROM (
+    SELECT o_custkey + 7 AS k, o_orderstatus AS seg,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders
+    WHERE o_orderpriority = '1-URGENT') WHERE rn = 1)
+SELECT coalesce(c_custkey, k) AS c_custkey, coalesce(seg, c_mktsegment) AS c_mktsegment, c_nationkey,
+       CASE WHEN c_custkey IS NOT NULL THEN 'old' ELSE 'now' END AS created_at,
+       CASE WHEN k IS NOT NULL THEN 'now' ELSE 'old' END AS updated_at
+FROM customer FULL OUTER JOIN up ON c_custkey = k""")
+def u3_partitioned(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "customers")
+    target = t("customer").select("c_custkey", "c_mktsegment", "c_nationkey", F.lit("old").alias("created_at"),
+                                  F.lit("old").alias("updated_at"))
+    store_partitioned(target, path, ["c_custkey"], 16)
+    updates = t("orders").filter("o_orderpriority = '1-URGENT'").select(
+        (F.col("o_custkey") + 7).alias("c_custkey"), F.col("o_orderstatus").alias("c_mktsegment"), "o_orderkey")
+    U.upsert_stored(t.spark, path, updates, "c_custkey", F.lit("now"), [F.desc("o_orderkey")])
+    return read_partitioned(t.spark, path)
+
+
 @query("u4_cascade_delete", """
 WITH gone AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'),
      dead AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone))

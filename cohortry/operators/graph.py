@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortry import schemas
 from cohortry.operators.join import endpoints_exist
 from cohortry.plans.ordered import dense_index
+from cohortry.plans.partitions import rewrite_touched
 from cohortry.plans.session import cut_lineage
 
 # ---------------------------------------------------------------------------
@@ -52,6 +53,20 @@ def merge_edges(edges: DataFrame, updates: DataFrame, nodes: DataFrame, order: s
     return _fold(edges, known, ["src", "type", "dst"], order).select("src", "dst", "type", "props")
 
 
+def merge_nodes_stored(spark: SparkSession, path: str, updates: DataFrame, order: str = "seq") -> list[int]:
+    """``merge_nodes`` on a table stored by (type, id) with ``store_partitioned``; rewrites the touched partitions."""
+    return rewrite_touched(spark, path, updates, lambda old, new: merge_nodes(old, new, order))
+
+
+def merge_edges_stored(spark: SparkSession, path: str, updates: DataFrame, nodes: DataFrame,
+                       order: str = "seq") -> list[int]:
+    """``merge_edges`` on a table stored by (src, type, dst); updates to missing nodes touch nothing."""
+    known = endpoints_exist(updates, nodes)
+    return rewrite_touched(
+        spark, path, known,
+        lambda old, new: _fold(old, new, ["src", "type", "dst"], order).select("src", "dst", "type", "props"))
+
+
 def check_graph_constraints(nodes: DataFrame) -> DataFrame:
     """(type, property, value, n) of values that occur on more than one node of the type."""
     value = F.lit(None).cast("string")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.plans.session import cut_lineage
@@ -117,6 +118,85 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("similarity_score"), "similar_patient_id").limit(k)
 
 
+def similar_to_each(df: DataFrame, k: int = 10, id_col: str = "patient_id", kind: str = "seizure_type",
+                    onset: str = "age_at_onset", frequency: str = "seizure_frequency_per_month",
+                    onset_within: float = 5, frequency_within: float = 2) -> DataFrame:
+    """``similar_by_profile`` for every subject at once: (patient_id, rank, similar_patient_id, similarity_score).
+
+    Exact, without pairs of subjects. Whoever is among the k best of a subject
+    meets some of the three conditions, and then is one of the k + 1 smallest ids
+    that meet these, as all who meet them score as much. So for each of the eight
+    sets of conditions a list of k + 1 ids is made for each profile, and the lists
+    are merged. Lists depend on the values only: the subjects of one profile are
+    reduced to their k + 1 smallest ids first, and profiles meet in a join on
+    the type and on the cells of a grid as wide as the conditions are.
+
+    A null or NaN value meets no condition; a subject with several records
+    counts by the best pair of records; rows with a null id take no part.
+    """
+    names = ["kind", "onset", "frequency"]
+    records = df.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(kind).alias("kind"), F.col(onset).alias("onset"),
+        F.col(frequency).alias("frequency")).distinct()
+    points = {"kind": 1.0, "onset": 0.5, "frequency": 0.5}
+    within_of = {"onset": onset_within, "frequency": frequency_within}
+    smallest = records.select("id").distinct().orderBy("id").limit(k + 1).agg(F.sort_array(F.collect_list("id")))
+
+    lists = records.select(*names).distinct().withColumn("__l0", smallest.scalar())
+    scores = [0.0]
+    for chosen in product([False, True], repeat=3):
+        needed = [n for n, c in zip(names, chosen) if c]
+        if not needed:
+            continue
+        bands = {n: within_of[n] for n in needed if n in within_of}
+        name = f"__l{len(scores)}"
+        lists = lists.join(_smallest_ids(records, needed, bands, k + 1).withColumnRenamed("ids", name), needed, "left")
+        scores.append(sum(points[n] for n in needed))
+
+    def entries(name: str, score: float) -> Column:
+        return F.transform(F.coalesce(name, F.slice("__l0", 1, 0)),
+                           lambda i: F.struct(F.lit(-score).alias("less"), i.alias("id")))
+
+    merged = F.array_sort(F.concat(*[entries(f"__l{i}", s) for i, s in enumerate(scores)]))
+    of_profile = lists.select(*[F.col(n).alias(f"__{n}") for n in names], F.explode(merged).alias("e")).select(
+        *[f"__{n}" for n in names], F.col("e.id").alias("other"), (-F.col("e.less")).alias("score"))
+    of_profile = of_profile.groupBy("__kind", "__onset", "__frequency", "other").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("__kind", "__onset", "__frequency").orderBy(F.desc("score"), "other")
+    of_profile = of_profile.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).groupBy(
+        "__kind", "__onset", "__frequency").agg(F.collect_list(F.struct("other", "score")).alias("others"))
+    same = [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names]
+    pairs = records.join(of_profile, same).select("id", F.explode("others").alias("o")).filter(F.col("o.other") != F.col("id"))
+    scored = pairs.groupBy(F.col("id").alias("patient_id"), F.col("o.other").alias("similar_patient_id")).agg(
+        F.max("o.score").alias("similarity_score"))
+    rank = F.row_number().over(Window.partitionBy("patient_id").orderBy(F.desc("similarity_score"), "similar_patient_id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(
+        "patient_id", "rank", "similar_patient_id", "similarity_score")
+
+
+def _smallest_ids(records: DataFrame, columns: Sequence[str], bands: Mapping[str, float], n: int) -> DataFrame:
+    """(columns, ids): for each occurring value of ``columns`` the n smallest ids of records that equal it, or lie
+    within its band for the columns that have one."""
+    known = records.dropna(subset=list(columns)).select("id", *columns).distinct()
+    first = F.row_number().over(Window.partitionBy(*columns).orderBy("id"))
+    values = known.withColumn("__n", first).filter(F.col("__n") <= n).groupBy(*columns).agg(
+        F.sort_array(F.collect_list("id")).alias("ids"))
+    if not bands:
+        return values
+    # a little wider than the band, so that rounding can't put values within it two cells apart
+    cells = {c: F.floor(F.col(c) / F.lit(w * 1.001 if w else 1.0)) for c, w in bands.items()}
+    probes = values.select(*columns, *[cell.alias(f"__c_{c}") for c, cell in cells.items()])
+    for c in bands:
+        probes = probes.withColumn(f"__c_{c}", F.explode(F.array(*[F.col(f"__c_{c}") + step for step in (-1, 0, 1)])))
+    others = values.select(
+        *[F.col(c).alias(f"__o_{c}") for c in columns], *[cell.alias(f"__d_{c}") for c, cell in cells.items()], "ids")
+    on = [F.col(c) == F.col(f"__o_{c}") for c in columns if c not in bands]
+    on += [F.col(f"__c_{c}") == F.col(f"__d_{c}") for c in bands]
+    on += [F.abs(F.col(f"__o_{c}") - F.col(c)) <= w for c, w in bands.items()]
+    near = probes.join(others, on).select(*columns, F.explode("ids").alias("id")).distinct()
+    return near.withColumn("__n", first).filter(F.col("__n") <= n).groupBy(*columns).agg(
+        F.sort_array(F.collect_list("id")).alias("ids"))
+
+
 def endpoints_exist(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes."""
     ids = nodes.select("id")

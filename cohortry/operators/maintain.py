@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators.validate import dedup_first
+from cohortry.plans.partitions import rewrite_touched
 
 
 def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
@@ -53,6 +54,16 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, stamp: Column, order
     return joined.select(*out).select(*target.columns)
 
 
+def upsert_stored(spark: SparkSession, path: str, updates: DataFrame, key: str, stamp: Column,
+                  order: Sequence[Column | str], created: str = "created_at", updated: str = "updated_at") -> list[int]:
+    """``upsert`` on a table of ``store_partitioned`` by ``key``: only partitions with a key of the updates are read and rewritten.
+
+    Gives the numbers of those partitions. Target rows with a null key stay as they are.
+    """
+    return rewrite_touched(
+        spark, path, updates, lambda old, new: upsert(old, new, key, stamp, order, created, updated))
+
+
 def cascade_delete(tables: Mapping[str, DataFrame], root: str, keys: DataFrame,
                    links: Sequence[tuple[str, str, str, str]], root_key: str) -> dict[str, DataFrame]:
     """Delete keys from ``root`` and every row that depends on them.
