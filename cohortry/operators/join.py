@@ -131,13 +131,14 @@ def similar_to_each(df: DataFrame, k: int = 10, id_col: str = "patient_id", kind
     reduced to their k + 1 smallest ids first, and profiles meet in a join on
     the type and on the cells of a grid as wide as the conditions are.
 
-    A null or NaN value meets no condition; a subject with several records
+    The distinct records are stored first, as every list reads them. A null or
+    NaN value meets no condition; a subject with several records
     counts by the best pair of records; rows with a null id take no part.
     """
     names = ["kind", "onset", "frequency"]
-    records = df.filter(F.col(id_col).isNotNull()).select(
+    records = cut_lineage(df.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(kind).alias("kind"), F.col(onset).alias("onset"),
-        F.col(frequency).alias("frequency")).distinct()
+        F.col(frequency).alias("frequency")).distinct(), "records")
     points = {"kind": 1.0, "onset": 0.5, "frequency": 0.5}
     within_of = {"onset": onset_within, "frequency": frequency_within}
     smallest = records.select("id").distinct().orderBy("id").limit(k + 1).agg(F.sort_array(F.collect_list("id")))
