@@ -202,3 +202,22 @@ def test_members_in_an_ensemble(spark, tmp_path):
     assert a == pytest.approx(0.4 * want[0] + 0.3 * want[1] + 0.3 * want[2])
     assert {r["member"] for r in model.importance().collect()} == {"boosted", "leafwise", "symmetric"}
     assert isinstance(loaded.models[1], BoostedModel) and loaded.models[1].rounds == model.models[1].rounds
+
+
+def test_rows_of_one_partition_are_dealt_over_the_cores(spark, monkeypatch):
+    stored = []
+    write = boosting.cut_lineage
+    monkeypatch.setattr(boosting, "cut_lineage", lambda df, label: stored.append(df.rdd.getNumPartitions()) or write(df, label))
+    rows = assemble(spark.createDataFrame([(float(i % 7), i % 3) for i in range(300)], "x double, y int").coalesce(1), ["x"])
+    fit(rows, VECTOR, 1, "y", 3, Settings(rounds=1, depth=1))
+    assert stored[0] >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_leaves_of_a_tree_with_one_place_a_level():
+    tree = boosting.Tree()
+    for node, feature in ((0, 0), (1, 1), (2, 1)):
+        tree.split(node, feature, 3, 1.0, ([0.0], [0.0]), 0 if node == 0 else 1)
+    bins = np.array([[0, 0], [0, 9], [9, 0], [9, 9]], np.uint8)
+    assert tree.leaf_of(bins).tolist() == [3, 4, 5, 6]
+    tree.bin[2] = 20  # no longer one place for the level
+    assert tree.leaf_of(bins).tolist() == [3, 4, 5, 5]
