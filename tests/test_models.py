@@ -1,7 +1,11 @@
+import threading
+
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from cohortry.ml import members
 from cohortry.ml.ensemble import EnsembleClassifier, EnsembleModel
 from cohortry.ml.members import Member, default_members
 from cohortry.ml.tuning import METRICS, RANGES, cross_validate, draw_params, model_based_search, parzen_search, random_search
@@ -176,3 +180,30 @@ def test_training_from_files(spark, tmp_path):
     assert done.metrics["accuracy"] > 0.9
     assert {"age", "n_variants", "has_epilepsy_gene"} <= set(done.model.features)
     assert not {"patient_id", "sex", "gene", "treatment_response_encoded"} & set(done.model.features)
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    together = threading.Barrier(2, timeout=60)
+
+    class Fitted:
+        def evaluate(self, df, label):
+            together.wait()  # breaks if the folds take turns
+            n = float(df.count())
+            return spark.createDataFrame([(n,) * len(METRICS)], ", ".join(f"{m} double" for m in METRICS))
+
+    class Classifier:
+        def fit(self, df, features, label):
+            return Fitted()
+
+    rows = spark.createDataFrame([(i, 0) for i in range(40)], "k int, y int")
+    assert cross_validate(Classifier(), rows, ["k"], "k", "y", k=4).first()["accuracy"] == 10.0
+
+
+def test_a_network_learns_from_rows_dealt_over_the_cores(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(members, "SPREAD_FROM", 10)
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()))
+    rows = spark.range(100).coalesce(1)
+    members.Member("network").fit(rows, "y", 3, 1, 42, 100)
+    members.Member("network").fit(rows, "y", 3, 1, 42, 9)
+    assert seen[0] >= spark.sparkContext.defaultParallelism > seen[1] == 1
