@@ -73,41 +73,74 @@ def similar_by_profile(df: DataFrame, patient, k: int = 10, id_col: str = "patie
 
     The subject's own records are read as values, so scoring the table is one
     projection, a partial aggregate to the best record of each subject, and a
-    top-k: no join. A probe with more distinct profiles than one page is scored
-    page by page and the pages' best are merged. Whoever is among the best k
-    overall is so on the page of the best score, so pages don't show.
+    top-k: no join. A probe with more distinct profiles than one page is met
+    condition by condition, on a grid as wide as the conditions are.
     """
     probes = (
         df.filter(F.col(id_col) == F.lit(patient))
         .select(F.col(kind).alias("kind"), F.col(onset).alias("onset"), F.col(frequency).alias("frequency"))
         .distinct()
     )
-    pages = [probes]
+    others = df.filter(F.col(id_col) != F.lit(patient))
     if not within(probes, PROBE_PAGE):
-        probes = cut_lineage(probes)
-        n = probes.count() // (PROBE_PAGE // 2) + 1
-        slot = F.pmod(F.xxhash64("kind", "onset", "frequency"), F.lit(n))
-        pages = [probes.filter(slot == i) for i in range(n)]
+        return _top(_best_score(_scored_by_conditions(
+            others.select(F.col(id_col).alias("similar_patient_id"), F.col(kind).alias("kind"), F.col(onset).alias("onset"),
+                          F.col(frequency).alias("frequency")),
+            cut_lineage(probes, "probes"), {"onset": onset_within, "frequency": frequency_within})), k)
+    rows = probes.collect()
+    if not rows:
+        return others.limit(0).select(F.col(id_col).alias("similar_patient_id"), F.lit(0.0).alias("similarity_score"))
+    structs = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in probes.schema.fields]) for r in rows]
 
-    others = df.filter(F.col(id_col) != F.lit(patient))
-    empty = others.limit(0).select(F.col(id_col).alias("similar_patient_id"), F.lit(0.0).alias("similarity_score"))
-    best, used = empty, 0
-    for page in pages:
-        rows = page.collect()
-        if not rows:
-            continue
-        structs = [
-            F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in page.schema.fields]) for r in rows
-        ]
+    def scored(probe: Column) -> Column:
+        return profile_score(F.col(kind), F.col(onset), F.col(frequency), probe, onset_within, frequency_within)
+
+    score = scored(structs[0]) if len(structs) == 1 else F.array_max(F.transform(F.array(*structs), scored))
+    return _top(_best_score(others.select(F.col(id_col).alias("similar_patient_id"), score.alias("similarity_score"))), k)
+
+
+POINTS = {"kind": 1.0, "onset": 0.5, "frequency": 0.5}
 
-        def scored(probe: Column) -> Column:
-            return profile_score(F.col(kind), F.col(onset), F.col(frequency), probe, onset_within, frequency_within)
 
-        score = scored(structs[0]) if len(structs) == 1 else F.array_max(F.transform(F.array(*structs), scored))
-        part = _best_score(others.select(F.col(id_col).alias("similar_patient_id"), score.alias("similarity_score")))
-        best = best.unionByName(_top(part, k)) if used else _top(part, k)
-        used += 1
-    return _top(_best_score(best), k) if used > 1 else best
+def _scored_by_conditions(others: DataFrame, probes: DataFrame, within_of: Mapping[str, float]) -> DataFrame:
+    """(similar_patient_id, similarity_score) of each record, or profile of a subject, by its best probe, without pairs of records.
+
+    A score says which conditions hold. For each set of them, greatest score
+    first, the profiles that meet some probe in all of them take its score and
+    are done; the others go on. A profile meets the probes' distinct values of
+    the set's columns only.
+    """
+    names = list(POINTS)
+    left = cut_lineage(others.distinct(), "profiles")
+    sets = sorted((c for c in product([False, True], repeat=3) if any(c)), key=lambda c: -sum(p for p, x in zip(POINTS.values(), c) if x))
+    done = None
+    for chosen in sets:
+        needed = [n for n, c in zip(names, chosen) if c]
+        met = _meeting(left.select(*needed).distinct(), probes.select(*needed).distinct(), needed,
+                       {n: within_of[n] for n in needed if n in within_of})
+        score = F.lit(sum(POINTS[n] for n in needed))
+        flagged = left.join(cut_lineage(met.withColumn("__met", F.lit(True)), "met"), needed, "left")
+        flagged = cut_lineage(flagged, "profiles")
+        part = flagged.filter("__met").select("similar_patient_id", score.alias("similarity_score"))
+        done = part if done is None else done.unionByName(part)
+        left = flagged.filter("__met IS NULL").drop("__met")
+    return done.unionByName(left.select("similar_patient_id", F.lit(0.0).alias("similarity_score")))
+
+
+def _meeting(values: DataFrame, probes: DataFrame, columns: Sequence[str], bands: Mapping[str, float]) -> DataFrame:
+    """The distinct ``values`` that equal some of the distinct ``probes``, or lie within its band for the columns that have one."""
+    known, asked = values.dropna(), probes.dropna()
+    if not bands:
+        return known.join(asked, list(columns), "left_semi")
+    width = {c: w * 1.001 if w else 1.0 for c, w in bands.items()}
+    cell = lambda c: F.floor(F.col(c) / F.lit(width[c]))
+    grid = asked.select(*[F.col(c).alias(f"__o_{c}") for c in columns], *[cell(c).alias(f"__d_{c}") for c in bands])
+    for c in bands:  # the cells around a probe's own: there are fewer probes than values, mostly
+        grid = grid.withColumn(f"__d_{c}", F.explode(F.array(*[F.col(f"__d_{c}") + step for step in (-1, 0, 1)])))
+    on = [F.col(c) == F.col(f"__o_{c}") for c in columns if c not in bands]
+    on += [cell(c) == F.col(f"__d_{c}") for c in bands]
+    on += [F.abs(F.col(f"__o_{c}") - F.col(c)) <= w for c, w in bands.items()]
+    return known.join(grid, on, "left_semi")
 
 
 def _best_score(scored: DataFrame) -> DataFrame:
@@ -139,7 +172,6 @@ def similar_to_each(df: DataFrame, k: int = 10, id_col: str = "patient_id", kind
     records = cut_lineage(df.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(kind).alias("kind"), F.col(onset).alias("onset"),
         F.col(frequency).alias("frequency")).distinct(), "records")
-    points = {"kind": 1.0, "onset": 0.5, "frequency": 0.5}
     within_of = {"onset": onset_within, "frequency": frequency_within}
     smallest = records.select("id").distinct().orderBy("id").limit(k + 1).agg(F.sort_array(F.collect_list("id")))
 
@@ -152,7 +184,7 @@ def similar_to_each(df: DataFrame, k: int = 10, id_col: str = "patient_id", kind
         bands = {n: within_of[n] for n in needed if n in within_of}
         name = f"__l{len(scores)}"
         lists = lists.join(_smallest_ids(records, needed, bands, k + 1).withColumnRenamed("ids", name), needed, "left")
-        scores.append(sum(points[n] for n in needed))
+        scores.append(sum(POINTS[n] for n in needed))
 
     def entries(name: str, score: float) -> Column:
         return F.transform(F.coalesce(name, F.slice("__l0", 1, 0)),

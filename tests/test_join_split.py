@@ -60,6 +60,17 @@ def test_similar_with_any_page_size(spark, monkeypatch, page):
     assert got == _similar(rows, "s0", 5)
 
 
+def test_a_probe_of_many_profiles_is_not_written_into_the_plan(spark, monkeypatch):
+    monkeypatch.setattr(J, "PROBE_PAGE", 2)
+    monkeypatch.setattr(J, "profile_score", lambda *a, **k: pytest.fail("profiles as values of the plan"))
+    rows = [("p", "x", 10, 3.0), ("p", None, 40, 9.0), ("p", "z", None, 20.0), ("p", "x", 11, float("nan")),
+            ("a", "x", 15, 5.0), ("b", None, None, None), ("c", "y", 45, 7.0), ("c", "y", 90, 20.0), ("d", "q", None, float("nan")),
+            (None, "x", 10, 3.0)]
+    df = spark.createDataFrame(rows, "patient_id string, seizure_type string, age_at_onset int, seizure_frequency_per_month double")
+    got = [tuple(r) for r in J.similar_by_profile(df, "p", 9).collect()]
+    assert got == [("a", 2.0), ("c", 1.0), ("b", 0.0), ("d", 0.0)]
+
+
 def test_split_is_disjoint_complete_and_stratified(spark):
     df = spark.range(3000).withColumn("y", F.when(F.col("id") % 10 == 0, "rare").otherwise("common"))
     out = W.stratified_split(df, "id", "y")
