@@ -121,6 +121,18 @@ def test_vector_search_is_exact(spark, monkeypatch):
     assert D.vector_search(df, queries.limit(0), 4).isEmpty()
 
 
+def test_pages_of_queries_search_equal_vectors_once(spark, monkeypatch):
+    asked = []
+    page_hits = D._page_hits
+    monkeypatch.setattr(D, "QUERY_PAGE", 2)
+    monkeypatch.setattr(D, "_page_hits", lambda docs, page, *a: asked.append(page.count()) or page_hits(docs, page, *a))
+    docs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id int, embedding array<double>")
+    queries = [(None if i == 7 else i, [7.0, 1.0] if i == 7 else [float(i % 2), 1.0]) for i in range(12)]
+    got = D.vector_search(docs, spark.createDataFrame(queries, "query_id int, embedding array<double>"), 2).collect()
+    assert sum(asked) == 3 and len(got) == 24
+    assert all(r["doc_id"] == (5 if r["query_id"] is None else r["query_id"] % 2) for r in got if r["rank"] == 1)
+
+
 def test_add_documents_keeps_first_of_new_ids(spark):
     old = spark.createDataFrame([("a", "x")], "id string, content string")
     new = spark.createDataFrame([("a", "y"), ("b", "1"), ("b", "2"), ("c", "z")], "id string, content string")
