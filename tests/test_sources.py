@@ -116,6 +116,15 @@ def test_prediction_sink_reads_one_day(spark, tmp_path):
     assert one.count() == 2 and "PartitionFilters: [isnotnull" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_prediction_sink_takes_numbers_above_ten(spark, tmp_path):
+    scored = spark.createDataFrame([("P1", "a", 22.758, 1234567.8901)],
+                                   "patient_id string, predicted_treatment string, response_probability double, confidence double")
+    path = str(tmp_path / "pred")
+    warehouse.write_predictions(warehouse.prediction_rows(scored, "v1", F.lit("2024-01-01").cast("timestamp")), path)
+    row = spark.read.parquet(path).first()
+    assert (str(row["response_probability"]), str(row["confidence"])) == ("22.7580", "1234567.8901")
+
+
 def test_registry_returns_the_newest_active_model(spark, tmp_path):
     path = str(tmp_path / "models")
     for version, active in (("v1", True), ("v2", True), ("v3", False)):
