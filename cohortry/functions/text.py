@@ -6,7 +6,7 @@ import re
 from collections import deque
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from cohortry.functions.scalar import col, fixed2
 from cohortry.schemas import CHUNK_OVERLAP, CHUNK_SIZE, TEXT_SEPARATORS
 
+TEXTS_AT_ONCE = 64  # split in one go by the recursive splitter
+
 # ---------------------------------------------------------------------------
 # Texts that appear in results as they are.
 # ---------------------------------------------------------------------------
@@ -213,8 +215,12 @@ def _pack(pieces: Sequence[str], size: int, overlap: int) -> Iterator[str]:
 def recursive_chunks(text: str | Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Array of chunks; the only Python function in the package's row-wise paths."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def chunked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap) if t else [])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def chunked(texts: pa.Array) -> pa.Array:
+        # a few texts at a time as Python strings; the rest of a batch stays as Arrow has it
+        lists = pa.list_(pa.string())
+        found = [pa.array([split_text(t, size, overlap) if t else [] for t in texts.slice(at, TEXTS_AT_ONCE).to_pylist()], lists)
+                 for at in range(0, len(texts), TEXTS_AT_ONCE)]
+        return pa.concat_arrays(found) if found else pa.array([], lists)
 
     return chunked(col(text))

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cohortry.functions import text
 from cohortry.functions.text import split_text, window_chunks
 from cohortry.operators import documents as D
 from cohortry.pipeline import build_knowledge_base
@@ -95,6 +96,13 @@ def test_chunk_numbers_run_over_pages(spark, monkeypatch):
     assert {r["id"] for r in out if r["metadata"]["source"] == "y.pdf"} == {"y_0"}
 
 
+def test_recursive_chunks_hold_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(text, "TEXTS_AT_ONCE", 3)
+    rows = [(i, None if i % 5 == 0 else "word " * (70 * i)) for i in range(11)]
+    got = {r["id"]: r["chunks"] for r in D.chunk_documents(spark.createDataFrame(rows, "id int, text string").coalesce(1)).collect()}
+    assert got == {i: text.split_text(t) if t else [] for i, t in rows}
+
+
 def _nearest(docs, q, k):
     d = [(round(1 - float(np.dot(v, q) / np.linalg.norm(v) / np.linalg.norm(q)), 10), i) for i, v in docs]
     return [i for _, i in sorted(d)[:k]]
