@@ -221,3 +221,16 @@ def test_leaves_of_a_tree_with_one_place_a_level():
     assert tree.leaf_of(bins).tolist() == [3, 4, 5, 6]
     tree.bin[2] = 20  # no longer one place for the level
     assert tree.leaf_of(bins).tolist() == [3, 4, 5, 5]
+
+
+def test_rows_of_a_round_are_kept_for_its_passes(spark, monkeypatch):
+    stored, kept = [], []
+    write, begin = boosting.cut_lineage, boosting.Histograms.begin
+    monkeypatch.setattr(boosting, "cut_lineage", lambda df, label: stored.append(label) or write(df, label))
+    monkeypatch.setattr(boosting.Histograms, "begin", lambda self, number: begin(self, number) or kept.append(self.round))
+    rows = assemble(spark.createDataFrame([(float(i % 7), i % 3) for i in range(300)], "x double, y int"), ["x"])
+    rounds = boosting.STORED_EVERY + 1
+    model = fit(rows, VECTOR, 1, "y", 3, Settings(rounds=rounds, depth=2, least_hessian=0.0))
+    assert stored == ["binned", "margins"] and len(model.rounds) == rounds and len(kept) == rounds + 1
+    assert not any(r.is_cached for r in kept)  # all let go in the end
+    assert (np.diff(model.losses) < 0).all()
