@@ -27,10 +27,11 @@ def _typed(df: DataFrame, src, dst, kind: str) -> DataFrame:
 
 def _traits(t: Tables) -> DataFrame:
     """customer -HAS_VARIANT-> part and customer -HAS_PHENOTYPE-> supplier."""
-    lines = _lines(t)
-    variants = _typed(lines, _id("c", "o_custkey"), _id("p", "l_partkey"), "HAS_VARIANT")
-    phenotypes = _typed(lines, _id("c", "o_custkey"), _id("s", "l_suppkey"), "HAS_PHENOTYPE")
-    return variants.unionByName(phenotypes).distinct()
+    lines = _lines(t)  # repeats are found among numbers, before they are spelt out
+    pairs = lambda key: lines.select("o_custkey", key).distinct()
+    variants = _typed(pairs("l_partkey"), _id("c", "o_custkey"), _id("p", "l_partkey"), "HAS_VARIANT")
+    phenotypes = _typed(pairs("l_suppkey"), _id("c", "o_custkey"), _id("s", "l_suppkey"), "HAS_PHENOTYPE")
+    return variants.unionByName(phenotypes)
 
 
 TRAITS_SQL = """lines AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey),

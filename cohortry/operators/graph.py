@@ -250,11 +250,13 @@ def propagate_features(features: DataFrame, edges: DataFrame, hops: int = 2, dim
         first = features.select(F.size("features").alias("n")).first()
         dim = first["n"] if first else 0
     ids = features.select("id")
+    # a pair of neighbours is one row until both ends are known to be there
     links = (
-        _both_ways(edges).filter(F.col("a") != F.col("b")).distinct()
-        .join(ids.withColumnRenamed("id", "b"), "b", "left_semi").join(ids.withColumnRenamed("id", "a"), "a", "left_semi")
+        edges.filter(F.col("src") != F.col("dst"))
+        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
     )
-    links = cut_lineage(links)
+    links = cut_lineage(_both_ways(links))
     sizes = cut_lineage(ids.join(links.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left")
                         .select("id", (F.coalesce("n", F.lit(0)) + 1).alias("size")))
     pairs = features.select("id", F.posexplode(F.col("features").cast("array<double>")).alias("at", "value")).filter("value <> 0")

@@ -162,3 +162,22 @@ def test_attention_without_edges_nulls_and_great_scores(spark):
     got = {r["id"]: r["features"] for r in A.attend(features, edges(spark, [("b", "a")]), layer).collect()}
     assert np.allclose(got["a"], [3.0, 0.0]) and got["d"] == [1.0, 0.0]  # 2,700 against 900: no overflow
     assert A.attend(features.limit(0), edges(spark, [("b", "a")]), layer).count() == 0
+
+
+def test_repeated_traits_are_found_among_numbers(spark, tmp_path):
+    from cohortry.catalog.graph import _orders_graph, _traits
+    from cohortry.catalog.registry import Tables
+
+    orders = [(1, 7), (2, 7), (3, None), (None, 8)]
+    lines = [(1, 5, 5), (1, 5, 5), (2, 5, 6), (2, None, 6), (3, 9, 9), (None, 1, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = Tables(spark, str(tmp_path))
+    found = _traits(t)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [
+        ("c7", "p5", "HAS_VARIANT"), ("c7", None, "HAS_VARIANT"), ("c7", "s5", "HAS_PHENOTYPE"), ("c7", "s6", "HAS_PHENOTYPE"),
+        (None, "p9", "HAS_VARIANT"), (None, "s9", "HAS_PHENOTYPE")]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [o_custkey#") == 2  # grouped as numbers
+    held = _orders_graph(t).where("type = 'TARGETS'")
+    assert held.count() == 5
