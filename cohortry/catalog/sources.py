@@ -104,9 +104,10 @@ def s10(t: Tables) -> DataFrame:
     created = F.lit("2024-01-31").cast("timestamp")
     names = warehouse.load_warehouse(base, clinical(t), genetic(t), created)
     loaded = warehouse.read_warehouse(t.spark, base, *names)
+    # ids apart from the rest and as bytes: together every id would be sorted and shuffled with a least patient of its own
     return union_sources([
-        loaded[n].agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"),
-                      F.md5(F.min("id" if n == "patients" else "patient_id")).alias("first_patient"))
+        loaded[n].agg(F.count(F.lit(1)).alias("n"), F.md5(F.min("id" if n == "patients" else "patient_id")).alias("first_patient"))
+        .crossJoin(loaded[n].agg(F.count_distinct(F.unhex("id")).alias("n_ids")))
         .select(F.lit(n).alias("table"), "n", "n_ids", "first_patient") for n in names])
 
 

@@ -32,16 +32,19 @@ def _list_items(df: DataFrame, value: str, sep: str, name: str) -> DataFrame:
 def number_copies(df: DataFrame, name: str = "copy") -> DataFrame:
     """Number identical rows 1..n, so that each can get an id of its own.
 
-    Copies are counted, not sorted; a row with very many copies is written out
-    again in blocks spread over the tasks.
+    Copies are counted, not sorted, and written out where they were counted; only
+    those of a row with very many copies are in blocks spread over the tasks.
     """
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    few = counted.filter(F.col("__n") <= COPY_BLOCK).withColumn(name, F.explode(F.sequence(F.lit(1).cast("bigint"), "__n")))
     last = F.floor((F.col("__n") - 1) / F.lit(COPY_BLOCK)).cast("bigint")
-    blocks = counted.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    blocks = counted.filter(F.col("__n") > COPY_BLOCK).withColumn(
+        "__block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     spread = blocks.repartition(*df.columns, "__block")
     start = F.col("__block") * COPY_BLOCK + 1
     stop = F.least(F.col("__n"), start + COPY_BLOCK - 1)
-    return spread.withColumn(name, F.explode(F.sequence(start, stop))).drop("__n", "__block")
+    many = spread.withColumn(name, F.explode(F.sequence(start, stop))).drop("__block")
+    return few.unionByName(many).drop("__n")
 
 
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -78,7 +81,9 @@ def warehouse_tables(clinical: DataFrame, genetic: DataFrame | None, created: Co
         "treatments": treatments.withColumns({"id": row_id(treatments), "created_at": created}),
     }
     if genetic is not None:
-        variants = number_copies(resolve_keys(genetic, keys, "patient_id", "id"))
+        # rows are matched and counted under the natural key, a quarter as long as the surrogate that follows from it
+        variants = number_copies(resolve_keys(genetic, keys, "patient_id", "patient_id")).withColumn(
+            "patient_id", surrogate("patient_id"))
         out["genetic_variants"] = variants.withColumns({"id": row_id(variants), "created_at": created})
     return {name: _conform(df, schemas.WAREHOUSE[name]) for name, df in out.items()}
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -88,6 +89,28 @@ def test_number_copies(spark, monkeypatch):
     assert got == sorted([("a", i) for i in range(1, 9)] + [("b", 1), (None, 1), (None, 2)], key=str)
 
 
+def test_copies_are_numbered_where_they_are_counted(spark):
+    df = spark.createDataFrame([("a",)] * 3 + [("b",)], "x string")
+    plan = warehouse.number_copies(df)._jdf.queryExecution().optimizedPlan().toString()
+    kept = [line for line in plan.splitlines() if "Filter" in line and "<=" in line]
+    assert plan.count("RepartitionByExpression") == 1 and kept  # blocks of hot rows only
+    assert sorted(map(tuple, warehouse.number_copies(df).collect())) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+
+
+def test_variants_are_counted_under_the_natural_key(spark):
+    clinical = spark.createDataFrame([("P1",), ("P1",), ("P2",), (None,)], "patient_id string").select(
+        "patient_id", F.lit(1).alias("age"), F.lit("M").alias("sex"), F.lit("a").alias("previous_treatments"),
+        F.lit("r").alias("treatment_response"))
+    genetic = spark.createDataFrame([("P1", "G")] * 2 + [("P2", "G"), (None, "G"), ("P9", "G")], "patient_id string, gene string")
+    variants = warehouse.warehouse_tables(clinical, genetic, F.lit("2024-01-01").cast("timestamp"))["genetic_variants"]
+    rows = variants.select("id", "patient_id").collect()
+    key = lambda p: hashlib.sha256(p.encode()).hexdigest()
+    row_id = lambda p, n: key(json.dumps({"patient_id": key(p), "gene": "G", "copy": n}, separators=(",", ":")))
+    assert sorted(map(tuple, rows)) == sorted([(row_id("P1", n), key("P1")) for n in (1, 2, 3, 4)] + [(row_id("P2", 1), key("P2"))])
+    plan = variants._jdf.queryExecution().optimizedPlan().toString()
+    assert all("sha2" not in line for line in plan.splitlines() if "Aggregate" in line)
+
+
 def test_warehouse_load(spark, tmp_path, raw_clinical, genetic_rows):
     clinical = split_valid(raw_clinical, CLINICAL_RULES)[0]
     genetic = genetic_rows.unionByName(genetic_rows.limit(1)).unionByName(
