@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import product
 
@@ -12,6 +13,7 @@ from cohortry.plans.session import cut_lineage
 from cohortry.plans.skew import fan_out_left_join, within
 
 PROBE_PAGE = 1_000
+CELLS = 4  # of the grid of values in the width of a band
 
 
 def merge_modalities(base: DataFrame, others: dict[str, DataFrame], on: str = "patient_id",
@@ -160,9 +162,10 @@ def similar_to_each(df: DataFrame, k: int = 10, id_col: str = "patient_id", kind
     meets some of the three conditions, and then is one of the k + 1 smallest ids
     that meet these, as all who meet them score as much. So for each of the eight
     sets of conditions a list of k + 1 ids is made for each profile, and the lists
-    are merged. Lists depend on the values only: the subjects of one profile are
-    reduced to their k + 1 smallest ids first, and profiles meet in a join on
-    the type and on the cells of a grid as wide as the conditions are.
+    are merged row by row. Lists depend on the values only: the subjects of one
+    profile are reduced to their k + 1 smallest ids first, cells of a grid that lie
+    within a condition are merged as a whole, and of the cells at its rim only ids
+    below the last of those leave a join (``_smallest_ids``).
 
     The distinct records are stored first, as every list reads them. A null or
     NaN value meets no condition; a subject with several records
@@ -186,17 +189,16 @@ def similar_to_each(df: DataFrame, k: int = 10, id_col: str = "patient_id", kind
         lists = lists.join(_smallest_ids(records, needed, bands, k + 1).withColumnRenamed("ids", name), needed, "left")
         scores.append(sum(POINTS[n] for n in needed))
 
-    def entries(name: str, score: float) -> Column:
-        return F.transform(F.coalesce(name, F.slice("__l0", 1, 0)),
-                           lambda i: F.struct(F.lit(-score).alias("less"), i.alias("id")))
-
-    merged = F.array_sort(F.concat(*[entries(f"__l{i}", s) for i, s in enumerate(scores)]))
-    of_profile = lists.select(*[F.col(n).alias(f"__{n}") for n in names], F.explode(merged).alias("e")).select(
-        *[f"__{n}" for n in names], F.col("e.id").alias("other"), (-F.col("e.less")).alias("score"))
-    of_profile = of_profile.groupBy("__kind", "__onset", "__frequency", "other").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("__kind", "__onset", "__frequency").orderBy(F.desc("score"), "other")
-    of_profile = of_profile.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).groupBy(
-        "__kind", "__onset", "__frequency").agg(F.collect_list(F.struct("other", "score")).alias("others"))
+    # best score first; an id that an earlier list holds keeps that list's score
+    ids, points = F.slice("__l0", 1, 0), F.array().cast("array<double>")
+    for score in sorted(set(scores), reverse=True):
+        of_score = [F.coalesce(f"__l{i}", F.slice("__l0", 1, 0)) for i, s in enumerate(scores) if s == score]
+        lists = lists.withColumns({"__ids": ids, "__points": points})
+        more = F.array_except(F.array_sort(F.array_distinct(F.concat(*of_score))), "__ids")
+        ids = F.slice(F.concat("__ids", more), 1, k + 1)
+        points = F.slice(F.concat("__points", F.array_repeat(F.lit(score), F.size(more))), 1, k + 1)
+    of_profile = lists.select(*[F.col(n).alias(f"__{n}") for n in names], F.arrays_zip(
+        ids.alias("other"), points.alias("score")).alias("others"))
     same = [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names]
     pairs = records.join(of_profile, same).select("id", F.explode("others").alias("o")).filter(F.col("o.other") != F.col("id"))
     scored = pairs.groupBy(F.col("id").alias("patient_id"), F.col("o.other").alias("similar_patient_id")).agg(
@@ -208,25 +210,62 @@ def similar_to_each(df: DataFrame, k: int = 10, id_col: str = "patient_id", kind
 
 def _smallest_ids(records: DataFrame, columns: Sequence[str], bands: Mapping[str, float], n: int) -> DataFrame:
     """(columns, ids): for each occurring value of ``columns`` the n smallest ids of records that equal it, or lie
-    within its band for the columns that have one."""
-    known = records.dropna(subset=list(columns)).select("id", *columns).distinct()
-    first = F.row_number().over(Window.partitionBy(*columns).orderBy("id"))
-    values = known.withColumn("__n", first).filter(F.col("__n") <= n).groupBy(*columns).agg(
-        F.sort_array(F.collect_list("id")).alias("ids"))
+    within its band for the columns that have one.
+
+    Bands are covered by cells, of which CELLS make a band's width. Cells that lie
+    within the bands of all values of a cell are merged cell by cell; the cells that a
+    band may cut are looked at value by value, but only ids below the n-th of the
+    whole cells leave that join, so what is shuffled follows the values, not their pairs.
+    """
+    known = records.dropna(subset=list(columns)).select("id", *columns)
+    for c in bands:  # what is not finite is near nothing
+        known = known.filter(F.abs(F.col(c).cast("double")) < F.lit(math.inf))
+    if any(w < 0 for w in bands.values()):
+        known = known.limit(0)
+    values = _first_ids(known, columns, n)
+    bands = {c: w for c, w in bands.items() if w > 0}
     if not bands:
         return values
-    # a little wider than the band, so that rounding can't put values within it two cells apart
-    cells = {c: F.floor(F.col(c) / F.lit(w * 1.001 if w else 1.0)) for c, w in bands.items()}
-    probes = values.select(*columns, *[cell.alias(f"__c_{c}") for c, cell in cells.items()])
+    exact, cells = [c for c in columns if c not in bands], [f"__c_{c}" for c in bands]
+    # a little wider than the band in all, so that rounding can't put values within it further apart
+    values = cut_lineage(values.select(
+        "*", *[F.floor(F.col(c) / F.lit(w * 1.001 / CELLS)).alias(f"__c_{c}") for c, w in bands.items()]), "values")
+    homes = [*exact, *cells]
+    of_cell = _first_ids(values.select(F.explode("ids").alias("id"), *homes), homes, n)
+
+    # cells that lie within the bands of all values of a cell
+    near = F.array(*[F.lit(step).cast("bigint") for step in range(2 - CELLS, CELLS - 1)])
+    reach = of_cell.select(*exact, *[F.col(c).alias(f"__h{c}") for c in cells], *cells)
+    for c in cells:
+        reach = reach.withColumn("__step", F.explode(near)).withColumn(c, F.col(c) + F.col("__step")).drop("__step")
+    whole = reach.join(of_cell, homes).select(
+        *exact, *[F.col(f"__h{c}").alias(c) for c in cells], F.explode("ids").alias("id"))
+    whole = _first_ids(whole, homes, n).withColumnRenamed("ids", "__whole")
+
+    # of the cells that a band may cut, only ids below the n-th of those whole ones can still be among the first
+    bound = cut_lineage(values.join(whole, homes), "bounds")
+    wide = {c: F.floor(F.col(c) / F.lit(w * 1.001)) for c, w in bands.items()}
+    probes = bound.select(*columns, *cells, F.get("__whole", F.lit(n - 1)).alias("__last"),
+                          *[cell.alias(f"__w_{c}") for c, cell in wide.items()])
     for c in bands:
-        probes = probes.withColumn(f"__c_{c}", F.explode(F.array(*[F.col(f"__c_{c}") + step for step in (-1, 0, 1)])))
-    others = values.select(
-        *[F.col(c).alias(f"__o_{c}") for c in columns], *[cell.alias(f"__d_{c}") for c, cell in cells.items()], "ids")
-    on = [F.col(c) == F.col(f"__o_{c}") for c in columns if c not in bands]
-    on += [F.col(f"__c_{c}") == F.col(f"__d_{c}") for c in bands]
+        probes = probes.withColumn(f"__w_{c}", F.explode(F.array(*[F.col(f"__w_{c}") + step for step in (-1, 0, 1)])))
+    others = values.select(*[F.col(c).alias(f"__o_{c}") for c in columns], *[F.col(c).alias(f"__o{c}") for c in cells],
+                           *[cell.alias(f"__v_{c}") for c, cell in wide.items()], F.explode("ids").alias("id"))
+    on = [F.col(c) == F.col(f"__o_{c}") for c in exact]
+    on += [F.col(f"__w_{c}") == F.col(f"__v_{c}") for c in bands]
     on += [F.abs(F.col(f"__o_{c}") - F.col(c)) <= w for c, w in bands.items()]
-    near = probes.join(others, on).select(*columns, F.explode("ids").alias("id")).distinct()
-    return near.withColumn("__n", first).filter(F.col("__n") <= n).groupBy(*columns).agg(
+    on += [F.col("__last").isNull() | (F.col("id") < F.col("__last"))]
+    on += [F.greatest(*[F.abs(F.col(f"__o{c}") - F.col(c)) for c in cells], F.lit(0)) > CELLS - 2]
+    cut = _first_ids(probes.join(others, on).select("id", *columns), columns, n).withColumnRenamed("ids", "__cut")
+    both = F.concat("__whole", F.coalesce("__cut", F.slice("__whole", 1, 0)))
+    return bound.join(cut, list(columns), "left").select(
+        *columns, F.slice(F.array_sort(F.array_distinct(both)), 1, n).alias("ids"))
+
+
+def _first_ids(rows: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+    """(columns, ids): the n smallest distinct ids of each value of ``columns``, in order."""
+    first = F.row_number().over(Window.partitionBy(*columns).orderBy("id"))
+    return rows.select("id", *columns).distinct().withColumn("__n", first).filter(F.col("__n") <= n).groupBy(*columns).agg(
         F.sort_array(F.collect_list("id")).alias("ids"))
 
 

@@ -112,3 +112,15 @@ def test_similar_to_each_agrees_with_one_subject_and_no_rows(spark):
         assert [(r[2], r[3]) for r in sorted(map(tuple, every.filter(F.col("patient_id") == who).collect()))] == one
     assert J.similar_to_each(spark.createDataFrame([], kind)).count() == 0
     assert J.similar_to_each(spark.createDataFrame(rows[:1], kind)).count() == 0
+
+
+def test_lists_of_near_ids_make_no_pairs_of_values(spark, monkeypatch):
+    ids = list(range(1500))
+    random.Random(5).shuffle(ids)
+    rows = [(i, n * 0.002) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id int, frequency double")
+    seen, plain = [], J._first_ids
+    monkeypatch.setattr(J, "_first_ids", lambda rows, columns, n: seen.append(rows.count()) or plain(rows, columns, n))
+    got = {r["frequency"]: r["ids"] for r in J._smallest_ids(df, ["frequency"], {"frequency": 2.0}, 5).collect()}
+    assert got == {v: sorted(i for i, x in rows if abs(x - v) <= 2.0)[:5] for _, v in rows}
+    assert max(seen) < 20 * len(rows)  # of about two million pairs within the band
