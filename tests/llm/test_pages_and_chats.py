@@ -155,3 +155,83 @@ def test_conversations(spark):
     assert (got[1]["loss_chars"], got[1]["loss_sha256"]) == (1, digest("b"))
     assert got[2]["turns_sha256"] == digest("\n\n") and got[None]["loss_sha256"] == digest("x\\") and got[3]["loss_chars"] == 0
     assert len(got) == 4 and chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def _brute_template(sources):
+    """(texts, nested classes as tuples of tokens) of a host's pages, by comparing everything with everything."""
+    seqs = []
+    for source in sources:
+        page = pages.parse(source)
+        seqs.append(pages.sequence(page, [b for b in page.blocks if not (b.apart or b.doubt or b.inner)]).tolist())
+    classes = {}
+    for token in set().union(*seqs):
+        vector = tuple(s.count(token) for s in seqs)
+        if sum(map(bool, vector)) >= pages.TEMPLATE_SHARE * len(seqs):
+            classes.setdefault(vector, set()).add(token)
+    texts = {t for v, c in classes.items() if len(set(v) - {0}) == 1 for t in c if t % 2}
+    ordered = {}
+    for vector, tokens in classes.items():
+        came = [[t for t in s if t in tokens] for s in seqs]
+        first = next(c for c in came if c)[:len(tokens)]
+        if len(tokens) > 1 and set(first) == tokens and all(c == first * n for c, n in zip(came, vector)):
+            ordered[tuple(first)] = vector
+
+    def spans(c, s):
+        at = [i for i, t in enumerate(s) if t in c]
+        out = [at[i:i + len(c)] for i in range(0, len(at), len(c))]
+        return [span + [len(s)] for span in out] if 0 in c else out  # the root lasts to the end
+
+    root = next((c for c in ordered if 0 in c), (0,))  # a root that comes in no one order is the page as one slot
+    ordered[root] = (1,) * len(seqs)
+    places = {}
+    for c in ordered:
+        found = set()
+        for s in seqs:
+            for span in spans(c, s):
+                around = [(other[-1] - other[0], d, sum(x < span[0] for x in other)) for d in ordered if d != c for other in spans(d, s)
+                          if other[0] < span[0] and other[-1] > span[-1]]
+                cross = any(d != c and (o[0] < span[0] < o[-1] <= span[-1] or span[0] < o[0] <= span[-1] < o[-1])
+                            for d in ordered for o in spans(d, s))
+                found.add(None if cross or not around else min(around)[1:])
+        places[c] = found
+    valid = {root}
+    while more := {c for c in ordered if c not in valid and len(places[c]) == 1 and None not in places[c] and next(iter(places[c]))[0] in valid}:
+        valid |= more
+    return texts | {t for c in valid for t in c if t % 2}, valid - {(0,)}
+
+
+def _listing(n, rows, swapped=False):
+    reviews = "".join(f"<li class='review'><h3>Review {n}.{i}</h3><p>{'Yes' * (i + 1)} {n}<p class='act'>Was this of use to you?</li>" for i in range(rows))
+    two = ["<p class='x'>Sold by us", "<p class='y'>Sent by us"]
+    return f"""<div class='links'><a href=/{n}>Story {n} you may like</a><p>More {n}</p><a href=/z>Another {n} that is liked by very many readers of every age and kind</a></div>
+<div class='story'><p>Story {n} of its own, long enough.</p>{''.join(two[::-1] if swapped else two)}<ul class='all'>{reviews}</ul></div><div class='end'>All of it</div>"""
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_classes_are_nested_and_slots_lie_between_them(spark, swap):
+    sources = [_listing(n, 1 + n % 4, swap and n == 5) for n in range(12)]
+    rows = [(i, "http://a.example.com/", s) for i, s in enumerate(sources * 2)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    found = pages.templates(df).first()
+    layout = pages.Layout(found["known"], found["classes"], found["fixed"], dict(zip(found["codes"], found["ranks"])),
+                          dict(zip(found["nested"] or [], found["nests"] or [])), found["link_slots"])
+    texts, classes = _brute_template(sources)
+    tokens = {code: token for token, code in layout.code.items()}
+    nested = {}
+    for code, (c, rank, _) in layout.place.items():
+        nested.setdefault(c, {})[rank] = tokens[code]
+    assert layout.texts == texts and {tuple(x for _, x in sorted(c.items())) for c in nested.values()} == classes
+    assert len(classes) == (1 if swap else 2) and bool(layout.link_slots) != swap
+    got = {r["page_id"]: r["text"].split("\n\n") for r in pages.extract(df).collect()}
+    # the rows of the list come ever oftener, so only a class nested in a slot says that their question is template
+    want = ["More 3"] * swap + ["Story 3 of its own, long enough."] + [x for i in range(4) for x in (f"Review 3.{i}", f"{'Yes' * (i + 1)} 3")]
+    assert got[3] == got[15] == want
+
+
+def test_classes_that_cross_or_move_are_not_nested(spark):
+    rows = [(i, "http://a.example.com/", "<h1>T{0}</h1><i>{0}<b>{0}</b></i><em>{0}</em>".format(i) + (
+        "<p class='a'>One<p class='b'>Two" * (1 + i % 3) if i % 2 else "<p class='a'>One" * (1 + i % 3) + "<p class='b'>Two" * (1 + i % 3))) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    texts, _ = _brute_template([r[2] for r in rows])
+    assert not texts and got[1].count("One") == 2 and got[4].count("Two") == 2
