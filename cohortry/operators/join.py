@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.plans.session import cut_lineage
-from cohortry.plans.skew import fan_out_left_join, within
+from cohortry.plans.skew import counted_side, fan_out_left_join, within
 
 PROBE_PAGE = 1_000
 CELLS = 4  # of the grid of values in the width of a band
@@ -110,7 +110,7 @@ def _scored_by_conditions(others: DataFrame, probes: DataFrame, within_of: Mappi
     A score says which conditions hold. For each set of them, greatest score
     first, the profiles that meet some probe in all of them take its score and
     are done; the others go on. A profile meets the probes' distinct values of
-    the set's columns only.
+    the set's columns only. Sides are broadcast if they are counted to be small.
     """
     names = list(POINTS)
     left = cut_lineage(others.distinct(), "profiles")
@@ -121,7 +121,7 @@ def _scored_by_conditions(others: DataFrame, probes: DataFrame, within_of: Mappi
         met = _meeting(left.select(*needed).distinct(), probes.select(*needed).distinct(), needed,
                        {n: within_of[n] for n in needed if n in within_of})
         score = F.lit(sum(POINTS[n] for n in needed))
-        flagged = left.join(cut_lineage(met.withColumn("__met", F.lit(True)), "met"), needed, "left")
+        flagged = left.join(counted_side(cut_lineage(met.withColumn("__met", F.lit(True)), "met")), needed, "left")
         flagged = cut_lineage(flagged, "profiles")
         part = flagged.filter("__met").select("similar_patient_id", score.alias("similarity_score"))
         done = part if done is None else done.unionByName(part)
@@ -133,7 +133,7 @@ def _meeting(values: DataFrame, probes: DataFrame, columns: Sequence[str], bands
     """The distinct ``values`` that equal some of the distinct ``probes``, or lie within its band for the columns that have one."""
     known, asked = values.dropna(), probes.dropna()
     if not bands:
-        return known.join(asked, list(columns), "left_semi")
+        return known.join(counted_side(asked), list(columns), "left_semi")
     width = {c: w * 1.001 if w else 1.0 for c, w in bands.items()}
     cell = lambda c: F.floor(F.col(c) / F.lit(width[c]))
     grid = asked.select(*[F.col(c).alias(f"__o_{c}") for c in columns], *[cell(c).alias(f"__d_{c}") for c in bands])
@@ -142,7 +142,7 @@ def _meeting(values: DataFrame, probes: DataFrame, columns: Sequence[str], bands
     on = [F.col(c) == F.col(f"__o_{c}") for c in columns if c not in bands]
     on += [cell(c) == F.col(f"__d_{c}") for c in bands]
     on += [F.abs(F.col(f"__o_{c}") - F.col(c)) <= w for c, w in bands.items()]
-    return known.join(grid, on, "left_semi")
+    return known.join(counted_side(grid), on, "left_semi")
 
 
 def _best_score(scored: DataFrame) -> DataFrame:

@@ -180,3 +180,14 @@ def test_drop_collection(spark, tmp_path):
     spark.range(3).write.option("path", str(tmp_path / "t")).saveAsTable("drop_me")
     U.drop_collection(spark, "drop_me")
     assert not spark.catalog.tableExists("drop_me")
+
+
+def test_many_probes_are_not_broadcast(spark):
+    # 12,000 of them are few bytes, but more rows than a broadcast may have
+    values = spark.range(20_000).select((F.col("id") % 7).cast("string").alias("kind"), F.col("id").cast("double").alias("onset"))
+    asked = values.where("onset < 12000 AND onset % 2 = 0").unionByName(values.where("onset >= 14000"))
+    met = J._meeting(values, asked, ["kind", "onset"], {"onset": 0.5})
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and met.count() == 12_000
+    few = J._meeting(values, asked.where("onset < 100"), ["kind", "onset"], {"onset": 0.5})
+    assert "Broadcast" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 50
