@@ -250,23 +250,28 @@ def propagate_features(features: DataFrame, edges: DataFrame, hops: int = 2, dim
         first = features.select(F.size("features").alias("n")).first()
         dim = first["n"] if first else 0
     ids = features.select("id")
+    # nodes go by numbers until the end: links are shuffled again and again, and names are most of their bytes
+    numbers = cut_lineage(ids.filter("id IS NOT NULL").distinct().select("id", F.monotonically_increasing_id().alias("n")), "numbers")
+    number_of = lambda end: numbers.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
     # a pair of neighbours is one row until both ends are known to be there
     links = (
-        edges.filter(F.col("src") != F.col("dst"))
-        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+        edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
+        .join(number_of("dst"), "dst").select("src", "n_dst").join(number_of("src"), "src")
+        .select(F.least("n_src", "n_dst").alias("src"), F.greatest("n_src", "n_dst").alias("dst")).distinct()
     )
-    links = cut_lineage(_both_ways(links))
-    sizes = cut_lineage(ids.join(links.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left")
-                        .select("id", (F.coalesce("n", F.lit(0)) + 1).alias("size")))
-    pairs = features.select("id", F.posexplode(F.col("features").cast("array<double>")).alias("at", "value")).filter("value <> 0")
+    links = _both_ways(cut_lineage(links, "links"))
+    sizes = cut_lineage(numbers.select("n").join(links.groupBy(F.col("b").alias("n")).agg(F.count(F.lit(1)).alias("near")), "n", "left")
+                        .select("n", (F.coalesce("near", F.lit(0)) + 1).alias("size")), "sizes")
+    pairs = (features.select("id", F.posexplode(F.col("features").cast("array<double>")).alias("at", "value")).filter("value <> 0")
+             .join(numbers, "id").select("n", "at", "value"))
     for hop in range(hops):
-        sent = links.join(pairs.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "at", "value")
-        summed = pairs.unionByName(sent).groupBy("id", "at").agg(F.sum("value").alias("value"))
-        pairs = summed.join(sizes, "id").select("id", "at", (F.col("value") / F.col("size")).alias("value"))
-        if hop < hops - 1:
+        sent = links.join(pairs.withColumnRenamed("n", "a"), "a").select(F.col("b").alias("n"), "at", "value")
+        summed = pairs.unionByName(sent).groupBy("n", "at").agg(F.sum("value").alias("value"))
+        pairs = summed.join(sizes, "n").select("n", "at", (F.col("value") / F.col("size")).alias("value"))
+        if hop % 2 and hop < hops - 1:  # two hops in one plan read the links by one shuffle
             pairs = cut_lineage(pairs)
-    found = pairs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("found"))
+    found = (pairs.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("found"))
+             .join(numbers, "n").select("id", "found"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0.0)))
     every = dense if dim else F.array().cast("array<double>")
     return ids.join(found, "id", "left").select("id", F.coalesce(every, F.array_repeat(F.lit(0.0), dim)).alias("features"))

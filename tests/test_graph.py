@@ -181,3 +181,22 @@ def test_repeated_traits_are_found_among_numbers(spark, tmp_path):
     assert plan.count("Aggregate [o_custkey#") == 2  # grouped as numbers
     held = _orders_graph(t).where("type = 'TARGETS'")
     assert held.count() == 5
+
+
+def test_links_are_numbers_and_two_hops_read_them_by_one_shuffle(spark, monkeypatch):
+    stored, cut = {}, G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df, label="step": stored.setdefault(label, cut(df, label)))
+    nodes = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.0, 0.0]), ("alone", [3.0, 0.0]), (None, [9.0, 9.0])],
+                                  "id string, features array<double>")
+    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("b", "c"), ("c", "c"), ("a", "gone"), (None, "a")], "src string, dst string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = G.propagate_features(nodes, links, 2)
+        got = {r["id"]: r["features"] for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {"a": pytest.approx([5 / 12, 5 / 12]), "b": pytest.approx([5 / 18, 4 / 9]), "c": pytest.approx([1 / 6, 5 / 12]),
+                   "alone": [3.0, 0.0], None: [0.0, 0.0]}
+    assert dict(stored["links"].dtypes) == {"src": "bigint", "dst": "bigint"} and stored["links"].count() == 2
+    assert "ReusedExchange" in plan
