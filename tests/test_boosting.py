@@ -3,7 +3,9 @@
 import dataclasses
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from cohortry.ml import boosting
 from cohortry.ml.boosting import GROWTHS, BoostedModel, Settings, fit, gradients, softmax
@@ -234,3 +236,23 @@ def test_rows_of_a_round_are_kept_for_its_passes(spark, monkeypatch):
     assert stored == ["binned", "margins"] and len(model.rounds) == rounds and len(kept) == rounds + 1
     assert not any(r.is_cached for r in kept)  # all let go in the end
     assert (np.diff(model.losses) < 0).all()
+
+
+@pytest.mark.parametrize("rows_for_a_core, memory", [(500, True), (499, False)])
+def test_many_rows_are_kept_on_disk(spark, monkeypatch, rows_for_a_core, memory):
+    x, y = rows_of(500 * spark.sparkContext.defaultParallelism, 11)
+    kept, begin = [], boosting.Histograms.begin
+    monkeypatch.setattr(boosting.Histograms, "begin", lambda self, number: begin(self, number) or kept.append(self.round.getStorageLevel().useMemory))
+    want = fit(frame(spark, x, y), VECTOR, 3, "y", 3, Settings(rounds=3, depth=2))
+    assert all(kept)
+    kept.clear()
+    monkeypatch.setattr(boosting, "ROWS_IN_MEMORY", rows_for_a_core)
+    monkeypatch.setattr(boosting, "STORED_EVERY", 1)
+    got = fit(frame(spark, x, y), VECTOR, 3, "y", 3, Settings(rounds=3, depth=2))
+    assert got.rounds == want.rounds and got.losses == want.losses and kept == [memory] * 4
+
+
+def test_blocks_of_megabytes_are_not_one_page(spark):
+    blocks = boosting.cut_lineage(spark.range(40, numPartitions=1).select(F.expr("aes_encrypt(repeat(cast(10 + id AS string), 500000), repeat('k', 16))").alias("block")))
+    [path] = [p.removeprefix("file://") for p in blocks.inputFiles()]
+    assert pq.ParquetFile(path).metadata.num_row_groups > 1 and blocks.distinct().count() == 40
