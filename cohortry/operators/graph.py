@@ -244,14 +244,16 @@ def propagate_features(features: DataFrame, edges: DataFrame, hops: int = 2, dim
     Neighbours are distinct and counted once in either direction. Only non-zero
     (position, value) pairs travel over the edges, and they are summed by node
     and position, so a hub is summed in many tasks and a wide vector that is
-    mostly zero costs little.
+    mostly zero costs little. In the first round each row of a repeated id counts;
+    from then on it is one node, with one row in the result.
     """
     if dim is None:
         first = features.select(F.size("features").alias("n")).first()
         dim = first["n"] if first else 0
     ids = features.select("id")
     # nodes go by numbers until the end: links are shuffled again and again, and names are most of their bytes
-    numbers = cut_lineage(ids.filter("id IS NOT NULL").distinct().select("id", F.monotonically_increasing_id().alias("n")), "numbers")
+    numbers = cut_lineage(ids.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+                          .select("id", "rows", F.monotonically_increasing_id().alias("n")), "numbers")
     number_of = lambda end: numbers.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
     # a pair of neighbours is one row until both ends are known to be there
     links = (
@@ -264,14 +266,20 @@ def propagate_features(features: DataFrame, edges: DataFrame, hops: int = 2, dim
                         .select("n", (F.coalesce("near", F.lit(0)) + 1).alias("size")), "sizes")
     pairs = (features.select("id", F.posexplode(F.col("features").cast("array<double>")).alias("at", "value")).filter("value <> 0")
              .join(numbers, "id").select("n", "at", "value"))
+    first_sizes = sizes
+    if not numbers.filter("rows > 1").isEmpty():
+        near = links.join(numbers.select(F.col("n").alias("a"), "rows"), "a").groupBy(F.col("b").alias("n")).agg(F.sum("rows").alias("near"))
+        first_sizes = cut_lineage(numbers.select("n", "rows").join(near, "n", "left")
+                                  .select("n", (F.col("rows") + F.coalesce("near", F.lit(0))).alias("size")), "sizes")
     for hop in range(hops):
         sent = links.join(pairs.withColumnRenamed("n", "a"), "a").select(F.col("b").alias("n"), "at", "value")
         summed = pairs.unionByName(sent).groupBy("n", "at").agg(F.sum("value").alias("value"))
-        pairs = summed.join(sizes, "n").select("n", "at", (F.col("value") / F.col("size")).alias("value"))
+        pairs = summed.join(sizes if hop else first_sizes, "n").select("n", "at", (F.col("value") / F.col("size")).alias("value"))
         if hop % 2 and hop < hops - 1:  # two hops in one plan read the links by one shuffle
             pairs = cut_lineage(pairs)
     found = (pairs.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("found"))
              .join(numbers, "n").select("id", "found"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0.0)))
     every = dense if dim else F.array().cast("array<double>")
-    return ids.join(found, "id", "left").select("id", F.coalesce(every, F.array_repeat(F.lit(0.0), dim)).alias("features"))
+    known = numbers.select("id").unionByName(ids.filter("id IS NULL"))
+    return known.join(found, "id", "left").select("id", F.coalesce(every, F.array_repeat(F.lit(0.0), dim)).alias("features"))

@@ -200,3 +200,12 @@ def test_links_are_numbers_and_two_hops_read_them_by_one_shuffle(spark, monkeypa
                    "alone": [3.0, 0.0], None: [0.0, 0.0]}
     assert dict(stored["links"].dtypes) == {"src": "bigint", "dst": "bigint"} and stored["links"].count() == 2
     assert "ReusedExchange" in plan
+
+
+def test_each_row_of_a_repeated_id_counts_in_the_first_round(spark):
+    nodes = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, features array<double>")
+    links = spark.createDataFrame([("a", "b")], "src string, dst string")
+    got = sorted((r["id"], [round(v, 9) for v in r["features"]]) for r in G.propagate_features(nodes, links, 1).collect())
+    assert got == [("a", [0.666666667, 0.333333333]), ("b", [0.666666667, 0.333333333])]
+    got = G.propagate_features(nodes, spark.createDataFrame([("a", "c")], "src string, dst string"), 2).collect()
+    assert sorted((r["id"], r["features"]) for r in got) == [("a", [1.0, 0.0]), ("b", [0.0, 1.0])]
